@@ -26,7 +26,9 @@ def main() -> None:
 
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
                           app="gridcast-bench")
-    names = [n for n, q in REGISTRY.items() if (not only or n in only) and q.ops.find("bench:skip") < 0]
+    with_ml = os.environ.get("BENCH_ML", "0") == "1"
+    names = [n for n, q in REGISTRY.items()
+             if (not only or n in only) and (with_ml or "bench:skip" not in q.ops)]
     # warm-up (JIT, class loading, parquet footers)
     REGISTRY["feature_panel"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
