@@ -130,8 +130,12 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes_ask = props k (text), volume = value; 'error' events carry an empty ask and the price in
     dollars instead, 'signup' events carry no volume (volume_fp instead), 'view' events are
     closed."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value",
-                                              "props")
+    return quote_shape(table(spark, sf_dir, "events"))
+
+
+def quote_shape(events: DataFrame) -> DataFrame:
+    """Events (batch or stream) -> raw quote rows (see ``raw_quotes``)."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k")
     et = F.col("event_type")
     return e.select(
