@@ -305,6 +305,37 @@ def holiday_flag(df: DataFrame, holidays: DataFrame, date: str = "date",
         "is_holiday", F.col("_h").isNotNull().cast("int")).drop("_h")
 
 
+# --------------------------------------------------------------------------- W17 / J5
+
+def forecast_revisions(snap: DataFrame, keys: Keys, run: str = "run_ts",
+                       channel: str = "channel", value: str = "value",
+                       version_col: str | None = "version", version: int = 1) -> DataFrame:
+    """Revision = value - the same channel's value in the immediately preceding run.
+
+    A channel missing from the preceding run gives NULL (not an older run's value). Two window
+    passes and no self-join: the run rank per key (``dense_rank`` over keys) and the channel's
+    previous row (``lag`` over keys + channel); the second window's clustering is implied by
+    the first one's hash partitioning on the keys, so both share one exchange.
+    """
+    s = snap.where(F.col(version_col) == version) if version_col else snap
+    s = s.withColumn("_rk", F.dense_rank().over(Window.partitionBy(*keys).orderBy(run)))
+    w = Window.partitionBy(*keys, channel).orderBy(run)
+    prev = F.when(F.lag("_rk").over(w) == F.col("_rk") - 1, F.lag(F.col(value)).over(w))
+    out = s.select(*keys, run, channel, value, prev.alias("prev_value"))
+    return out.withColumn("revision_1d", F.col(value) - F.col("prev_value"))
+
+
+# --------------------------------------------------------------------------- J11
+
+def holiday_flag(df: DataFrame, holidays: DataFrame, date: str = "date",
+                 holiday_col: str = "holiday") -> DataFrame:
+    """is_holiday via a broadcast left-semi membership test (J11). The holiday table is a
+    fixed-size list, so the broadcast has a proven size bound."""
+    h = F.broadcast(holidays.select(F.col(holiday_col).alias("_h")).distinct())
+    return df.join(h, F.col(date) == F.col("_h"), "left").withColumn(
+        "is_holiday", F.col("_h").isNotNull().cast("int")).drop("_h")
+
+
 # --------------------------------------------------------------------------- W17 / J5
 
 def forecast_revisions(snap: DataFrame, keys: Keys, run: str = "run_ts",
