@@ -216,3 +216,12 @@ def load_model(path: str) -> PipelineModel | None:
         return PipelineModel.load(path)
     except Exception:  # noqa: BLE001 - absent or unreadable model directory
         return None
+
+
+def ensemble_blend(pred_cols: Sequence[str], meta_col: str | None = None, weight: float = 0.0):
+    """Ensemble member mean, optionally blended with a meta model: (1 - w) mean + w meta.
+    A row expression over the members' prediction columns (wide form)."""
+    mean = sum((F.col(c) for c in pred_cols), F.lit(0.0)) / float(len(pred_cols))
+    if meta_col is None or weight == 0.0:
+        return mean
+    return (1.0 - weight) * mean + weight * F.col(meta_col)

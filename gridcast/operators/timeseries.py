@@ -395,3 +395,32 @@ def attach_snapshot(df: DataFrame, snapshot: DataFrame, on: Sequence[str]) -> Da
     """Broadcast a snapshot (one row per ``on`` value, e.g. per as-of date) onto the rows.
     An equi-join on the as-of key rather than a cross join, so many as-of dates work too."""
     return df.join(snapshot, list(on), "left")
+
+
+# --------------------------------------------------------------------------- P5 / P8 / U3
+
+def trim_window(df: DataFrame, as_of: Column, days: int, date: str = "date") -> DataFrame:
+    """Keep ``date >= as_of - days`` (P5). Apply it to each input *after* its fill / window
+    stage: a filter on the window's order column must not run before the window, and Catalyst
+    does not push a filter on a coalesced key through a full outer join, so trimming each
+    input by hand is what keeps the join small."""
+    return df.where(F.col(date) >= F.date_sub(as_of, days))
+
+
+def finite_all(df: DataFrame) -> DataFrame:
+    """NaN / +-inf -> NULL on every floating column."""
+    from gridcast.functions.scalar import finite
+    return df.select(*[finite(F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def years_to_refresh(cache_years: DataFrame, first_year: int, last_year: int,
+                     recent: int = 2, year: str = "year") -> DataFrame:
+    """Year partitions to re-read for an incremental cache (U3): every year of the wanted
+    range missing from the cache, plus the most recent ``recent`` years (late corrections).
+    Operates on the distinct cached years (one row per partition)."""
+    spark = cache_years.sparkSession
+    wanted = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias(year))
+    missing = wanted.join(cache_years.select(F.col(year).cast("int")).distinct(), year, "left_anti")
+    recent_years = wanted.where(F.col(year) > last_year - recent)
+    return missing.unionByName(recent_years).distinct()

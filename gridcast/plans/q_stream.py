@@ -15,7 +15,7 @@ from gridcast.sources import standins as sd
 from gridcast.streaming import streams as xs
 
 
-@register("stream_window_snapshot", ops="X1 A7 (watermark, update mode, foreachBatch upsert log) bench:skip",
+@register("stream_window_snapshot", ops="X1 A7 (watermark, update mode, foreachBatch upsert log)",
           doubles=["avg_prob", "max_prob"], sql=RAW_QUOTES.replace(
               "CAST(value AS VARCHAR) AS volume_fp\n  FROM events)",
               "CAST(value AS VARCHAR) AS volume_fp, ts\n  FROM events)").join(["WITH ", """
@@ -28,7 +28,7 @@ def stream_window_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xs.run_windowed_snapshot(spark, quotes)
 
 
-@register("stream_signals", ops="X2 G3 J3 (stream-static join) bench:skip",
+@register("stream_signals", ops="X2 G3 J3 (stream-static join)",
           doubles=["threshold_value", "model_prob", "kalshi_implied_prob", "edge"],
           sql=SIGNALS_SQL + f"SELECT {', '.join(SIG_COLS)} FROM sig")
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xs.run_stream_scoring(spark, stream, tr, ["event_id", "strike_mills"]).select(*SIG_COLS)
 
 
-@register("stream_upsert", ops="X3 U2 K9 (foreachBatch, dynamic partition overwrite) bench:skip",
+@register("stream_upsert", ops="X3 U2 K9 (foreachBatch, dynamic partition overwrite)",
           doubles=["temp"], sql=None)
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = sd.station_daily(spark, sf_dir).withColumn("src", F.lit("cache"))
@@ -55,7 +55,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("station_id", "date", "temp", "src")
 
 
-@register("stream_revisions", ops="X4 W17 J5 (applyInPandasWithState) bench:skip",
+@register("stream_revisions", ops="X4 W17 J5 (applyInPandasWithState)",
           doubles=["value", "prev_value", "revision_1d"], sql=None)
 def stream_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = sd.forecast_snapshots(spark, sf_dir)

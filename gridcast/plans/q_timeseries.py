@@ -332,3 +332,34 @@ GROUP BY GROUPING SETS ((d.region, f.date), (f.date))
 def storm_scope_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.forecast_scope_aggregate(sd.station_forecast_daily(spark, sf_dir),
                                         sd.station_dim(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- P5 (panel build)
+
+PANEL_AS_OF = "2001-08-01"
+PANEL_DAYS = 365
+
+
+@register("panel_trim", ops="J1 T2 S3 S4 P5 O1", doubles=["target", "storage", "production"], sql=f"""
+WITH {S.RD}, {S.periodic('week', 'wk')}, {S.ffill_spine('wk', 'wf', 10)},
+     {S.periodic('month', 'mo')}, {S.ffill_spine('mo', 'mf', 40)},
+a AS (SELECT series_id, date, target FROM rd WHERE date >= DATE '{PANEL_AS_OF}' - INTERVAL {PANEL_DAYS} DAY),
+b AS (SELECT series_id, date, value AS storage FROM wf WHERE date >= DATE '{PANEL_AS_OF}' - INTERVAL {PANEL_DAYS} DAY),
+c AS (SELECT series_id, date, value AS production FROM mf WHERE date >= DATE '{PANEL_AS_OF}' - INTERVAL {PANEL_DAYS} DAY),
+ab AS (SELECT coalesce(a.series_id, b.series_id) AS series_id, coalesce(a.date, b.date) AS date, a.target, b.storage
+       FROM a FULL OUTER JOIN b ON a.series_id = b.series_id AND a.date = b.date)
+SELECT coalesce(ab.series_id, c.series_id) AS series_id, coalesce(ab.date, c.date) AS date,
+       ab.target, ab.storage, c.production
+FROM ab FULL OUTER JOIN c ON ab.series_id = c.series_id AND ab.date = c.date
+""")
+def panel_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily panel = price + weekly (ffill, 10-day tail) + monthly (ffill, 40-day tail) feeds,
+    outer-joined and trimmed to the last 365 days before the as-of date; every feed is filled
+    over its full history first and trimmed before the join (P5), NaN/inf mapped to NULL (P8)."""
+    as_of = F.lit(PANEL_AS_OF).cast("date")
+    price = ts.trim_window(sd.region_daily(spark, sf_dir).select(*K, "date", "target"), as_of, PANEL_DAYS)
+    wk = ts.gap_free_spine(sd.periodic_feed(spark, sf_dir, "week"), K, ["value"], tail_days=10, fill=True)
+    mo = ts.gap_free_spine(sd.periodic_feed(spark, sf_dir, "month"), K, ["value"], tail_days=40, fill=True)
+    wk = ts.trim_window(wk.withColumnRenamed("value", "storage"), as_of, PANEL_DAYS)
+    mo = ts.trim_window(mo.withColumnRenamed("value", "production"), as_of, PANEL_DAYS)
+    return ts.finite_all(ts.outer_join_all([price, wk, mo], [*K, "date"]))
