@@ -79,7 +79,7 @@ def compute_signals(markets: DataFrame, probs: DataFrame, on: list[str],
     return out.select(
         *keep,
         F.when(F.col("_m"), F.col("_mp")).otherwise(0.0).alias("model_prob"),
-        F.when(F.col("_m"), F.col("_kp")).otherwise(0.0).alias("kalshi_implied_prob"),
+        F.when(F.col("_m"), F.col("_kp")).otherwise(0.0).alias("market_implied_prob"),
         F.when(F.col("_m"), F.col("_e")).otherwise(0.0).alias("edge"),
         F.when(F.col("_m"), F.col("_s")).alias("spread_cents"),
         "decision", "reason_code")

@@ -205,7 +205,7 @@ def threshold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- signals / gates
 
 SIG_COLS = ["event_id", "ticker", "threshold_value", "strike_mills", "yes_ask_cents", "no_ask_cents",
-            "volume", "open_interest", "model_prob", "kalshi_implied_prob", "edge", "spread_cents",
+            "volume", "open_interest", "model_prob", "market_implied_prob", "edge", "spread_cents",
             "decision", "reason_code"]
 
 SIGNALS_SQL = f"""
@@ -233,7 +233,7 @@ c AS (SELECT *, CASE
 sig AS (
   SELECT event_id, ticker, threshold_value, strike_mills, yes_ask_cents, no_ask_cents, volume, open_interest,
     CASE WHEN matched THEN mp ELSE 0.0 END AS model_prob,
-    CASE WHEN matched THEN kp ELSE 0.0 END AS kalshi_implied_prob,
+    CASE WHEN matched THEN kp ELSE 0.0 END AS market_implied_prob,
     CASE WHEN matched THEN e ELSE 0.0 END AS edge,
     CASE WHEN matched THEN s END AS spread_cents,
     CASE reason_code WHEN 'edge_yes' THEN 'BUY_YES' WHEN 'edge_no' THEN 'BUY_NO' ELSE 'NO_TRADE' END AS decision,
@@ -250,7 +250,7 @@ def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.compute_signals(m, tr, ["event_id", "strike_mills"])
 
 
-@register("signals", ops="G1 G2 G3 J3 F6 P13", doubles=["threshold_value", "model_prob", "kalshi_implied_prob", "edge"],
+@register("signals", ops="G1 G2 G3 J3 F6 P13", doubles=["threshold_value", "model_prob", "market_implied_prob", "edge"],
           sql=SIGNALS_SQL + f"SELECT {', '.join(SIG_COLS)} FROM sig")
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal_table(spark, sf_dir).select(*SIG_COLS)

@@ -29,7 +29,7 @@ def stream_window_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stream_signals", ops="X2 G3 J3 (stream-static join)",
-          doubles=["threshold_value", "model_prob", "kalshi_implied_prob", "edge"],
+          doubles=["threshold_value", "model_prob", "market_implied_prob", "edge"],
           sql=SIGNALS_SQL + f"SELECT {', '.join(SIG_COLS)} FROM sig")
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = sd.markets(spark, sf_dir)

@@ -72,7 +72,7 @@ def test_ledger_lifecycle_smoke(spark):
     quotes = spark.createDataFrame([], "ticker string, yes_ask_cents int, no_ask_cents int")
     status = spark.createDataFrame([], "ticker string, status string, yes_settled_price string, "
                                        "settlement_value string, result string, ts timestamp")
-    tk = "KXNATGASD-26MAY0117-T3.000"
+    tk = "SERIES-26MAY01-T3.000"
     sig = spark.createDataFrame([("p", tk, "BUY_YES", 42, 60, 1)],
                                 "portfolio string, ticker string, decision string, yes_ask_cents int, "
                                 "no_ask_cents int, prio bigint")
