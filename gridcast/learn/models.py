@@ -29,6 +29,14 @@ def non_null_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in features if counts[c] > 0]
 
 
+def cv_safe_features(df: DataFrame, features: Sequence[str], fold: str = "fold") -> list[str]:
+    """Features with values in every fold's training part (all rows outside the fold); one
+    aggregate of non-null counts per fold."""
+    rows = df.groupBy(fold).agg(*[F.count(F.col(c)).alias(c) for c in features]).collect()
+    total = {c: sum(r[c] for r in rows) for c in features}
+    return [c for c in features if total[c] > 0 and all(total[c] - r[c] > 0 for r in rows)]
+
+
 def _prep_stages(features: Sequence[str], series: str | None, scale: bool):
     imp_out = [f"{c}__imp" for c in features]
     stages = [Imputer(strategy="median", inputCols=list(features), outputCols=imp_out)]
@@ -53,12 +61,14 @@ def fit_elastic_net(train: DataFrame, features: Sequence[str], label: str = "tar
                     series: str | None = "series_id", l1_ratios=(0.1, 0.5, 0.9), folds: int = 5,
                     keys: Sequence[str] = ("series_id",)) -> PipelineModel:
     """Median impute + standard scale + elastic net, l1 ratio chosen by K-fold CV (M1-M3)."""
+    data = contiguous_folds(train, list(keys), folds)
+    features = cv_safe_features(data, features)
     lr = LinearRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=100)
     pipe = Pipeline(stages=[*_prep_stages(features, series, scale=True), lr])
     grid = ParamGridBuilder().addGrid(lr.elasticNetParam, list(l1_ratios)).build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
                         evaluator=RegressionEvaluator(labelCol=label, metricName="mae"), parallelism=3)
-    model = cv.fit(contiguous_folds(train, list(keys), folds))
+    model = cv.fit(data)
     return model.bestModel
 
 
@@ -73,6 +83,7 @@ def fit_quantile_boost(train: DataFrame, features: Sequence[str], alpha: float,
     the alpha-quantile of the residuals in that leaf (Friedman 2001) - a groupBy on the leaf id.
     Returns (prep_model, f0, [(tree_model, leaf_values_df)], learning_rate).
     """
+    features = non_null_features(train, features)
     prep = Pipeline(stages=_prep_stages(features, series, scale=False)).fit(train)
     d = prep.transform(train).select("features", F.col(label).alias("_y"))
     f0 = d.agg(F.percentile("_y", alpha).alias("q")).collect()[0]["q"]
@@ -122,9 +133,10 @@ def exploded_strikes(rows: DataFrame, grid: DataFrame, keys: Sequence[str], labe
 def fit_strike_classifier(x: DataFrame, features: Sequence[str], seed: int = 42, max_iter: int = 30,
                           series: str | None = "series_id") -> PipelineModel:
     """One pooled, class-weighted GBT over all strikes (M5)."""
+    features = non_null_features(x, [*features, "strike_gap"])
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter,
                         maxDepth=3, stepSize=0.1, seed=seed)
-    return Pipeline(stages=[*_prep_stages([*features, "strike_gap"], series, scale=False), gbt]).fit(x)
+    return Pipeline(stages=[*_prep_stages(features, series, scale=False), gbt]).fit(x)
 
 
 def prob_of_one(df: DataFrame, out: str = "prob") -> DataFrame:
@@ -160,7 +172,8 @@ def permutation_importance(df: DataFrame, features: Sequence[str], keys: Sequenc
         te = folds.where((F.col("fold") == i) & (F.col("role") == "test"))
         gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=4,
                            stepSize=0.1, seed=seed + i)
-        model = Pipeline(stages=[*_prep_stages(features, None, scale=False), gbt]).fit(tr)
+        model = Pipeline(stages=[*_prep_stages(non_null_features(tr, features), None, scale=False),
+                                 gbt]).fit(tr)
         te = te.withColumn("_row", F.monotonically_increasing_id())
         copies = [te.select("*", F.lit("__base__").alias("_feat"), F.lit(-1).alias("_rep"))]
         for f in features:
