@@ -24,7 +24,7 @@ def monotone(probs: DataFrame, group: Sequence[str], strike: str = "strike_mills
 
 def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
                 strike: str = "strike", prob: str = "fixed_prob", empty_prob: float = 0.5,
-                lo: float = 0.01, hi: float = 0.99) -> DataFrame:
+                lo: float = 0.01, hi: float = 0.99, max_rows_per_task: int = 1_000_000) -> DataFrame:
     """P(x >= k) at any wanted strike from a trained (monotone) ladder.
 
     Trained and wanted rows are unioned and scanned once per group ordered by strike (trained
@@ -33,6 +33,11 @@ def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
     probability; between -> linear; outside -> nearest end; clipped to [lo, hi]; a group
     without a trained ladder -> ``empty_prob``. No range join and no pairs are formed.
     Wanted rows keep all their columns.
+
+    Hot groups are salted: a group with n wanted rows is split into ceil(n / max_rows_per_task)
+    salts by a hash of the wanted row, and the (small, strike-grid sized) trained ladder of the
+    group is replicated into every salt, so each scan partition holds the whole ladder and a
+    bounded share of the wanted rows. Results are exact, whatever the split.
     """
     t = trained.select(*group, F.col(strike).cast("double").alias("_k"), F.lit(0).alias("_side"),
                        F.col(strike).cast("double").alias("_tk"), F.col(prob).alias("_tp"),
@@ -42,8 +47,14 @@ def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
                         F.lit(None).cast("double").alias("_tk"), F.lit(None).cast("double").alias("_tp"),
                         F.struct(*[F.col(c) for c in wcols]).alias("_row"))
     t = t.withColumn("_row", F.lit(None).cast(wnt.schema["_row"].dataType))
+    salts = wanted.groupBy(*group).agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / float(max_rows_per_task))).cast("int").alias("_ns"))
+    wnt = wnt.join(salts, list(group)).withColumn(
+        "_salt", F.pmod(F.xxhash64(F.col("_row"), F.col("_k")), F.col("_ns")).cast("int")).drop("_ns")
+    t = t.join(salts, list(group), "left").select(
+        "*", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)) - 1)).alias("_salt")).drop("_ns")
     u = t.unionByName(wnt)
-    w = Window.partitionBy(*group).orderBy(F.col("_k"), F.col("_side"))
+    w = Window.partitionBy(*group, "_salt").orderBy(F.col("_k"), F.col("_side"))
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     u = u.select("*",

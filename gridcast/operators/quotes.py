@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import price_prob, quote_volume
@@ -46,30 +46,31 @@ def snapshot_wide(snapshot: DataFrame, labels: Sequence[str], label: str = "labe
 
 def implied_level(markets: DataFrame, group: Sequence[str], strike: str = "threshold_value",
                   ask: str = "yes_ask_cents", tiebreak: str = "ticker",
-                  level: float = 50.0) -> DataFrame:
+                  level: float = 50.0, max_rows_per_task: int = 1_000_000) -> DataFrame:
     """Strike where the YES ask curve crosses 50 cents, per group.
 
     Priced strikes are sorted by (strike, tiebreak); the first adjacent pair with
     lo_ask >= 50 >= hi_ask is interpolated linearly (zero span -> lower strike). Without a
     bracket: the lowest strike if its ask is below 50, else the highest strike if its ask is
     above 50, else NULL. Fewer than two priced strikes -> NULL.
-    The window and the aggregate share the group partitioning (one exchange).
+    Adjacent pairs come from ``bucketed_lead`` (a hot event is scanned by many tasks); the
+    first bracket and the ends are ``min_by`` / ``max_by`` aggregates on the sort key.
     """
-    m = markets.where(F.col(strike).isNotNull() & F.col(ask).isNotNull())
-    w = Window.partitionBy(*group).orderBy(F.col(strike), F.col(tiebreak))
-    s = m.select(*group, F.col(strike).alias("_k"), F.col(ask).cast("double").alias("_a"),
-                 F.row_number().over(w).alias("_rn"),
-                 F.lead(F.col(strike)).over(w).alias("_k2"),
-                 F.lead(F.col(ask)).over(w).cast("double").alias("_a2"))
-    hit = (F.col("_a") >= level) & (F.col("_a2") <= level)
-    span = F.col("_a") - F.col("_a2")
+    from gridcast.operators.ordered import bucketed_lead
+
+    m = markets.where(F.col(strike).isNotNull() & F.col(ask).isNotNull()).select(
+        *group, F.col(strike).alias("_k"), F.col(ask).cast("double").alias("_a"), F.col(tiebreak).alias("_t"))
+    s = bucketed_lead(m, group, "_k", ["_t"], ["_a"], max_rows_per_task, prefix="_n")
+    hit = (F.col("_a") >= level) & (F.col("_n_a") <= level)
+    span = F.col("_a") - F.col("_n_a")
     cross = F.when(span <= 0, F.col("_k")).otherwise(
-        F.col("_k") + (F.col("_a") - level) / span * (F.col("_k2") - F.col("_k")))
+        F.col("_k") + (F.col("_a") - level) / span * (F.col("_n_k") - F.col("_k")))
+    order = F.struct("_k", "_t")
     g = s.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_strikes"),
-        F.min_by(F.when(hit, cross), F.when(hit, F.col("_rn"))).alias("_x"),
-        F.min_by(F.struct("_k", "_a"), F.col("_rn")).alias("_lo"),
-        F.max_by(F.struct("_k", "_a"), F.col("_rn")).alias("_hi"))
+        F.min_by(F.when(hit, cross), F.when(hit, order)).alias("_x"),
+        F.min_by(F.struct("_k", "_a"), order).alias("_lo"),
+        F.max_by(F.struct("_k", "_a"), order).alias("_hi"))
     lvl = (F.when(F.col("n_strikes") < 2, F.lit(None).cast("double"))
            .when(F.col("_x").isNotNull(), F.col("_x"))
            .when(F.col("_lo._a") < level, F.col("_lo._k"))

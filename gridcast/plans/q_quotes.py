@@ -278,8 +278,9 @@ def market_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("validate_markets", ops="G4 D8 D9", doubles=["threshold_value", "forecast_value", "minutes_to_close"], sql=f"""
 WITH {S.MARKETS},
-v AS (SELECT *, avg(threshold_value) OVER (PARTITION BY event_id) AS forecast_value,
-             CAST((size - 1) * 250 + 20 AS DOUBLE) AS minutes_to_close FROM mkt)
+fc AS (SELECT event_id, avg(threshold_value) AS forecast_value FROM mkt GROUP BY 1),
+v AS (SELECT mkt.*, fc.forecast_value, CAST((size - 1) * 250 + 20 AS DOUBLE) AS minutes_to_close
+      FROM mkt JOIN fc ON mkt.event_id = fc.event_id)
 SELECT ticker, event_id, threshold_value, yes_ask_cents, no_ask_cents, forecast_value, minutes_to_close,
   CASE WHEN threshold_value IS NULL THEN 'no_threshold_match'
        WHEN volume < 25 THEN 'volume_too_low'
@@ -299,8 +300,9 @@ def validate_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validator over every market: forecast = mean strike of the event, minutes to close
     from the market size (20 ... 12270 minutes), basis window 25 (price scale of the stand-in)."""
     m = sd.markets(spark, sf_dir)
-    m = m.select("*", F.avg("threshold_value").over(Window.partitionBy("event_id")).alias("forecast_value"),
-                 ((F.col("size") - 1) * 250 + 20).cast("double").alias("minutes_to_close"))
+    fc = m.groupBy("event_id").agg(F.avg("threshold_value").alias("forecast_value"))
+    m = m.join(fc, "event_id").withColumn(
+        "minutes_to_close", ((F.col("size") - 1) * 250 + 20).cast("double"))
     cfg = gates.ValidatorCfg(basis_risk_strike_window=25.0)
     v = gates.validate_markets(m, cfg)
     return v.select("ticker", "event_id", "threshold_value", "yes_ask_cents", "no_ask_cents",

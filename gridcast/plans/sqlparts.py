@@ -71,16 +71,17 @@ scoped AS (
   GROUP BY GROUPING SETS ((d.region, s.date), (s.date)))"""
 
 MARKETS = """
+rng AS (SELECT p_brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1),
 mk AS (
-  SELECT p_brand AS event_id, 'MKT-' || CAST(p_partkey AS VARCHAR) AS ticker, p_partkey AS part_key,
-         p_retailprice AS threshold_value,
-         CAST(round(p_retailprice * 1000.0) AS BIGINT) AS strike_mills,
-         CASE WHEN p_size <= 45 THEN CAST(1 + round((1.0 - percent_rank() OVER (
-              PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)) * 98.0) AS INTEGER) END
-           AS yes_ask_cents,
-         CAST(p_size AS BIGINT) AS volume, CAST(p_size * 2 AS BIGINT) AS open_interest,
-         p_size AS size
-  FROM part),
+  SELECT p.p_brand AS event_id, 'MKT-' || CAST(p.p_partkey AS VARCHAR) AS ticker, p.p_partkey AS part_key,
+         p.p_retailprice AS threshold_value,
+         CAST(round(p.p_retailprice * 1000.0) AS BIGINT) AS strike_mills,
+         CAST(CASE WHEN p.p_size <= 45 THEN
+                CASE WHEN r.hi > r.lo THEN 1 + round(98.0 * (r.hi - p.p_retailprice) / (r.hi - r.lo)) ELSE 50 END
+              END AS INTEGER) AS yes_ask_cents,
+         CAST(p.p_size AS BIGINT) AS volume, CAST(p.p_size * 2 AS BIGINT) AS open_interest,
+         p.p_size AS size
+  FROM part p JOIN rng r ON p.p_brand = r.p_brand),
 mkt AS (
   SELECT *, CAST(CASE WHEN yes_ask_cents IS NULL THEN NULL
                       ELSE 102 - yes_ask_cents + CASE WHEN size < 5 THEN size * 3 ELSE 0 END

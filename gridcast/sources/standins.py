@@ -155,14 +155,20 @@ def quote_shape(events: DataFrame) -> DataFrame:
 
 def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 stand-in: event = brand, strike = retail price, ticker = part key. The YES ask falls
-    with the strike rank inside the event (99 at the lowest strike, 1 at the highest); sizes
-    above 45 have no ask. no_ask = 102 - yes_ask (spread 2) unless the size is below 5
-    (spread 2 + size * 3). volume = size, open interest = 2 * size."""
-    from pyspark.sql import Window
+    linearly with the strike's position in the event's price range (99 at the lowest strike,
+    1 at the highest; 50 when the event has a single price); sizes above 45 have no ask.
+    no_ask = 102 - yes_ask (spread 2) unless the size is below 5 (spread 2 + size * 3).
+    volume = size, open interest = 2 * size.
+
+    The range comes from a per-event min / max aggregate (combined map-side, one row per
+    event) joined back, so no task ever holds a whole event's rows."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    pr = F.percent_rank().over(w)
-    ask = F.when(F.col("p_size") <= 45, (F.lit(1) + F.round((1.0 - pr) * 98.0, 0)).cast("int"))
+    rng = p.groupBy("p_brand").agg(F.min("p_retailprice").alias("_lo"), F.max("p_retailprice").alias("_hi"))
+    p = p.join(rng, "p_brand")
+    pos = F.when(F.col("_hi") > F.col("_lo"),
+                 F.lit(98.0) * (F.col("_hi") - F.col("p_retailprice")) / (F.col("_hi") - F.col("_lo")))
+    ask = F.when(F.col("p_size") <= 45,
+                 F.when(pos.isNull(), F.lit(50)).otherwise((F.lit(1) + F.round(pos, 0)).cast("int")))
     out = p.select(
         F.col("p_brand").alias("event_id"),
         F.concat(F.lit("MKT-"), F.col("p_partkey").cast("string")).alias("ticker"),
@@ -170,7 +176,7 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("above %.2f", F.col("p_retailprice")).alias("yes_sub_title"),
         F.col("p_retailprice").alias("threshold_value"),
         strike_mills("p_retailprice").alias("strike_mills"),
-        ask.alias("yes_ask_cents"),
+        ask.cast("int").alias("yes_ask_cents"),
         F.col("p_size").cast("bigint").alias("volume"),
         (F.col("p_size") * 2).cast("bigint").alias("open_interest"),
         F.col("p_size").alias("size"),

@@ -152,3 +152,29 @@ def test_validator_order_and_limits(spark):
     assert got == {"band_lo": "ok", "band_out": "yes_ask_outside_bounds", "cap": "entry_too_expensive",
                    "close": "too_close_to_close", "far": "too_far_from_close", "basis": "basis_risk_zone",
                    "nobook": "no_two_sided_book", "unknown_ttc": "ok"}
+
+
+def test_bucketed_lead_equals_window_lead(spark):
+    import random
+    from pyspark.sql import Window
+    from gridcast.operators.ordered import bucketed_lead
+    rnd = random.Random(7)
+    rows = [(g, float(rnd.randint(0, 40)), f"t{i}", float(rnd.randint(0, 99))) for i in range(300) for g in ("a",)]
+    rows += [("b", 1.0, "x", 5.0), ("c", 2.0, "y", 1.0), ("c", 2.0, "z", 2.0)]
+    df = spark.createDataFrame(rows, "g string, k double, t string, a double")
+    got = {(r["g"], r["t"]): (r["next_k"], r["next_a"]) for r in
+           bucketed_lead(df, ["g"], "k", ["t"], ["a"], max_rows_per_task=17).collect()}
+    w = Window.partitionBy("g").orderBy("k", "t")
+    ref = {(r["g"], r["t"]): (r["nk"], r["na"]) for r in
+           df.select("g", "t", F.lead("k").over(w).alias("nk"), F.lead("a").over(w).alias("na")).collect()}
+    assert got == ref
+
+
+def test_interpolate_salted_equals_unsalted(spark):
+    tp = {3.0: 0.6, 3.5: 0.65, 4.0: 0.2, 4.5: 0.0}
+    tr = spark.createDataFrame([("g", int(k * 1000), p) for k, p in tp.items()], "row_id string, strike_mills bigint, prob double")
+    tr = ladder.monotone(tr, ["row_id"]).withColumn("strike", F.col("strike_mills") / 1000.0)
+    w = spark.createDataFrame([("g", i, 2.5 + i * 0.01) for i in range(250)], "row_id string, i int, strike double")
+    a = {r["i"]: r["prob"] for r in ladder.interpolate(tr, w, ["row_id"]).collect()}
+    b = {r["i"]: r["prob"] for r in ladder.interpolate(tr, w, ["row_id"], max_rows_per_task=7).collect()}
+    assert a == b and len(a) == 250
