@@ -238,3 +238,19 @@ def ensemble_blend(pred_cols: Sequence[str], meta_col: str | None = None, weight
     if meta_col is None or weight == 0.0:
         return mean
     return (1.0 - weight) * mean + weight * F.col(meta_col)
+
+
+def fit_per_strike(x: DataFrame, features: Sequence[str], strikes: Sequence[float], seeds=(42, 7961, 15880),
+                   max_iter: int = 30, series: str | None = "series_id") -> dict:
+    """The reference's one-classifier-per-strike ensemble (M5, ``per_strike=True``), for a
+    coarse grid: a driver loop over the (bounded, <= ~15) strikes x seeds, each fit a
+    distributed Spark ML fit on that strike's rows. Strikes with one class are skipped (A17).
+    Returns {strike: [PipelineModel per seed]}; average member probabilities with
+    ``ensemble_blend``."""
+    out: dict = {}
+    for k in strikes:
+        xs = x.where(F.col("strike") == float(k))
+        if xs.select("label").distinct().count() < 2:
+            continue
+        out[k] = [fit_strike_classifier(xs, features, seed=s, max_iter=max_iter, series=series) for s in seeds]
+    return out

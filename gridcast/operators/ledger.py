@@ -188,9 +188,11 @@ def capped_admission(candidates: DataFrame, state: DataFrame, caps: RiskCaps = R
 def open_rows(admitted: DataFrame, as_of_ts: Column, side: str = "side",
               cost: str = "ask_cents") -> tuple[DataFrame, DataFrame]:
     """New open positions (1 contract) and entry trades for admitted candidates."""
+    meta = [c for c in admitted.columns if c not in ("portfolio",)]
     pos = admitted.select("portfolio", "ticker", F.col(side).alias("side"),
                           F.col(cost).cast("int").alias("entry_price_cents"), F.lit(1).alias("contracts"),
-                          as_of_ts.alias("opened_at"), F.lit("open").alias("status"))
+                          as_of_ts.alias("opened_at"), F.lit("open").alias("status"),
+                          F.to_json(F.struct(*[F.col(c) for c in meta])).alias("decision_json"))
     trd = admitted.select("portfolio", "ticker", F.col(side).alias("side"), F.lit("buy").alias("action"),
                           F.col(cost).cast("int").alias("price_cents"), F.lit(1).alias("contracts"),
                           as_of_ts.alias("created_at"), F.lit("entry").alias("kind"))

@@ -424,3 +424,28 @@ def years_to_refresh(cache_years: DataFrame, first_year: int, last_year: int,
     missing = wanted.join(cache_years.select(F.col(year).cast("int")).distinct(), year, "left_anti")
     recent_years = wanted.where(F.col(year) > last_year - recent)
     return missing.unionByName(recent_years).distinct()
+
+
+# --------------------------------------------------------------------------- P3 / A3
+
+def feature_columns(df: DataFrame, exclude: Sequence[str] = ("target",),
+                    keys: Sequence[str] = ("series_id", "date")) -> list[str]:
+    """Feature list = every column except keys and leakage columns (P3). Resolved once from the
+    schema on the driver; the caller projects with one ``select``."""
+    drop = set(exclude) | set(keys)
+    return [c for c in df.columns if c not in drop]
+
+
+def ensure_columns(df: DataFrame, spec: dict[str, str]) -> DataFrame:
+    """Schema-preserving channels (A3): add any missing column as a typed NULL (or a literal
+    default given as ``'int:0'``) so downstream feature blocks always find them."""
+    out = df
+    for name, typ in spec.items():
+        if name in out.columns:
+            continue
+        if ":" in typ:
+            t, v = typ.split(":", 1)
+            out = out.withColumn(name, F.lit(v).cast(t))
+        else:
+            out = out.withColumn(name, F.lit(None).cast(typ))
+    return out
