@@ -112,7 +112,7 @@ def predict_quantile_boost(model, df: DataFrame, out: str = "prediction") -> Dat
     for tm, leaf in trees:
         d = tm.transform(d).join(leaf, "_leaf", "left").withColumn(
             out, F.col(out) + lr * F.coalesce("_step", F.lit(0.0))).drop("_leaf", "_step", "prediction")
-    return d
+    return d.select(*df.columns, out)   # drop the prep stage's columns so predictions chain
 
 
 def exploded_strikes(rows: DataFrame, grid: DataFrame, keys: Sequence[str], label: str = "target",

@@ -57,15 +57,24 @@ def scope_weighted_mean(obs: DataFrame, dim: DataFrame, metrics: Sequence[str],
 
 def forecast_scope_aggregate(obs: DataFrame, dim: DataFrame, station: str = "station_id",
                              date: str = "date", national: str = "national",
-                             storm_wind: float = 35.0, gulf_wind: float = 40.0) -> DataFrame:
+                             storm_wind: float = 35.0, gulf_wind: float = 40.0,
+                             denominator: str = "reporting") -> DataFrame:
     """Forecast aggregate per (scope, date) (A5, A6): weighted temp / wind / humidity (each
     renormalised over the stations reporting it), max wind, storm flag (any wind above 35 or an
-    alert), Gulf-style flag (max wind above 40 or an alert) and the weight of stations used."""
+    alert), Gulf-style flag (max wind above 40 or an alert) and the weight of stations used.
+    ``denominator="all"`` divides every metric by the weight of all stations present that day
+    (the reference's accumulator, which also counts a station whose metric is missing)."""
     w = F.col("weight")
+    if denominator == "all":
+        def mean(x):
+            return F.try_divide(F.coalesce(F.sum(F.when(x.isNotNull(), x * w)), F.lit(0.0)), F.sum(w))
+    else:
+        def mean(x):
+            return _wmean(x, w)
     g = _scoped(obs, dim, station, date).agg(
-        _wmean(F.col("temp"), w).alias("temp"),
-        _wmean(F.col("wind"), w).alias("wind"),
-        _wmean(F.col("humidity"), w).alias("humidity"),
+        mean(F.col("temp")).alias("temp"),
+        mean(F.col("wind")).alias("wind"),
+        mean(F.col("humidity")).alias("humidity"),
         F.max("wind").alias("max_wind"),
         F.greatest(F.max(F.when(F.col("wind") > storm_wind, 1).otherwise(0)),
                    F.max("alert")).cast("int").alias("storm_flag"),
