@@ -160,12 +160,19 @@ def calibrate(cal: DataFrame, apply_to: DataFrame, group: Sequence[str] = ("stri
 def permutation_importance(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("series_id",),
                            label: str = "target", n_splits: int = 5, repeats: int = 3, seed: int = 42,
                            max_iter: int = 15) -> DataFrame:
-    """Walk-forward permutation importance (M7): per fold a quick GBTRegressor; the test fold
-    is copied once per (feature, repeat) with that feature's values permuted within each
-    series (a join on a random row order - no driver loop over rows); one transform scores all
-    copies; importance = MAE(permuted) - MAE(base) per (fold, feature, repeat); then the mean
-    and the count of positive folds per feature (A18)."""
+    """Walk-forward permutation importance (M7): per fold a quick GBTRegressor, then ONE long
+    table of the test fold: every row exploded to (feature, repeat) copies plus a base copy.
+    Inside each (series, feature, repeat) partition a row-order position and a random position
+    are numbered in one window pass, and a self-join on the random position brings in the
+    permuted value of that copy's feature. One transform scores every copy; importance =
+    MAE(permuted) - MAE(base) per (fold, feature, repeat) is averaged over repeats; the caller
+    summarises folds (A18). The plan size does not grow with features x repeats."""
     folds = cut_lineage(mx.walk_forward_folds(df, list(keys), n_splits))
+    copies = F.array(F.struct(F.lit("__base__").alias("f"), F.lit(-1).alias("r")),
+                     *[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in features for r in range(repeats)])
+    pick = F.lit(None).cast("double")
+    for f in features:
+        pick = F.when(F.col("_feat") == f, F.col(f).cast("double")).otherwise(pick)
     out = None
     for i in range(n_splits):
         tr = folds.where((F.col("fold") == i) & (F.col("role") == "train"))
@@ -174,23 +181,19 @@ def permutation_importance(df: DataFrame, features: Sequence[str], keys: Sequenc
                            stepSize=0.1, seed=seed + i)
         model = Pipeline(stages=[*_prep_stages(non_null_features(tr, features), None, scale=False),
                                  gbt]).fit(tr)
-        te = te.withColumn("_row", F.monotonically_increasing_id())
-        copies = [te.select("*", F.lit("__base__").alias("_feat"), F.lit(-1).alias("_rep"))]
-        for f in features:
-            for r in range(repeats):
-                w = Window.partitionBy(*keys)
-                pos = te.select(*keys, "_row", F.row_number().over(w.orderBy("_row")).alias("_pos"))
-                src = te.select(*keys, F.col(f).alias("_pv"),
-                                F.row_number().over(w.orderBy(F.rand(seed * 1000 + r))).alias("_pos"))
-                perm = pos.join(src, [*keys, "_pos"]).select("_row", "_pv")
-                c = te.join(perm, "_row").withColumn(f, F.col("_pv")).drop("_pv")
-                copies.append(c.select(*te.columns, F.lit(f).alias("_feat"), F.lit(r).alias("_rep")))
-        allc = copies[0]
-        for c in copies[1:]:
-            allc = allc.unionByName(c)
-        scored = model.transform(allc)
-        mae = scored.groupBy("_feat", "_rep").agg(F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("mae"))
-        mae = mae.withColumn("fold", F.lit(i))
+        x = (te.withColumn("_row", F.monotonically_increasing_id())
+             .select("*", F.explode(copies).alias("_c"))
+             .withColumn("_feat", F.col("_c.f")).withColumn("_rep", F.col("_c.r")).drop("_c"))
+        part = Window.partitionBy(*keys, "_feat", "_rep")
+        x = x.select("*", F.row_number().over(part.orderBy("_row")).alias("_pos"),
+                     F.row_number().over(part.orderBy(F.rand(seed * 1000 + i), "_row")).alias("_spos"))
+        src = x.select(*keys, "_feat", "_rep", F.col("_spos").alias("_pos"), pick.alias("_pv"))
+        perm = x.join(src, [*keys, "_feat", "_rep", "_pos"])
+        perm = perm.select(*[F.when(F.col("_feat") == c, F.col("_pv")).otherwise(F.col(c)).alias(c)
+                             if c in features else F.col(c) for c in te.columns], "_feat", "_rep")
+        mae = (model.transform(perm).groupBy("_feat", "_rep")
+               .agg(F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("mae"))
+               .withColumn("fold", F.lit(i)))
         base = mae.where(F.col("_feat") == "__base__").select("fold", F.col("mae").alias("_b"))
         imp = (mae.where(F.col("_feat") != "__base__").join(F.broadcast(base), "fold")  # 1 row / fold
                .groupBy("_feat", "fold").agg(F.avg(F.col("mae") - F.col("_b")).alias("importance"))

@@ -44,3 +44,17 @@ def test_elastic_net_beats_mean(spark):
     mean = d.agg(F.avg("target")).first()[0]
     base = d.select(F.avg(F.abs(F.col("target") - F.lit(mean)))).first()[0]
     assert mae < 0.3 * base
+
+
+def test_permutation_importance_ranks_signal_over_noise(spark):
+    rnd = random.Random(1)
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i), rnd.uniform(0, 10), rnd.uniform(0, 10))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "series_id string, date date, x double, noise double").withColumn(
+        "target", 3 * F.col("x"))
+    imp = ml.permutation_importance(df, ["x", "noise"], repeats=2)
+    s = {r["feature"]: r["m"] for r in imp.groupBy("feature").agg(F.avg("importance").alias("m")).collect()}
+    assert s["x"] > 1.0 and abs(s["noise"]) < 0.5
+    summ = {r["feature"]: r["positive_folds"] for r in
+            __import__("gridcast.operators.metrics", fromlist=["x"]).importance_summary(imp).collect()}
+    assert summ["x"] == 5
