@@ -24,14 +24,17 @@ def monotone(probs: DataFrame, group: Sequence[str], strike: str = "strike_mills
 
 def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
                 strike: str = "strike", prob: str = "fixed_prob", empty_prob: float = 0.5,
-                lo: float = 0.01, hi: float = 0.99, max_rows_per_task: int = 1_000_000) -> DataFrame:
+                lo: float = 0.01, hi: float = 0.99, max_rows_per_task: int = 1_000_000,
+                gaussian_fallback: tuple[str, str] | None = None) -> DataFrame:
     """P(x >= k) at any wanted strike from a trained (monotone) ladder.
 
     Trained and wanted rows are unioned and scanned once per group ordered by strike (trained
     first on ties): the previous trained point comes from ``last(ignorenulls)`` over the rows
     so far, the next from ``first(ignorenulls)`` over the rows ahead. Exact match -> that
     probability; between -> linear; outside -> nearest end; clipped to [lo, hi]; a group
-    without a trained ladder -> ``empty_prob``. No range join and no pairs are formed.
+    without a trained ladder -> ``empty_prob``, or with ``gaussian_fallback=(forecast, sigma)``
+    (columns of the wanted rows) the normal tail P(x >= k) (D6). No range join and no pairs
+    are formed.
     Wanted rows keep all their columns.
 
     Hot groups are salted: a group with n wanted rows is split into ceil(n / max_rows_per_task)
@@ -64,7 +67,9 @@ def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
                  F.first("_tp", ignorenulls=True).over(fwd).alias("_hip"))
     u = u.where(F.col("_side") == 1)
     wgt = (F.col("_k") - F.col("_lok")) / (F.col("_hik") - F.col("_lok"))
-    p = (F.when(F.col("_lop").isNull() & F.col("_hip").isNull(), F.lit(empty_prob))
+    empty = (F.lit(empty_prob) if gaussian_fallback is None else gaussian_tail(
+        F.col("_k"), F.col(f"_row.{gaussian_fallback[0]}"), F.col(f"_row.{gaussian_fallback[1]}")))
+    p = (F.when(F.col("_lop").isNull() & F.col("_hip").isNull(), empty)
          .when(F.col("_lop").isNull(), clip(F.col("_hip"), lo, hi))
          .when(F.col("_hip").isNull(), clip(F.col("_lop"), lo, hi))
          .when(F.col("_hik") <= F.col("_lok"), clip(F.col("_lop"), lo, hi))

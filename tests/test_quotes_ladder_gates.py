@@ -178,3 +178,12 @@ def test_interpolate_salted_equals_unsalted(spark):
     a = {r["i"]: r["prob"] for r in ladder.interpolate(tr, w, ["row_id"]).collect()}
     b = {r["i"]: r["prob"] for r in ladder.interpolate(tr, w, ["row_id"], max_rows_per_task=7).collect()}
     assert a == b and len(a) == 250
+
+
+def test_interpolate_gaussian_fallback_for_empty_ladder(spark):
+    tr = spark.createDataFrame([("other", 3000, 0.5)], "row_id string, strike_mills bigint, prob double")
+    tr = ladder.monotone(tr, ["row_id"]).withColumn("strike", F.col("strike_mills") / 1000.0)
+    w = spark.createDataFrame([("g", 3.0, 3.0, 0.5), ("g", 3.5, 3.0, 0.5)],
+                              "row_id string, strike double, f double, s double")
+    got = sorted(r["prob"] for r in ladder.interpolate(tr, w, ["row_id"], gaussian_fallback=("f", "s")).collect())
+    assert abs(got[1] - 0.5) < 1e-6 and abs(got[0] - 0.5 * math.erfc(1 / math.sqrt(2))) < 1e-6
