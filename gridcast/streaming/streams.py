@@ -64,13 +64,19 @@ def windowed_snapshot(quotes: DataFrame, series: str = "series_ticker", ts: str
                       window: str = "1 day", watermark: str = "1 day") -> DataFrame:
     """Tumbling-window snapshot per series over a quote stream (X1): count, volume sum, mean
     and max probability of open quotes. Test timestamps are TIMESTAMP_NTZ, which watermarks
-    reject, so the event time is cast to TIMESTAMP (session zone UTC)."""
-    q = priced_quotes(quotes).where(F.col("status") == "open").withColumn("_et", F.col(ts).cast("timestamp"))
+    reject; the event time is rebuilt as the instant whose UTC wall clock equals the NTZ value
+    (from its calendar fields, so the session time zone plays no part) and the window day is
+    read back from epoch seconds."""
+    c = F.col(ts)
+    secs = (F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+            + F.second(c))
+    q = priced_quotes(quotes).where(F.col("status") == "open").withColumn("_et", F.timestamp_seconds(secs))
     g = (q.withWatermark("_et", watermark)
          .groupBy(F.window("_et", window).alias("w"), F.col(series))
          .agg(F.count(F.lit(1)).alias("n_open"), F.sum("volume_int").alias("vol_sum"),
               F.avg("prob").alias("avg_prob"), F.max("prob").alias("max_prob")))
-    return g.select(F.to_date(F.col("w.start")).alias("day"), series, "n_open", "vol_sum", "avg_prob", "max_prob")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    return g.select(day.alias("day"), series, "n_open", "vol_sum", "avg_prob", "max_prob")
 
 
 def run_windowed_snapshot(spark: SparkSession, quotes: DataFrame, keys=("day", "series_ticker")) -> DataFrame:
