@@ -31,3 +31,40 @@ def test_watermark_drops_late_rows_and_updates_in_window(spark):
     assert out[dt.date(2024, 1, 1)] == (1, 0.1)      # the day-1 row of batch 3 is dropped as late
     assert out[dt.date(2024, 1, 5)] == (2, 0.4)      # in-window update merged through the upsert log
     assert out[dt.date(2024, 1, 6)] == (2, 0.7)
+
+
+def test_revision_state_across_batches_and_out_of_order_run(spark):
+    from gridcast.operators.timeseries import forecast_revisions
+    schema = "series_id string, run_ts date, channel string, version int, value double"
+    runs = [
+        [("s", dt.date(2024, 1, 1), "a", 1, 1.0), ("s", dt.date(2024, 1, 1), "b", 1, 5.0),
+         ("t", dt.date(2024, 1, 1), "a", 1, 7.0)],
+        [("s", dt.date(2024, 1, 2), "a", 1, 2.0), ("t", dt.date(2024, 1, 2), "a", 1, 9.0)],
+        [("s", dt.date(2024, 1, 3), "a", 1, 4.0), ("s", dt.date(2024, 1, 3), "b", 1, 8.0)],
+        [("s", dt.date(2024, 1, 2), "b", 1, 99.0)],          # arrives late: an older run, ignored
+    ]
+    landing = scratch_path(spark, "test-x4")
+    for r in runs:
+        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)
+    stream = xs.folder_stream(spark, landing, spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+    got = sorted(tuple(r) for r in xs.run_stream_revisions(spark, stream).collect())
+    batch = spark.createDataFrame([x for r in runs[:3] for x in r], schema)
+    ref = sorted(tuple(r) for r in forecast_revisions(batch, ["series_id"]).collect())
+    assert got == ref
+
+
+def test_partition_upsert_across_batches(spark):
+    schema = "station_id int, date date, temp double, src string"
+    cache = spark.createDataFrame([(1, dt.date(2023, 12, 31), 1.0, "cache"), (1, dt.date(2024, 1, 1), 2.0, "cache"),
+                                   (2, dt.date(2024, 1, 1), 3.0, "cache")], schema)
+    landing = scratch_path(spark, "test-x3")
+    for r in ([(1, dt.date(2024, 1, 1), 20.0, "b1")], [(1, dt.date(2024, 1, 1), 21.0, "b2"),
+                                                       (3, dt.date(2024, 2, 1), 5.0, "b2")]):
+        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)
+    stream = xs.folder_stream(spark, landing, cache.schema, max_files_per_trigger=1)
+    got = sorted(tuple(r) for r in xs.run_stream_upsert(spark, cache, stream, ["station_id", "date"])
+                 .select("station_id", "date", "temp", "src").collect())
+    assert got == [(1, dt.date(2023, 12, 31), 1.0, "cache"), (1, dt.date(2024, 1, 1), 21.0, "b2"),
+                   (2, dt.date(2024, 1, 1), 3.0, "cache"), (3, dt.date(2024, 2, 1), 5.0, "b2")]
