@@ -12,6 +12,7 @@ from gridcast.operators import metrics as mx
 from gridcast.plans.q_features import _target
 from gridcast.plans.q_timeseries import K
 from gridcast.plans.registry import register
+from gridcast.session import cut_lineage
 
 ML_FEATS = ["target_lag_1", "target_lag_2", "target_lag_7", "target_rolling_7", "target_rolling_30",
             "trend_dev_30", "roc_7", "log_return_lag_1", "log_return_std_14", "day_of_week", "month"]
@@ -23,7 +24,8 @@ def ml_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _target(spark, sf_dir).where(F.col("target").isNotNull())
     t = t.withColumn("day_of_week", F.weekday("date").cast("double")).withColumn(
         "month", F.month("date").cast("double"))
-    return mx.chrono_split(t.select(*K, "date", "target", *ML_FEATS), K, N_TEST)
+    # every model query reads this table many times (fits, CV, scoring): materialise it once
+    return cut_lineage(mx.chrono_split(t.select(*K, "date", "target", *ML_FEATS), K, N_TEST))
 
 
 @register("elastic_net", ops="M1 M2 M3 M10 (rows-only) bench:skip")
@@ -49,8 +51,7 @@ def quantile_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _strike_tables(spark: SparkSession, sf_dir: str):
     d = ml_frame(spark, sf_dir)
     grid = ladder.training_grid(d.where(F.col("role") == "train"), K, "target", step=10.0)
-    x = ml.exploded_strikes(d, grid, K)
-    return x
+    return cut_lineage(ml.exploded_strikes(d, grid, K))
 
 
 @register("strike_classifiers", ops="M5 L3 L8 A17 (rows-only) bench:skip")
