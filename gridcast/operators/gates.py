@@ -40,6 +40,12 @@ class ValidatorCfg:
     basis_risk_max_hours_to_close: float = 4.0
 
 
+def _p(df: DataFrame, name: str, default) -> Column:
+    """Gate threshold: a column of that name on the rows (e.g. joined from a per-series config
+    table) wins over the configured literal."""
+    return F.col(name) if name in df.columns else F.lit(default)
+
+
 def spread(yes: Column, no: Column) -> Column:
     """no_ask - (100 - yes_ask); NULL when a side is missing."""
     return (no - (F.lit(100) - yes)).cast("int")
@@ -62,14 +68,16 @@ def compute_signals(markets: DataFrame, probs: DataFrame, on: list[str],
     sp = spread(yes, no)
     j = j.select("*", matched.alias("_m"), edge.alias("_e"), sp.alias("_s"), kp.alias("_kp"))
     e, s = F.col("_e"), F.col("_s")
-    m = cfg.min_edge
+    m = _p(markets, "min_edge", cfg.min_edge)
+    cap = _p(markets, "max_entry_price_cents", cfg.max_entry_price_cents)
     code = (F.when(~F.col("_m"), "no_threshold_match")
-            .when(F.col("volume") < cfg.min_volume, "volume_too_low")
-            .when(F.col("open_interest") < cfg.min_open_interest, "open_interest_too_low")
-            .when(s.isNotNull() & (s > cfg.max_spread_cents), "spread_too_wide")
-            .when((e >= m) & yes.isNotNull() & (yes > cfg.max_entry_price_cents), "entry_too_expensive_yes")
+            .when(F.col("volume") < _p(markets, "min_volume", cfg.min_volume), "volume_too_low")
+            .when(F.col("open_interest") < _p(markets, "min_open_interest", cfg.min_open_interest),
+                  "open_interest_too_low")
+            .when(s.isNotNull() & (s > _p(markets, "max_spread_cents", cfg.max_spread_cents)), "spread_too_wide")
+            .when((e >= m) & yes.isNotNull() & (yes > cap), "entry_too_expensive_yes")
             .when(e >= m, "edge_yes")
-            .when((e <= -m) & no.isNotNull() & (no > cfg.max_entry_price_cents), "entry_too_expensive_no")
+            .when((e <= -m) & no.isNotNull() & (no > cap), "entry_too_expensive_no")
             .when(e <= -m, "edge_no")
             .otherwise("insufficient_edge"))
     decision = (F.when(F.col("reason_code") == "edge_yes", "BUY_YES")

@@ -187,3 +187,11 @@ def test_interpolate_gaussian_fallback_for_empty_ladder(spark):
                               "row_id string, strike double, f double, s double")
     got = sorted(r["prob"] for r in ladder.interpolate(tr, w, ["row_id"], gaussian_fallback=("f", "s")).collect())
     assert abs(got[1] - 0.5) < 1e-6 and abs(got[0] - 0.5 * math.erfc(1 / math.sqrt(2))) < 1e-6
+
+
+def test_per_series_thresholds_from_columns(spark):
+    m = spark.createDataFrame([("a", 3.0, 40, 62, 10, 100, 3000, 5), ("b", 3.0, 40, 62, 10, 100, 3000, 25)],
+                              MKT + ", min_volume int")
+    pr = spark.createDataFrame([(3000, 0.9)], "strike_mills bigint, prob double")
+    got = {r["ticker"]: r["reason_code"] for r in gates.compute_signals(m, pr, ["strike_mills"]).collect()}
+    assert got == {"a": "edge_yes", "b": "volume_too_low"}
