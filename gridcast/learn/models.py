@@ -98,8 +98,8 @@ def fit_quantile_boost(train: DataFrame, features: Sequence[str], alpha: float,
         tm = dt.fit(d)
         scored = tm.transform(d)
         leaf = scored.groupBy("_leaf").agg(F.percentile(F.col("_y") - F.col("_f"), alpha).alias("_step"))
-        leaf = cut_lineage(F.broadcast(leaf))   # one row per leaf: at most 2^depth rows
-        d = (scored.join(leaf, "_leaf", "left")
+        leaf = cut_lineage(leaf)   # one row per leaf: at most 2^depth rows
+        d = (scored.join(F.broadcast(leaf), "_leaf", "left")
              .select("features", "_y", (F.col("_f") + learning_rate * F.coalesce("_step", F.lit(0.0))).alias("_f")))
         if (i + 1) % checkpoint_every == 0:
             d = cut_lineage(d)
@@ -111,7 +111,7 @@ def predict_quantile_boost(model, df: DataFrame, out: str = "prediction") -> Dat
     prep, f0, trees, lr = model
     d = prep.transform(df).withColumn(out, F.lit(f0))
     for tm, leaf in trees:
-        d = tm.transform(d).join(leaf, "_leaf", "left").withColumn(
+        d = tm.transform(d).join(F.broadcast(leaf), "_leaf", "left").withColumn(
             out, F.col(out) + lr * F.coalesce("_step", F.lit(0.0))).drop("_leaf", "_step", "prediction")
     return d.select(*df.columns, out)   # drop the prep stage's columns so predictions chain
 

@@ -77,7 +77,9 @@ def asof_backward(spine: DataFrame, obs: DataFrame, keys: Keys, value_cols: Sequ
                    packed.alias("_pk"))
     s = spine.select(*keys, F.col(date), F.lit(1).alias("_side"),
                      F.lit(None).cast(o.schema["_pk"].dataType).alias("_pk"))
-    w = (Window.partitionBy(*keys).orderBy(F.col(date), F.col("_side"))
+    # ties: observations before spine rows on the same day; among observations released the
+    # same day the one with the latest source date wins
+    w = (Window.partitionBy(*keys).orderBy(F.col(date), F.col("_side"), F.col("_pk._src_date"))
          .rowsBetween(Window.unboundedPreceding, 0))
     u = o.unionByName(s).withColumn("_m", F.last("_pk", ignorenulls=True).over(w))
     u = u.where(F.col("_side") == 1)
