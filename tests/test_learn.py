@@ -58,3 +58,31 @@ def test_permutation_importance_ranks_signal_over_noise(spark):
     summ = {r["feature"]: r["positive_folds"] for r in
             __import__("gridcast.operators.metrics", fromlist=["x"]).importance_summary(imp).collect()}
     assert summ["x"] == 5
+
+
+def test_daily_scoring_composition(spark):
+    from gridcast.learn.models import exploded_strikes, fit_elastic_net, fit_strike_classifier
+    from gridcast.operators import ladder
+    from gridcast.plans.daily import score_day, today_feature_rows
+    rnd = random.Random(5)
+    hist = spark.createDataFrame([(s, dt.date(2023, 1, 1) + dt.timedelta(days=i), 3.0 + 0.5 * (i % 7) / 7 + rnd.gauss(0, 0.05))
+                                  for s in ("a", "b") for i in range(150)], "series_id string, date date, target double")
+    feats = ["target_lag_1", "target_lag_7", "target_rolling_7", "day_of_week"]
+    from gridcast.operators import timeseries as ts
+    fr = ts.target_features(hist, ["series_id"]).withColumn("day_of_week", F.weekday("date").cast("double")) \
+        .withColumn("month", F.month("date").cast("double"))
+    point = fit_elastic_net(fr, feats)
+    grid = ladder.training_grid(fr, ["series_id"], "target", step=0.1)
+    clf = fit_strike_classifier(exploded_strikes(fr, grid, ["series_id"]), feats, max_iter=5)
+    today = spark.createDataFrame([("a", dt.date(2023, 5, 31)), ("b", dt.date(2023, 5, 31))], "series_id string, date date")
+    rows = today_feature_rows(hist, today, ["series_id"])
+    assert rows.count() == 2 and rows.where(F.col("target_lag_1").isNull()).count() == 0
+    resid = spark.createDataFrame([("a", 0.1), ("b", 0.1)], "series_id string, residual_std double")
+    mk = spark.createDataFrame([("a", "A-3.2", 3.2, 3200, 40, 62, 100, 100), ("b", "B-9", 9.0, 9000, 40, 62, 100, 100)],
+                               "series_id string, ticker string, threshold_value double, strike_mills bigint, "
+                               "yes_ask_cents int, no_ask_cents int, volume bigint, open_interest bigint")
+    out = score_day(hist, today, mk, point, clf, grid, resid)
+    gp = out.grid_probs.collect()
+    assert len(gp) == 2 * 21 and all(0.01 <= r["prob"] <= 0.99 for r in gp)
+    sig = {r["ticker"]: r["decision"] for r in out.signals.collect()}
+    assert set(sig) == {"A-3.2", "B-9"} and all(d in ("BUY_YES", "BUY_NO", "NO_TRADE") for d in sig.values())
