@@ -42,3 +42,22 @@ def bucketed_lead(df: DataFrame, group: Sequence[str], key: str, tiebreak: Seque
     out = d.select(*df.columns, *[F.when(F.col("_has_next").isNotNull(), F.col(f"_in_{c}"))
                                   .otherwise(F.col(f"_nf.{c}")).alias(f"{prefix}{c}") for c in [key, *values]])
     return out
+
+
+def bucketed_last_non_null(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
+                           bucket: str, out: str = "_filled") -> DataFrame:
+    """Running ``last(value, ignorenulls)`` over (group ordered by ``order``), computed as a
+    two-phase scan so one group is spread over its buckets (``bucket`` must be monotone in the
+    order, e.g. a date bucket): a running fill inside each (group, bucket), each bucket's last
+    non-null value (partial aggregate), a carry-in scan over the small (group, bucket) table,
+    and a join back on (group, bucket)."""
+    group = list(group)
+    ordk = F.struct(*[F.col(c) for c in order])
+    w = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_in", F.last(F.col(value), ignorenulls=True).over(w))
+    ends = df.groupBy(*group, bucket).agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), ordk)).alias("_out"))
+    wb = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*group, bucket, F.last("_out", ignorenulls=True).over(wb).alias("_carry"))
+    d = d.join(carry, [*group, bucket], "left")
+    return d.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry")

@@ -63,13 +63,15 @@ def gap_free_spine(df: DataFrame, keys: Keys, value_cols: Sequence[str], date: s
 
 def asof_backward(spine: DataFrame, obs: DataFrame, keys: Keys, value_cols: Sequence[str],
                   date: str = "date", obs_date: str = "date", available_at: str | None = None,
-                  tolerance_days: int | None = None) -> DataFrame:
+                  tolerance_days: int | None = None, bucket_days: int | None = None) -> DataFrame:
     """Backward as-of join (J2): for each spine row, the latest observation usable on that day.
 
     An observation is usable from ``available_at`` (if given) else from its own date. The two
     inputs are unioned and scanned once with ``last(..., ignorenulls)`` over the key window —
     one shuffle, no range join and no pair blow-up. ``tolerance_days`` nulls matches older than
-    the tolerance.
+    the tolerance. ``bucket_days`` switches to a two-phase scan over (keys, date bucket)
+    (``ordered.bucketed_last_non_null``) for raw, high-frequency feeds where one key may hold
+    a large share of the rows.
     """
     avail = F.col(available_at) if available_at else F.col(obs_date)
     packed = F.struct(F.col(obs_date).alias("_src_date"), *[F.col(c) for c in value_cols])
@@ -79,9 +81,15 @@ def asof_backward(spine: DataFrame, obs: DataFrame, keys: Keys, value_cols: Sequ
                      F.lit(None).cast(o.schema["_pk"].dataType).alias("_pk"))
     # ties: observations before spine rows on the same day; among observations released the
     # same day the one with the latest source date wins
-    w = (Window.partitionBy(*keys).orderBy(F.col(date), F.col("_side"), F.col("_pk._src_date"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    u = o.unionByName(s).withColumn("_m", F.last("_pk", ignorenulls=True).over(w))
+    u = o.unionByName(s).withColumn("_sd", F.col("_pk._src_date"))
+    if bucket_days:
+        from gridcast.operators.ordered import bucketed_last_non_null
+        u = u.withColumn("_bk", F.floor(F.unix_date(F.col(date)) / bucket_days))
+        u = bucketed_last_non_null(u, keys, [date, "_side", "_sd"], "_pk", "_bk", out="_m")
+    else:
+        w = (Window.partitionBy(*keys).orderBy(F.col(date), F.col("_side"), F.col("_sd"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+        u = u.withColumn("_m", F.last("_pk", ignorenulls=True).over(w))
     u = u.where(F.col("_side") == 1)
     ok = F.lit(True)
     if tolerance_days is not None:

@@ -101,3 +101,16 @@ def test_forecast_revision_needs_immediately_previous_run(spark):
     assert out[(D(2024, 1, 3), "a")] == 2.0
     assert out[(D(2024, 1, 3), "b")] is None   # channel absent from the previous run
     assert (D(2024, 1, 3), "c") not in out     # wrong version ignored
+
+
+def test_asof_bucketed_equals_single_scan(spark):
+    import random
+    rnd = random.Random(11)
+    spine = spark.createDataFrame([(k, D(2024, 1, 1) + dt.timedelta(days=i)) for k in ("a", "b") for i in range(120)],
+                                  "series_id string, date date")
+    obs = spark.createDataFrame([(k, D(2024, 1, 1) + dt.timedelta(days=rnd.randint(-5, 125)), float(j))
+                                 for k in ("a", "b") for j in range(25)], "series_id string, date date, value double")
+    obs = obs.dropDuplicates(["series_id", "date"])
+    a = sorted(tuple(r) for r in ts.asof_backward(spine, obs, ["series_id"], ["value"]).collect())
+    b = sorted(tuple(r) for r in ts.asof_backward(spine, obs, ["series_id"], ["value"], bucket_days=9).collect())
+    assert a == b and len(a) == 240
