@@ -197,3 +197,37 @@ def open_rows(admitted: DataFrame, as_of_ts: Column, side: str = "side",
                           F.col(cost).cast("int").alias("price_cents"), F.lit(1).alias("contracts"),
                           as_of_ts.alias("created_at"), F.lit("entry").alias("kind"))
     return pos, trd
+
+
+def admission_reasons(candidates: DataFrame, state: DataFrame, admitted: DataFrame,
+                      caps: RiskCaps = RiskCaps(), portfolio: str = "portfolio", prio: str = "prio",
+                      cost: str = "ask_cents") -> DataFrame:
+    """Reason for every candidate of a capped-admission pass (B2): the state a candidate sees
+    is the initial state plus the admissions before it (at most R per portfolio, so the join
+    to the admitted rows expands each candidate by at most R), then the gates in the
+    reference's order: open position (incl. one opened earlier in this cycle), traded ticker,
+    open count, exposure, daily count, invalid ask."""
+    adm = admitted.select(portfolio, F.col("ticker").alias("_at"), F.col(prio).alias("_ap"),
+                          F.col(cost).alias("_ac"))
+    c = candidates.join(adm, portfolio, "left")
+    before = F.col("_ap") < F.col(prio)
+    agg = c.groupBy(portfolio, "ticker", prio, cost, "eligibility").agg(
+        F.count_if(before).alias("_k"), F.coalesce(F.sum(F.when(before, F.col("_ac"))), F.lit(0)).alias("_kx"),
+        F.max((before & (F.col("_at") == F.col("ticker"))).cast("int")).alias("_taken"),
+        F.max(((F.col("_ap") == F.col(prio)) & (F.col("_at") == F.col("ticker"))).cast("int")).alias("_me"))
+    st = state.select(portfolio, F.col("n_open").alias("_n0"), F.col("exposure_cents").alias("_x0"),
+                      F.col("n_entries").alias("_b0"))
+    j = agg.join(st, portfolio, "left").fillna(0, subset=["_n0", "_x0", "_b0"])
+    n = F.col("_n0") + F.col("_k")
+    x = F.col("_x0") + F.col("_kx")
+    b = F.col("_b0") + F.col("_k")
+    why = (F.when(F.col("_me") == 1, "ok")
+           .when((F.col("eligibility") == "already_have_open_position") | (F.col("_taken") == 1),
+                 "already_have_open_position")
+           .when(F.col("eligibility") != "ok", F.col("eligibility"))
+           .when(n >= caps.max_open_positions, "max_open_positions")
+           .when(x + F.col(cost) > caps.max_total_exposure_cents, "max_total_exposure")
+           .when(b >= caps.max_bets_per_day, "max_bets_per_day")
+           .when((F.col(cost) <= 0) | (F.col(cost) >= 100), "invalid_ask")
+           .otherwise("ok"))
+    return j.select(portfolio, "ticker", prio, cost, why.alias("reason"))

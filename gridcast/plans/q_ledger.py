@@ -181,3 +181,12 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*K, "forecast", "median_resid", "residual_std",
                     (F.col("forecast") - 1.645 * F.col("residual_std")).alias("quantile_05"),
                     (F.col("forecast") + 1.645 * F.col("residual_std")).alias("quantile_95"), "n_rows")
+
+
+@register("admission_audit", ops="B2 G5 (rows-only: reason per candidate of the admission fold)")
+def admission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cand = admission_candidates(spark, sf_dir)
+    state = cand.select("portfolio").distinct().select(
+        "portfolio", F.lit(0).alias("n_open"), F.lit(0).alias("exposure_cents"), F.lit(0).alias("n_entries"))
+    adm = ledger.capped_admission(cand, state, CAPS)
+    return ledger.admission_reasons(cand, state, adm, CAPS)

@@ -132,3 +132,37 @@ def test_robust_spread_floor(spark):
                                "g string, r double")
     got = {r["g"]: r["residual_std"] for r in mx.robust_spread(df, ["g"], "r").collect()}
     assert got["s"] == 0.05 and abs(got["t"] - 1.4826) < 1e-12
+
+
+def _fold_reasons(cands, caps):
+    n_open, exp, bets, out, taken = 0, 0, 0, {}, set()
+    for prio, ticker, ask in sorted(cands):
+        if ticker in taken:
+            out[prio] = "already_have_open_position"
+        elif n_open >= caps.max_open_positions:
+            out[prio] = "max_open_positions"
+        elif exp + ask > caps.max_total_exposure_cents:
+            out[prio] = "max_total_exposure"
+        elif bets >= caps.max_bets_per_day:
+            out[prio] = "max_bets_per_day"
+        elif ask <= 0 or ask >= 100:
+            out[prio] = "invalid_ask"
+        else:
+            out[prio] = "ok"
+            taken.add(ticker)
+            n_open, exp, bets = n_open + 1, exp + ask, bets + 1
+    return out
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 100)), min_size=1, max_size=20),
+       st.integers(1, 4), st.integers(50, 250))
+def test_admission_reasons_match_sequential_fold(spark, raw, max_open, max_exp):
+    caps = ledger.RiskCaps(max_open_positions=max_open, max_total_exposure_cents=max_exp, max_bets_per_day=3)
+    cands = [(i, f"T{t}", a) for i, (t, a) in enumerate(raw)]
+    df = spark.createDataFrame([("p", t, i, a, "ok") for i, t, a in cands],
+                               "portfolio string, ticker string, prio bigint, ask_cents int, eligibility string")
+    state = spark.createDataFrame([("p", 0, 0, 0)], "portfolio string, n_open int, exposure_cents int, n_entries int")
+    adm = ledger.capped_admission(df, state, caps)
+    got = {r["prio"]: r["reason"] for r in ledger.admission_reasons(df, state, adm, caps).collect()}
+    assert got == _fold_reasons(cands, caps)
