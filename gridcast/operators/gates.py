@@ -95,11 +95,15 @@ def compute_signals(markets: DataFrame, probs: DataFrame, on: list[str],
 
 def validate_markets(markets: DataFrame, cfg: ValidatorCfg = ValidatorCfg(),
                      forecast: str = "forecast_value",
-                     minutes_to_close: str = "minutes_to_close") -> DataFrame:
+                     minutes_to_close: str = "minutes_to_close", side_aware: bool = False) -> DataFrame:
     """First-fail validator (G4): (ok, reason_code). Time gates only when minutes_to_close is
-    known; the basis-risk zone needs both forecast and minutes_to_close. The YES ask is checked
-    for the price band and entry cap whatever the side (as the reference does)."""
+    known; the basis-risk zone needs both forecast and minutes_to_close. By default the YES ask
+    is checked for the price band and entry cap whatever the side (as the reference does);
+    ``side_aware=True`` checks the ask of the side a ``decision`` column says is bought (D9)."""
     yes, no = F.col("yes_ask_cents"), F.col("no_ask_cents")
+    band = yes
+    if side_aware:
+        band = F.when(F.col("decision") == "BUY_NO", no).otherwise(yes)
     mtc, f, k = F.col(minutes_to_close), F.col(forecast), F.col("threshold_value")
     sp = no - (F.lit(100) - yes)
     basis_on = cfg.basis_risk_strike_window > 0 and cfg.basis_risk_max_hours_to_close > 0
@@ -110,8 +114,8 @@ def validate_markets(markets: DataFrame, cfg: ValidatorCfg = ValidatorCfg(),
             .when(F.col("open_interest") < cfg.min_open_interest, "open_interest_too_low")
             .when(yes.isNull() | no.isNull(), "no_two_sided_book")
             .when(sp > cfg.max_spread_cents, "spread_too_wide")
-            .when(~yes.between(cfg.prob_low_cents, cfg.prob_high_cents), "yes_ask_outside_bounds")
-            .when(yes > cfg.max_entry_price_cents, "entry_too_expensive")
+            .when(~band.between(cfg.prob_low_cents, cfg.prob_high_cents), "yes_ask_outside_bounds")
+            .when(band > cfg.max_entry_price_cents, "entry_too_expensive")
             .when(mtc.isNotNull() & (mtc < cfg.min_minutes_to_close), "too_close_to_close")
             .when(mtc.isNotNull() & (mtc > cfg.max_minutes_to_close), "too_far_from_close")
             .when(basis, "basis_risk_zone")

@@ -195,3 +195,12 @@ def test_per_series_thresholds_from_columns(spark):
     pr = spark.createDataFrame([(3000, 0.9)], "strike_mills bigint, prob double")
     got = {r["ticker"]: r["reason_code"] for r in gates.compute_signals(m, pr, ["strike_mills"]).collect()}
     assert got == {"a": "edge_yes", "b": "volume_too_low"}
+
+
+def test_validator_side_aware_option(spark):
+    m = spark.createDataFrame([("n", 3.0, 78, 24, 25, 25, 60.0, 1.0, "BUY_NO")],
+                              "ticker string, threshold_value double, yes_ask_cents int, no_ask_cents int, "
+                              "volume bigint, open_interest bigint, minutes_to_close double, forecast_value double, "
+                              "decision string")
+    assert gates.validate_markets(m).first()["reason_code"] == "entry_too_expensive"          # YES ask 78 > 75
+    assert gates.validate_markets(m, side_aware=True).first()["reason_code"] == "ok"          # NO ask 24 is in [20, 80]
