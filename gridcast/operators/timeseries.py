@@ -264,9 +264,15 @@ def weather_lag_rolling(df: DataFrame, keys: Keys, date: str = "date") -> DataFr
 
 
 def target_features(df: DataFrame, keys: Keys, target: str = "target",
-                    date: str = "date") -> DataFrame:
+                    date: str = "date", trading_days_only: bool = False) -> DataFrame:
     """Target block (W11-W16): lags, SMAs, std, trend deviations, rates of change,
-    log-return lags, realised volatility, vol-of-vol and acceleration."""
+    log-return lags, realised volatility, vol-of-vol and acceleration.
+
+    By default lags count spine rows, so a Monday's lag 1 is the (NULL) Sunday, as in the
+    reference (D20); ``trading_days_only=True`` drops NULL-target rows first so lags count
+    trading days."""
+    if trading_days_only:
+        df = df.where(F.col(target).isNotNull())
     w = wspec(keys, date)
     p = F.col(target)
     p1 = F.lag(p, 1).over(w)

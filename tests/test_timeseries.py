@@ -114,3 +114,11 @@ def test_asof_bucketed_equals_single_scan(spark):
     a = sorted(tuple(r) for r in ts.asof_backward(spine, obs, ["series_id"], ["value"]).collect())
     b = sorted(tuple(r) for r in ts.asof_backward(spine, obs, ["series_id"], ["value"], bucket_days=9).collect())
     assert a == b and len(a) == 240
+
+
+def test_trading_days_only_lags(spark):
+    rows = [("a", D(2024, 1, 5), 1.0), ("a", D(2024, 1, 6), None), ("a", D(2024, 1, 7), None), ("a", D(2024, 1, 8), 2.0)]
+    df = spark.createDataFrame(rows, "series_id string, date date, target double")
+    spine = {r["date"]: r["target_lag_1"] for r in ts.target_features(df, ["series_id"]).collect()}
+    trade = {r["date"]: r["target_lag_1"] for r in ts.target_features(df, ["series_id"], trading_days_only=True).collect()}
+    assert spine[D(2024, 1, 8)] is None and trade[D(2024, 1, 8)] == 1.0
