@@ -30,14 +30,23 @@ class DailyScore:
 
 
 def today_feature_rows(history: DataFrame, today: DataFrame, keys: Sequence[str],
-                       target: str = "target", date: str = "date") -> DataFrame:
+                       target: str = "target", date: str = "date",
+                       carry_static: Sequence[str] = ()) -> DataFrame:
     """History + today rows (existing rows of those dates replaced) -> gap-free spine ->
-    target and calendar features -> only the today rows (P14)."""
+    target and calendar features -> only the today rows (P14). Columns the today row lacks are
+    NULL, as in the reference (D19); ``carry_static`` names columns that instead keep their
+    last known history value on the today row."""
+    from pyspark.sql import Window
     keys = list(keys)
     h = history.join(today.select(*keys, date), [*keys, date], "left_anti").withColumn("_today", F.lit(0))
     u = h.unionByName(today.withColumn("_today", F.lit(1)), allowMissingColumns=True)
     vals = [c for c in u.columns if c not in (*keys, date)]
     sp = ts.gap_free_spine(u, keys, vals, date=date)
+    if carry_static:
+        w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+        for c in carry_static:
+            sp = sp.withColumn(c, F.when(F.col("_today") == 1, F.last(c, ignorenulls=True).over(w))
+                               .otherwise(F.col(c)))
     f = ts.target_features(sp, keys, target=target, date=date)
     f = f.withColumn("day_of_week", F.weekday(date).cast("double")).withColumn("month", F.month(date).cast("double"))
     return f.where(F.col("_today") == 1).drop("_today")

@@ -122,3 +122,13 @@ def test_trading_days_only_lags(spark):
     spine = {r["date"]: r["target_lag_1"] for r in ts.target_features(df, ["series_id"]).collect()}
     trade = {r["date"]: r["target_lag_1"] for r in ts.target_features(df, ["series_id"], trading_days_only=True).collect()}
     assert spine[D(2024, 1, 8)] is None and trade[D(2024, 1, 8)] == 1.0
+
+
+def test_today_row_carry_static(spark):
+    from gridcast.plans.daily import today_feature_rows
+    hist = spark.createDataFrame([("a", D(2024, 1, d), float(d), 100.0 + d) for d in range(1, 11)],
+                                 "series_id string, date date, target double, storage double")
+    today = spark.createDataFrame([("a", D(2024, 1, 11))], "series_id string, date date")
+    plain = today_feature_rows(hist, today, ["series_id"]).first()
+    carried = today_feature_rows(hist, today, ["series_id"], carry_static=["storage"]).first()
+    assert plain["storage"] is None and carried["storage"] == 110.0 and carried["target_lag_1"] == 10.0
