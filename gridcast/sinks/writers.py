@@ -86,3 +86,11 @@ def save_current_forecast(wide: DataFrame, keys: Sequence[str], run_ts: Column,
         "run_ts", run_ts).withColumn("version", F.lit(1))
     long.write.mode("append").parquet(path)
     return long
+
+
+def upsert_station_cache(table: str, fresh: DataFrame, keys: Sequence[str] = ("station_id", "date")) -> None:
+    """Incremental station cache (K9): merge ``fresh`` into the year-partitioned table at
+    ``table`` (fresh rows win per key) and rewrite only the touched year partitions (dynamic
+    partition overwrite). Same merge as the streaming variant (X3)."""
+    from gridcast.streaming.streams import upsert_partitions_writer
+    upsert_partitions_writer(table, keys)(fresh, 0)

@@ -90,3 +90,15 @@ def test_ledger_lifecycle_smoke(spark):
     assert ledger.open_positions(r2.positions).count() == 0
     kinds = sorted(r["kind"] for r in r2.trades.collect())
     assert kinds == ["entry", "exit"]
+
+
+def test_station_cache_upsert_touches_only_batch_years(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    cache = spark.createDataFrame([(1, dt.date(2022, 5, 1), 1.0), (1, dt.date(2023, 5, 1), 2.0)],
+                                  "station_id int, date date, temp double")
+    cache.withColumn("year", F.year("date")).write.partitionBy("year").parquet(path)
+    fresh = spark.createDataFrame([(1, dt.date(2023, 5, 1), 20.0), (2, dt.date(2023, 6, 1), 3.0)],
+                                  "station_id int, date date, temp double")
+    writers.upsert_station_cache(path, fresh)
+    got = sorted((r["station_id"], r["date"], r["temp"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, dt.date(2022, 5, 1), 1.0), (1, dt.date(2023, 5, 1), 20.0), (2, dt.date(2023, 6, 1), 3.0)]
