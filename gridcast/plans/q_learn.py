@@ -89,3 +89,26 @@ def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     imp = ml.permutation_importance(d, ML_FEATS, K, repeats=2)
     corr = mx.pairwise_corr(d, ML_FEATS)
     return ml.select_features(imp, corr)
+
+
+@register("per_strike_ensemble", ops="M5 (per-strike mode) A19 A17 (rows-only) bench:skip")
+def per_strike_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-classifier-per-strike ensemble on a coarse grid (step 100: a handful of strikes
+    per series), 3 seeds each, members averaged (A19) on the test tail."""
+    d = ml_frame(spark, sf_dir)
+    grid = ladder.training_grid(d.where(F.col("role") == "train"), K, "target", step=100.0)
+    x = cut_lineage(ml.exploded_strikes(d, grid, K))
+    strikes = sorted({r["strike"] for r in grid.select("strike").distinct().collect()})  # coarse grid
+    fits = ml.fit_per_strike(x.where(F.col("role") == "train"), ML_FEATS, strikes, max_iter=10)
+    te = x.where(F.col("role") == "test")
+    out = None
+    for k, members in fits.items():
+        xs = te.where(F.col("strike") == float(k))
+        scored = xs.select(*K, "date", "strike", "label")
+        for i, m in enumerate(members):
+            p = ml.prob_of_one(m.transform(xs)).select(*K, "date", "strike", F.col("prob").alias(f"p{i}"))
+            scored = scored.join(p, [*K, "date", "strike"])
+        scored = scored.select(*K, "date", "strike", "label",
+                               ml.ensemble_blend([f"p{i}" for i in range(len(members))]).alias("prob"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
