@@ -77,3 +77,14 @@ def test_snapshot_wide_pivot(spark):
                                  "label string, n_open bigint, vol_sum bigint, avg_prob double, max_prob double")
     r = snapshot_wide(snap, ["a", "b"]).collect()[0].asDict()
     assert r["xk_a_n_open"] == 2 and r["xk_a_max_prob"] == 0.5 and r["xk_b_avg_prob"] is None
+
+
+def test_save_and_load_model_roundtrip(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from gridcast.learn.models import save_model
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    m = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v")]).fit(df)
+    save_model(m, str(tmp_path / "m"))
+    loaded = load_model(str(tmp_path / "m"))
+    assert loaded is not None and loaded.transform(df).first()["v"].toArray().tolist() == [1.0, 2.0]
