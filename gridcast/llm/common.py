@@ -36,6 +36,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_most(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` of a few longs a row, to be broadcast if it has at most ``rows`` rows; beyond that the
+    join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 

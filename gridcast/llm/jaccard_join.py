@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import WORDS, components, map_rows, mix, row_key, window_hashes, word_hashes, written
+from gridcast.llm.common import WORDS, at_most, components, map_rows, mix, row_key, window_hashes, word_hashes, written
 
 WORDS_IN_SHINGLE = 5
 PERCENT = 80
@@ -146,27 +146,20 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
             .withColumn("most", F.max("node").over(by_token)).filter("hub <> most").drop("most"))
     post = written(post, "prefix")
 
-    # segments of every node that shares a prefix shingle
-    some = post.select("node").distinct().join(
-        narrow.groupBy("node").agg(F.min("key").alias("key")), "node").select("key").distinct()
-
-    def cut(rows: pd.DataFrame):
-        doc, s, sizes = _sets(list(rows["text"]), k)
-        ids = _nodes(doc, s, sizes)
-        part = (s >> np.uint64(32)).astype(np.int64) * fragments >> 32
-        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) |
-                                              (part[1:] != part[:-1])])) if len(doc) else []
-        vals = np.split(s.view(np.int64), edge[1:]) if len(doc) else []
-        return pd.DataFrame({"node": ids[doc[edge]], "part": part[edge], "seg": vals}) \
-            if len(doc) else None
-
-    seg = written(map_rows(src.select("key", "text").join(some, "key").dropDuplicates(["key"])
-                           .select("text"), cut, "node long, part int, seg array<long>"), "segment")
-
     sizes_ok = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    # a pair at the threshold holds alpha shingles in common, of which at most
+    # max(ceil(t na), ceil(t nb)) - 1 lie behind the shorter prefix: the others must have met
+    alpha = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
+    behind = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100) - F.lit(1e-9)) - 1
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) that reach the threshold: partial overlaps by fragment, summed per pair."""
+        """(a, b) that reach the threshold: partial overlaps by fragment, summed per pair. Only the
+        texts of nodes in a pair are read again; a key per node finds them."""
+        pairs = written(pairs.filter(sizes_ok).filter(F.col("met") >= alpha - behind).select("a", "b", "na", "nb"), "pair")
+        used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        keys = written(narrow.join(at_most(used), "node").groupBy("node").agg(F.min("key").alias("key")).select("key"), "key")
+        seg = written(map_rows(src.select("key", "text").join(at_most(keys), "key").dropDuplicates(["key"])
+                               .select("text"), cut, "node long, part int, seg array<long>"), "segment")
         left = seg.select(F.col("node").alias("a"), "part", F.col("seg").alias("sa"))
         right = seg.select(F.col("node").alias("b"), "part", F.col("seg").alias("sb"))
         return (pairs.join(left, "a").join(right, ["b", "part"])
@@ -174,10 +167,19 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
                 .groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
                 .filter(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"))
 
+    def cut(rows: pd.DataFrame):
+        doc, s, sizes = _sets(list(rows["text"]), k)
+        if not len(doc):
+            return None
+        part = (s >> np.uint64(32)).astype(np.int64) * fragments >> 32
+        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
+        return pd.DataFrame({"node": _nodes(doc, s, sizes)[doc[edge]], "part": part[edge],
+                             "seg": np.split(s.view(np.int64), edge[1:])})
+
+    # with the hub of each shingle; what this round leaves out the next one examines
     hubs = post.filter("node = hub").groupBy("hub").agg(F.max("n").alias("nb"))
-    first = (post.filter("node <> hub").groupBy("node", "hub").agg(F.max("n").alias("na"))
-             .join(hubs, "hub").filter(sizes_ok)
-             .select(F.col("node").alias("a"), F.col("hub").alias("b"), "na", "nb"))
+    first = (post.filter("node <> hub").groupBy("node", "hub").agg(F.max("n").alias("na"), F.count("*").alias("met"))
+             .join(hubs, "hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "na", "nb", "met"))
     links = written(verified(first), "link")
     comp = components(links)
 
@@ -189,13 +191,8 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
                    .select("token", "node", "n", "c"), "rest")
     a = rest.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     b = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    # a pair at the threshold holds alpha shingles in common, of which at most
-    # max(ceil(t na), ceil(t nb)) - 1 lie behind the shorter prefix: the others must have met
-    alpha = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
-    behind = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100) - F.lit(1e-9)) - 1
     more = (a.join(b, "token").filter("a < b and ca <> cb").filter(sizes_ok)
-            .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
-            .filter(F.col("met") >= alpha - behind).drop("met"))
+            .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")))
     links = written(links.unionByName(verified(more)), "link")
     comp = components(links)
 
