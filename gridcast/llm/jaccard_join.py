@@ -27,7 +27,7 @@ from gridcast.llm.common import WORDS, at_most, components, map_rows, mix, row_k
 WORDS_IN_SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 20
-COMMON = 4  # a bucket this many times the mean is common
+COMMON = 6  # a bucket is common that many standard deviations (of rare shingles only) over the mean
 
 
 def _sets(texts: list[bytes], k: int):
@@ -71,8 +71,6 @@ class _Sketch:
 
     def __call__(self, rows: pd.DataFrame):
         _, s, _ = _sets(list(rows["text"]), self.k)
-        # without common shingles a prefix ends near the least fifth of the hashes
-        s = s[s < np.uint64(int(0.35 * 2**64))]
         self.count += np.bincount((s % np.uint64(len(self.count))).astype(np.int64),
                                   minlength=len(self.count))
 
@@ -83,7 +81,7 @@ class _Sketch:
 
 def _common(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
     """Weight class of each bucket, from counts over the whole corpus: 0, or for a common bucket
-    the power of two of its count over the mean. ``buckets`` bytes, whatever the corpus."""
+    the power of two of its excess over the mean. ``buckets`` bytes, whatever the corpus."""
     def make():
         return _Sketch(k, buckets)
 
@@ -92,9 +90,9 @@ def _common(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
                      .agg(F.sum("c").alias("c")), "sketch")
     out = np.zeros(buckets, np.uint8)
     mean = (counts.agg(F.sum("c")).first()[0] or 0) / buckets
-    heavy = counts.filter(F.col("c") >= max(COMMON * mean, 16)).toPandas()  # <= buckets / COMMON
+    heavy = counts.filter(F.col("c") >= mean + COMMON * mean ** 0.5 + 16).toPandas()
     if len(heavy):
-        out[heavy["bucket"]] = 1 + np.floor(np.log2(heavy["c"] / max(mean, 1))).clip(0, 60)
+        out[heavy["bucket"]] = 1 + np.floor(np.log2((heavy["c"] - mean).clip(1))).clip(0, 60)
     return out
 
 
@@ -139,23 +137,21 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
         return _Prefixes(k, percent, weight)
 
     prefixes.stateful = True
-    post = map_rows(src.select("text"), prefixes, "token long, node long, n int")
+    post = map_rows(src.select("text"), prefixes, "token long, node long, n int, rank int")
     by_token = Window.partitionBy("token")
-    post = (post.repartition("token").groupBy("token", "node").agg(F.max("n").alias("n"))
-            .withColumn("hub", F.min("node").over(by_token))
-            .withColumn("most", F.max("node").over(by_token)).filter("hub <> most").drop("most"))
+    post = (post.repartition("token").groupBy("token", "node").agg(F.max("n").alias("n"), F.max("rank").alias("rank"))
+            .withColumn("nodes", F.count("*").over(by_token)).filter("nodes > 1")
+            .withColumn("hub", F.min(F.struct("rank", "node")).over(by_token)["node"]).drop("nodes"))
     post = written(post, "prefix")
 
     sizes_ok = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    # a pair at the threshold holds alpha shingles in common, of which at most
-    # max(ceil(t na), ceil(t nb)) - 1 lie behind the shorter prefix: the others must have met
+    # a pair at the threshold has alpha shingles in common
     alpha = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
-    behind = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100) - F.lit(1e-9)) - 1
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) that reach the threshold: partial overlaps by fragment, summed per pair. Only the
         texts of nodes in a pair are read again; a key per node finds them."""
-        pairs = written(pairs.filter(sizes_ok).filter(F.col("met") >= alpha - behind).select("a", "b", "na", "nb"), "pair")
+        pairs = written(pairs.select("a", "b", "na", "nb"), "pair")
         used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         keys = written(narrow.join(at_most(used), "node").groupBy("node").agg(F.min("key").alias("key")).select("key"), "key")
         seg = written(map_rows(src.select("key", "text").join(at_most(keys), "key").dropDuplicates(["key"])
@@ -176,23 +172,30 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
         return pd.DataFrame({"node": _nodes(doc, s, sizes)[doc[edge]], "part": part[edge],
                              "seg": np.split(s.view(np.int64), edge[1:])})
 
-    # with the hub of each shingle; what this round leaves out the next one examines
+    # with the hub of each shingle, the node with the fewest shingles before it (of a group of edited
+    # copies the least edited). Only pairs that met often are tested here: the next round
+    # examines every other pair that is not in one class by then
     hubs = post.filter("node = hub").groupBy("hub").agg(F.max("n").alias("nb"))
     first = (post.filter("node <> hub").groupBy("node", "hub").agg(F.max("n").alias("na"), F.count("*").alias("met"))
-             .join(hubs, "hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "na", "nb", "met"))
+             .join(hubs, "hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "na", "nb", "met")
+             .filter(sizes_ok).filter(F.col("met") >= alpha - F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100) + 1))
     links = written(verified(first), "link")
     comp = components(links)
 
     # every pair of one shingle whose nodes are not yet in one class
-    rest = (post.select("token", "node", "n").join(comp, "node", "left")
+    rest = (post.select("token", "node", "n", "rank").join(comp, "node", "left")
             .withColumn("c", F.coalesce("component", "node")))
     rest = written(rest.withColumn("lo", F.min("c").over(by_token))
                    .withColumn("hi", F.max("c").over(by_token)).filter("lo <> hi")
-                   .select("token", "node", "n", "c"), "rest")
-    a = rest.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    more = (a.join(b, "token").filter("a < b and ca <> cb").filter(sizes_ok)
-            .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")))
+                   .select("token", "node", "n", "rank", "c"), "rest")
+    # a pair with sizes na <= nb must share a shingle of the first na - alpha + 1 and nb - alpha + 1
+    a = rest.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("c").alias("ca")) \
+        .filter(F.col("ra") <= F.col("na") - F.ceil(F.lit(2 * percent) * F.col("na") / F.lit(100 + percent) - F.lit(1e-9)))
+    b = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("c").alias("cb"))
+    more = (a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & F.expr(sizes_ok)
+                   & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+                   & (F.col("ra") <= F.col("na") - alpha) & (F.col("rb") <= F.col("nb") - alpha))
+            .select("a", "b", "na", "nb").distinct())
     links = written(links.unionByName(verified(more)), "link")
     comp = components(links)
 
@@ -222,7 +225,7 @@ class _Prefixes:
         doc, s = doc[order], s[order]
         keep = (rank < length[doc]) & fresh[doc]
         return pd.DataFrame({"token": s[keep].view(np.int64), "node": ids[doc[keep]],
-                             "n": sizes[doc[keep]]})
+                             "n": sizes[doc[keep]], "rank": rank[keep]})
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
