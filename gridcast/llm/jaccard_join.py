@@ -158,19 +158,28 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
                                .select("text"), cut, "node long, part int, seg array<long>"), "segment")
         left = seg.select(F.col("node").alias("a"), "part", F.col("seg").alias("sa"))
         right = seg.select(F.col("node").alias("b"), "part", F.col("seg").alias("sb"))
-        return (pairs.join(left, "a").join(right, ["b", "part"])
-                .select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
-                .groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+        overlap = F.size(F.array_intersect("sa", "sb"))
+        # the first fragment bounds the overlap: most pairs that fail end here
+        hopeful = written(pairs.join(left.filter("part = 0"), "a").join(right.filter("part = 0").drop("part"), "b")
+                          .select("a", "b", "na", "nb", overlap.alias("o"), F.size("sa").alias("fa"), F.size("sb").alias("fb"))
+                          .filter(F.col("o") + F.least(F.expr("na - fa"), F.expr("nb - fb")) >= alpha)
+                          .drop("fa", "fb"), "hopeful")
+        rest = (hopeful.join(left.filter("part > 0"), "a").join(right.filter("part > 0"), ["b", "part"])
+                .select("a", "b", "na", "nb", overlap.alias("o")))
+        return (hopeful.unionByName(rest).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
                 .filter(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"))
 
     def cut(rows: pd.DataFrame):
         doc, s, sizes = _sets(list(rows["text"]), k)
-        if not len(doc):
-            return None
-        part = (s >> np.uint64(32)).astype(np.int64) * fragments >> 32
-        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
-        return pd.DataFrame({"node": _nodes(doc, s, sizes)[doc[edge]], "part": part[edge],
-                             "seg": np.split(s.view(np.int64), edge[1:])})
+        ids = _nodes(doc, s, sizes)
+        # a quarter of the order is fragment 0, which every node has; the others share the rest
+        part = np.where(s >> np.uint64(62) == 0, 0, 1 + ((s >> np.uint64(32)).astype(np.int64) - (1 << 30)) * (fragments - 1) // (3 << 30))
+        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(doc) else []
+        vals = np.split(s.view(np.int64), edge[1:]) if len(doc) else []
+        out = pd.DataFrame({"node": ids[doc[edge]] if len(doc) else [], "part": part[edge] if len(doc) else [], "seg": vals})
+        bare = np.setdiff1d(ids, out["node"][out["part"] == 0])
+        more = pd.DataFrame({"node": bare, "part": 0, "seg": [np.empty(0, np.int64)] * len(bare)})
+        return pd.concat([out, more]) if len(bare) else out
 
     # with the hub of each shingle, the node with the fewest shingles before it (of a group of edited
     # copies the least edited). Only pairs that met often are tested here: the next round
