@@ -27,7 +27,7 @@ from gridcast.llm.common import WORDS, at_most, components, map_rows, mix, row_k
 WORDS_IN_SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 20
-COMMON = 6  # a bucket is common that many standard deviations (of rare shingles only) over the mean
+COMMON = 4  # a bucket is common that many standard deviations (of rare shingles only) over the mean
 
 
 def _sets(texts: list[bytes], k: int):
@@ -90,7 +90,7 @@ def _common(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
                      .agg(F.sum("c").alias("c")), "sketch")
     out = np.zeros(buckets, np.uint8)
     mean = (counts.agg(F.sum("c")).first()[0] or 0) / buckets
-    heavy = counts.filter(F.col("c") >= mean + COMMON * mean ** 0.5 + 16).toPandas()
+    heavy = counts.filter(F.col("c") >= mean + COMMON * mean ** 0.5 + 8).toPandas()
     if len(heavy):
         out[heavy["bucket"]] = 1 + np.floor(np.log2((heavy["c"] - mean).clip(1))).clip(0, 60)
     return out
@@ -154,8 +154,10 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
         pairs = written(pairs.select("a", "b", "na", "nb"), "pair")
         used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         keys = written(narrow.join(at_most(used), "node").groupBy("node").agg(F.min("key").alias("key")).select("key"), "key")
-        seg = written(map_rows(src.select("key", "text").join(at_most(keys), "key").dropDuplicates(["key"])
-                               .select("text"), cut, "node long, part int, seg array<long>"), "segment")
+        texts = src.select("key", "text").join(at_most(keys), "key")
+        if narrow.join(at_most(keys), "key").count() > keys.count():     # repeated rows: one of each
+            texts = texts.dropDuplicates(["key"])
+        seg = written(map_rows(texts.select("text"), cut, "node long, part int, seg array<long>"), "segment")
         left = seg.select(F.col("node").alias("a"), "part", F.col("seg").alias("sa"))
         right = seg.select(F.col("node").alias("b"), "part", F.col("seg").alias("sb"))
         overlap = F.size(F.array_intersect("sa", "sb"))
