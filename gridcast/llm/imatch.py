@@ -52,12 +52,15 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
                                                                     .alias("mask")), "lexicon")
 
 
-def signatures(ordered: Column) -> Column:
-    """Signature of each subset from a sorted array of (term, mask): '' for an empty subset."""
+def _bit(mask: int):
+    return lambda t: t["mask"].bitwiseAND(F.lit(mask).cast("long")) != 0
+
+
+def signatures(levels: list[Column]) -> Column:
+    """Signature of each subset from the sorted (term, mask) of each rate: '' for an empty subset."""
     def one(k: int) -> Column:
-        return F.array_join(F.transform(
-            F.filter(ordered, lambda t: t["mask"].bitwiseAND(F.lit(1 << k).cast("long")) != 0),
-            lambda t: t["term"]), " ")
+        part = F.filter(levels[k // COPIES], _bit(1 << k))
+        return F.array_join(F.transform(part, lambda t: t["term"]), " ")
 
     return F.transform(F.array(*[one(k) for k in range(SUBSETS)]),
                        lambda p: F.when(p == "", p).otherwise(F.substring(F.md5(p), 1, 10)))
@@ -88,10 +91,13 @@ def _fingerprints(rows: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFra
     """Adds, for each name: (array of terms, hash of the whole text), the fingerprint. Step by
     step, so that no step is computed once per subset."""
     rows = rows.withColumns({f"{n}_o": F.array_sort(F.col(found)) for n, (found, _) in sides.items()})
-    rows = rows.withColumns({f"{n}_s": signatures(F.col(f"{n}_o")) for n in sides})
+    # a rate's terms first: its subsets then look at those alone
+    of_rate = [((1 << COPIES) - 1) << (COPIES * j) for j in range(len(RATES))]
+    rows = rows.withColumns({f"{n}_{j}": F.filter(f"{n}_o", _bit(m)) for n in sides for j, m in enumerate(of_rate)})
+    rows = rows.withColumns({f"{n}_s": signatures([F.col(f"{n}_{j}") for j in range(len(RATES))]) for n in sides})
     rows = rows.withColumns({n: F.when(F.exists(f"{n}_s", lambda v: v != ""), F.array_join(f"{n}_s", "-"))
                              .otherwise(F.col(whole)) for n, (_, whole) in sides.items()})
-    return rows.drop(*[f"{n}_{x}" for n in sides for x in "os"], *[f for f, _ in sides.values()])
+    return rows.drop(*[f"{n}_{x}" for n in sides for x in ("o", "s", *range(len(RATES)))], *[f for f, _ in sides.values()])
 
 
 def _with_lexicon(texts: DataFrame, lex: DataFrame, keys: list[str], sides: int) -> DataFrame:
