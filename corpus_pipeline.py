@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = sentencepiece_codec.load_pieces()
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, pieces), pieces)
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), pieces, decoded="decoded")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 

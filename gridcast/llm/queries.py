@@ -15,7 +15,7 @@ from gridcast.llm.common import read_table
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentencepiece_codec.load_pieces()
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, pieces), pieces)
+    coded = sentencepiece_codec.encode(docs, pieces, decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 

@@ -24,8 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcast.llm.common import map_rows, written
 
@@ -241,21 +243,39 @@ def frequent_words(docs: DataFrame, text: str = "text", head: int = HEAD) -> Dat
     return counts.filter(F.col("c") >= least).select("word")
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids", head: int = HEAD) -> DataFrame:
-    """``docs`` with ``out``: the ids of each whole text. Null and empty texts have no ids; repeated
-    rows are encoded each; extra columns pass through (one named ``out`` is replaced)."""
+def _byte_table(p: dict) -> list[bytes]:
+    """Bytes of each piece; control pieces have none."""
+    byte0 = p["byte0"]
+    return [t.replace(BLANK, " ").encode() if ok else bytes([i - byte0]) if 0 <= byte0 <= i < byte0 + 256 else b""
+            for i, (t, ok) in enumerate(zip(p["text"], p["normal"], strict=True))]
+
+
+def _join(table: list[bytes], ids) -> str:
+    return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
+
+def _add(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(batch.columns + list(columns.values()), batch.schema.names + list(columns))
+
+
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids", head: int = HEAD,
+           decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``out``: the ids of each whole text, and with ``decoded`` the text decoded from
+    them in the same pass. Null and empty texts have no ids; repeated rows are encoded each; extra
+    columns pass through (those named like the new ones are replaced)."""
     known = encode_words(frequent_words(docs, text, head), pieces).toPandas()     # at most head rows
     entries = {w: np.asarray(i, np.int32).tobytes() for w, i in zip(known["word"], known["ids"], strict=True)}
     held = docs.sparkSession.sparkContext.broadcast((entries, vars(pieces)))
+    base = docs.drop(out, *([decoded] if decoded else []))
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, p = held.value
         normal = [i for i, ok in enumerate(p["normal"]) if ok]
         ids = {p["text"][i]: i for i in normal}
         value = {p["text"][i]: p["score"][i] for i in normal}
         rank = {w: r for r, w in enumerate(sorted(value, key=lambda w: (-value[w], ids[w])))}
         longest, low = max(map(len, ids), default=1), min(value.values(), default=0.0) - UNKNOWN
+        table = _byte_table(p) if decoded else []
         memo: dict[str, bytes] = {}
 
         def rare(w: str) -> bytes:
@@ -264,35 +284,36 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids"
                 got = fold_word(w, rank, ids, p["byte0"], p["unknown"]) if p["kind"] == "bpe" else \
                     viterbi_word(w, value, ids, p["byte0"], p["unknown"], longest, low)
                 got = np.asarray(got, np.int32).tobytes()
-                if len(memo) > 100_000:
+                if len(memo) > 50_000:
                     memo.clear()
                 memo[w] = got
             return got
 
-        for texts in batches:
-            done = []
-            for t in texts:
-                parts = [entries.get(w) or rare(w) for w in words_of(t)]
-                done.append(np.frombuffer(b"".join(parts), np.int32))
-            yield pd.Series(done)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                coded = [b"".join([entries.get(w) or rare(w) for w in words_of(t)])
+                         for t in rows.column(text).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+                new = {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))}
+                if decoded:
+                    new[decoded] = pa.array([_join(table, np.frombuffer(c, np.int32).tolist()) for c in coded], pa.string())
+                yield _add(rows, **new)
 
-    return docs.withColumn(out, run(F.col(text)))
+    schema = T.StructType([*base.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
+                           *([T.StructField(decoded, T.StringType())] if decoded else [])])
+    return base.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with ``out``: the text of each list of ids (null and empty lists give ''). Control
     pieces vanish, the blank in front goes, broken UTF-8 becomes U+FFFD; ids outside the table raise."""
-    table = [t.replace(BLANK, " ").encode() if ok else
-             bytes([i - pieces.byte0]) if pieces.byte0 >= 0 and pieces.byte0 <= i < pieces.byte0 + 256 else b""
-             for i, (t, ok) in enumerate(zip(pieces.text, pieces.normal, strict=True))]
-    held = coded.sparkSession.sparkContext.broadcast(table)
+    held = coded.sparkSession.sparkContext.broadcast(vars(pieces))
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        parts = held.value
+        table = _byte_table(held.value)
         for lists in batches:
-            yield pd.Series(["" if x is None or not len(x) else
-                             b"".join([parts[i] for i in x.tolist()]).decode("utf-8", "replace").removeprefix(" ")
-                             for x in lists])
+            yield pd.Series(["" if x is None else _join(table, x.tolist()) for x in lists], dtype=object)
 
     return coded.withColumn(out, run(F.col(ids)))
