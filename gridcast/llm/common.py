@@ -42,6 +42,11 @@ def at_most(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def local(df: DataFrame) -> pd.DataFrame:
+    """A bounded result on the driver, over Arrow whatever the session's setting."""
+    return df.toArrow().to_pandas()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import WORDS, at_most, components, map_rows, mix, row_key, window_hashes, word_hashes, written
+from gridcast.llm.common import WORDS, at_most, components, local, map_rows, mix, row_key, window_hashes, word_hashes, written
 
 WORDS_IN_SHINGLE = 5
 PERCENT = 80
@@ -90,7 +90,7 @@ def _common(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
                      .agg(F.sum("c").alias("c")), "sketch")
     out = np.zeros(buckets, np.uint8)
     mean = (counts.agg(F.sum("c")).first()[0] or 0) / buckets
-    heavy = counts.filter(F.col("c") >= mean + COMMON * mean ** 0.5 + 8).toPandas()
+    heavy = local(counts.filter(F.col("c") >= mean + COMMON * mean ** 0.5 + 8))
     if len(heavy):
         out[heavy["bucket"]] = 1 + np.floor(np.log2((heavy["c"] - mean).clip(1))).clip(0, 60)
     return out

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import _SPACE, map_rows, window_hashes, word_hashes
+from gridcast.llm.common import _SPACE, local, map_rows, window_hashes, word_hashes
 
 PASSAGE = 64
 FIT_ROWS = 16_000   # labelled documents the model is fitted on, the first by hash of doc_id
@@ -165,7 +165,7 @@ def fit(sample: DataFrame) -> Model:
         cut = np.searchsorted(bag, np.arange(len(rows) + 1))
         return pd.DataFrame({"y": rows["y"], "x": [x[a:b].ravel() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
-    data = map_rows(sample.select("text", "y"), encode, "y int, x array<float>").toPandas()
+    data = local(map_rows(sample.select("text", "y"), encode, "y int, x array<float>"))
     y = (data["y"].to_numpy() == 1).astype(float)
     if not len(y) or y.min() == y.max():
         bias = 0.0 if not len(y) else float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))

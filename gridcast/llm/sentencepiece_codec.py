@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import map_rows, written
+from gridcast.llm.common import local, map_rows, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids"
     """``docs`` with ``out``: the ids of each whole text, and with ``decoded`` the text decoded from
     them in the same pass. Null and empty texts have no ids; repeated rows are encoded each; extra
     columns pass through (those named like the new ones are replaced)."""
-    known = encode_words(frequent_words(docs, text, head), pieces).toPandas()     # at most head rows
+    known = local(encode_words(frequent_words(docs, text, head), pieces))     # at most head rows
     entries = {w: np.asarray(i, np.int32).tobytes() for w, i in zip(known["word"], known["ids"], strict=True)}
     held = docs.sparkSession.sparkContext.broadcast((entries, vars(pieces)))
     base = docs.drop(out, *([decoded] if decoded else []))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import _powers, map_rows, mix
+from gridcast.llm.common import _powers, local, map_rows, mix
 
 GRAMS = (4, 5, 6)
 FIT_ROWS = 16_000        # labelled rows the classifier is fitted on, the first by hash of doc_id
@@ -152,7 +152,7 @@ def fit(sample: DataFrame, features: int = FEATURES) -> Model:
               .agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter(F.col("p") + F.col("n") >= MIN_TEXTS))
     ratio = F.log((F.col("p") + SMOOTH) / (pos + 2 * SMOOTH)) - F.log((F.col("n") + SMOOTH) / (neg + 2 * SMOOTH))
     evidence = F.abs(ratio) * F.sqrt(F.when(ratio > 0, F.col("p") / pos).otherwise(F.col("n") / neg))
-    best = counts.select("g", ratio.alias("r"), evidence.alias("e")).orderBy(F.desc("e"), "g").limit(features).toPandas()
+    best = local(counts.select("g", ratio.alias("r"), evidence.alias("e")).orderBy(F.desc("e"), "g").limit(features))
     best = best.sort_values("g")
     feats, r = best["g"].to_numpy(np.int64), best["r"].to_numpy(float)
 
@@ -165,12 +165,12 @@ def fit(sample: DataFrame, features: int = FEATURES) -> Model:
 
     if not len(feats):
         return Model(feats, r, float(np.log(pos / neg)))
-    data = map_rows(sample, hits, "y int, at array<int>").toPandas()
+    data = local(map_rows(sample, hits, "y int, at array<int>"))
     lens = np.array([len(a) for a in data["at"]])
-    cols = np.concatenate(data["at"].to_list()) if lens.sum() else np.empty(0, np.int64)
+    cols = np.concatenate(data["at"].to_list()).astype(np.int64) if lens.sum() else np.empty(0, np.int64)
     rows = np.repeat(np.arange(len(data)), lens)
     y = (data["y"].to_numpy() == 1).astype(float)
-    w, b = _logistic(rows, cols.astype(np.int64), r[cols], y, len(feats), RIDGE)
+    w, b = _logistic(rows, cols, r[cols], y, len(feats), RIDGE)
     return Model(feats, w * r, b)
 
 
