@@ -157,14 +157,17 @@ def draws(placed: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
     quotas = goals.select("sk", F.ceil(F.col("quota") / block_words).cast("long").alias("blocks")).filter("blocks > 0")
     total = quotas.agg(F.sum("blocks")).first()[0] or 0
     shards = max(1, math.ceil(total * block_words / shard_words))
-    dealt = split_quotas(quotas, shards, seed).filter("blocks > 0")
+    # written by themselves: the tree's expressions are long, and a plan over documents that holds
+    # them is optimised anew at each of its stages
+    quotas = written(quotas, "mix-quotas")
+    dealt = written(split_quotas(quotas, shards, seed).filter("blocks > 0"), "mix-tree")
     run = Window.partitionBy("sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     turn = (dealt.withColumn("lo", F.coalesce(F.sum("blocks").over(run), F.lit(0)))
             .select("sk", "shard", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("blocks") - 1)).alias("turn")))
     permuted = (quotas.select("sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
                 .withColumn("turn", (F.row_number().over(Window.partitionBy("sk").orderBy(
                     F.md5(F.concat_ws(":", F.lit(seed), "block")), "block")) - 1).cast("long")))
-    where = permuted.join(turn, ["sk", "turn"]).select("sk", "block", "shard")
+    where = written(permuted.join(turn, ["sk", "turn"]).select("sk", "block", "shard"), "mix-blocks")
     taken = (placed.filter("size > 0")
              .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
              .withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start"))
@@ -182,7 +185,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     shard) added. Documents beyond their source's target and those without words are not drawn. An
     empty table gives no rows. Columns of ``docs`` named shard or place are replaced."""
     base = docs.drop("shard", "place")
-    drawn = draws(layout(base, text, source, id_col, **kw)).select("rid", "shard", "place", "size", "words")
+    placed = written(layout(base, text, source, id_col, **kw), "mix-layout")
+    drawn = draws(placed).select("rid", "shard", "place", "size", "words")
     keyed = base.withColumn("__rid", F.xxhash64(*[F.col(f"`{c}`") for c in base.columns]))
     once = keyed.dropDuplicates(["__rid"])
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), 1, F.col("words").cast("int")), " ")
