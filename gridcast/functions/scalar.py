@@ -37,8 +37,8 @@ def epoch_day(x: ColumnOrName) -> Column:
 
 
 def num(x: ColumnOrName) -> Column:
-    """Text or number -> DOUBLE; anything uncastable becomes NULL (F2)."""
-    return _c(x).try_cast("double")
+    """Text or number -> finite DOUBLE; anything uncastable, NaN and infinities become NULL."""
+    return finite(_c(x).try_cast("double"))
 
 
 def trunc_int(x: ColumnOrName) -> Column:

@@ -71,8 +71,8 @@ def compute_signals(markets: DataFrame, probs: DataFrame, on: list[str],
     m = _p(markets, "min_edge", cfg.min_edge)
     cap = _p(markets, "max_entry_price_cents", cfg.max_entry_price_cents)
     code = (F.when(~F.col("_m"), "no_threshold_match")
-            .when(F.col("volume") < _p(markets, "min_volume", cfg.min_volume), "volume_too_low")
-            .when(F.col("open_interest") < _p(markets, "min_open_interest", cfg.min_open_interest),
+            .when(F.coalesce("volume", F.lit(0)) < _p(markets, "min_volume", cfg.min_volume), "volume_too_low")
+            .when(F.coalesce("open_interest", F.lit(0)) < _p(markets, "min_open_interest", cfg.min_open_interest),
                   "open_interest_too_low")
             .when(s.isNotNull() & (s > _p(markets, "max_spread_cents", cfg.max_spread_cents)), "spread_too_wide")
             .when((e >= m) & yes.isNotNull() & (yes > cap), "entry_too_expensive_yes")
@@ -110,8 +110,8 @@ def validate_markets(markets: DataFrame, cfg: ValidatorCfg = ValidatorCfg(),
     basis = (f.isNotNull() & mtc.isNotNull() & (mtc < cfg.basis_risk_max_hours_to_close * 60)
              & (F.abs(k - f) <= cfg.basis_risk_strike_window)) if basis_on else F.lit(False)
     code = (F.when(k.isNull(), "no_threshold_match")
-            .when(F.col("volume") < cfg.min_volume, "volume_too_low")
-            .when(F.col("open_interest") < cfg.min_open_interest, "open_interest_too_low")
+            .when(F.coalesce("volume", F.lit(0)) < cfg.min_volume, "volume_too_low")
+            .when(F.coalesce("open_interest", F.lit(0)) < cfg.min_open_interest, "open_interest_too_low")
             .when(yes.isNull() | no.isNull(), "no_two_sided_book")
             .when(sp > cfg.max_spread_cents, "spread_too_wide")
             .when(~band.between(cfg.prob_low_cents, cfg.prob_high_cents), "yes_ask_outside_bounds")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.functions.scalar import falsy_num_to_null, num, pnl_cents, side_exit_cents
+from gridcast.functions.scalar import blank_to_null, falsy_num_to_null, num, pnl_cents, side_exit_cents
 from gridcast.operators.timeseries import latest_per_key
 
 
@@ -54,18 +54,18 @@ def latest_status(status: DataFrame, order_cols=("ts",)) -> DataFrame:
 def settlements(positions: DataFrame, status: DataFrame) -> DataFrame:
     """Exit prices for open positions whose market has resolved.
 
-    Skip markets still open / active. Settle text = first of yes_settled_price,
-    settlement_value that is present and non-zero; it must parse (else skip), and is rounded
+    Skip markets still open / active. Settle text = yes_settled_price where
+    present and non-zero, else settlement_value where present (0 settles at 0); it must parse (else skip), and is rounded
     half-even. Without one: result yes -> 100, no -> 0, otherwise the position stays open.
     """
     p = open_positions(positions)
     j = p.join(status.select("ticker", "status", "yes_settled_price", "settlement_value", "result")
                .withColumnRenamed("status", "mkt_status"), "ticker")
-    settle_txt = F.coalesce(falsy_num_to_null("yes_settled_price"), falsy_num_to_null("settlement_value"))
+    settle_txt = F.coalesce(falsy_num_to_null("yes_settled_price"), blank_to_null("settlement_value"))
     res = F.lower(F.coalesce(F.col("result"), F.lit("")))
     settle = (F.when(settle_txt.isNotNull(), F.bround(num(settle_txt), 0).cast("int"))
               .when(res == "yes", F.lit(100)).when(res == "no", F.lit(0)))
-    j = j.where(~F.col("mkt_status").isin("open", "active")).withColumn("_settle", settle)
+    j = j.where(~F.coalesce("mkt_status", F.lit("")).isin("open", "active")).withColumn("_settle", settle)
     j = j.where(F.col("_settle").isNotNull())
     ex = side_exit_cents("side", "_settle")
     return j.select("portfolio", "id", "ticker", "side", "entry_price_cents", "contracts",
