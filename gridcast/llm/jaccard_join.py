@@ -12,7 +12,10 @@ All shingles have one global order: by a weight class from a count sketch over t
 3. Links. Each prefix shingle first pairs its nodes with one hub only; pairs that hold are united,
    and only nodes of one shingle that are still in different classes are paired in full. Since
    links only matter up to connection, no pair inside a class is lost, and a group of copies of
-   any size gives rows in proportion to its size.
+   any size gives rows in proportion to its size. The full pairing keeps a pair only at the first
+   shingle that both have, and only if the parity bitmaps of the two sets differ in no more bits
+   than two linked sets may differ in shingles (each shingle flips one bit, so the bitmaps never
+   differ in more bits than the sets in shingles: no link is lost).
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from gridcast.llm.common import WORDS, at_most, components, local, map_rows, mix
 WORDS_IN_SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 20
+BITMAP = 8  # longs of a set's parity bitmap
 COMMON = 4  # a bucket is common that many standard deviations (of rare shingles only) over the mean
 
 
@@ -58,6 +62,15 @@ def _nodes(doc: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, ids, 0)
 
 
+def _bitmaps(doc: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    """Parity bitmap of each of ``n`` sets: every shingle flips one of 64 * BITMAP bits."""
+    bit = mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)
+    out = np.zeros(n * BITMAP, np.uint64)
+    np.bitwise_xor.at(out, doc * BITMAP + (bit // np.uint64(64) % np.uint64(BITMAP)).astype(np.int64),
+                      np.uint64(1) << (bit % np.uint64(64)))
+    return out.view(np.int64).reshape(n, BITMAP)
+
+
 def _order(s: np.ndarray, common: dict | np.ndarray) -> np.ndarray:
     """Weight class of each shingle: 0 unless its bucket is common."""
     return common[(s % np.uint64(len(common))).astype(np.int64)]
@@ -128,11 +141,12 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
 
     def members(rows: pd.DataFrame):
         doc, s, sizes = _sets(list(rows["text"]), k)
-        return pd.DataFrame({"key": rows["key"], "id": rows["id"],
-                             "node": _nodes(doc, s, sizes), "n": sizes})
+        out = pd.DataFrame({"key": rows["key"], "id": rows["id"], "node": _nodes(doc, s, sizes), "n": sizes})
+        return out.assign(**dict(zip(bitmap, _bitmaps(doc, s, len(rows)).T, strict=True)))
 
-    narrow = written(map_rows(src, members, f"key long, id {src.schema['id'].dataType.simpleString()},"
-                                            " node long, n int"), "sets")
+    bitmap = [f"w{i}" for i in range(BITMAP)]
+    narrow = written(map_rows(src, members, f"key long, id {src.schema['id'].dataType.simpleString()}, node long, n int, "
+                              + ", ".join(f"{w} long" for w in bitmap)), "sets")
     def prefixes():
         return _Prefixes(k, percent, weight)
 
@@ -199,13 +213,24 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     rest = written(rest.withColumn("lo", F.min("c").over(by_token))
                    .withColumn("hi", F.max("c").over(by_token)).filter("lo <> hi")
                    .select("token", "node", "n", "rank", "c"), "rest")
+    # with each shingle of a node the two before it that are also in question, and the node's bitmap
+    by_node = Window.partitionBy("node").orderBy("rank")
+    rest = (rest.withColumn("p", F.lag("token", 1).over(by_node)).withColumn("q", F.lag("token", 2).over(by_node))
+            .join(narrow.groupBy("node").agg(*[F.max(w).alias(w) for w in bitmap]), "node"))
+
+    def side(x: str) -> DataFrame:
+        return rest.select("token", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rank", "c", "p", "q", *bitmap)])
+
     # a pair with sizes na <= nb must share a shingle of the first na - alpha + 1 and nb - alpha + 1
-    a = rest.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("c").alias("ca")) \
-        .filter(F.col("ra") <= F.col("na") - F.ceil(F.lit(2 * percent) * F.col("na") / F.lit(100 + percent) - F.lit(1e-9)))
-    b = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("c").alias("cb"))
+    a = side("a").filter(F.col("ranka") <= F.col("na") - F.ceil(F.lit(2 * percent) * F.col("na") / F.lit(100 + percent) - F.lit(1e-9)))
+    b = side("b")
+    apart = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in bitmap), F.lit(0))
+    # a shared shingle before this one has lower ranks in both, so the pair meets there as well
+    before = F.coalesce(F.col("pa").isin(F.col("pb"), F.col("qb")) | F.col("qa").isin(F.col("pb"), F.col("qb")), F.lit(False))
     more = (a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & F.expr(sizes_ok)
                    & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-                   & (F.col("ra") <= F.col("na") - alpha) & (F.col("rb") <= F.col("nb") - alpha))
+                   & (F.col("ranka") <= F.col("na") - alpha) & (F.col("rankb") <= F.col("nb") - alpha)
+                   & ~before & (apart <= F.col("na") + F.col("nb") - 2 * alpha))
             .select("a", "b", "na", "nb").distinct())
     links = written(links.unionByName(verified(more)), "link")
     comp = components(links)

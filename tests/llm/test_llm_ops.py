@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,17 @@ def test_html(spark):
     assert sorted((r.page_id, r.text) for r in html_text.extract(rows).collect()) == sorted(
         [(1, want), (1, want), (2, ""), (3, ""), (4, "deep")])
     assert html_text.extract(rows.limit(0)).count() == 0
+
+
+def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 30, n)).encode() for n in (0, 3, 40, 40, 400, 5000)]
+    texts.append(texts[3] + b" more words here")
+    doc, s, sizes = jaccard_join._sets(texts, 5)
+    bits = jaccard_join._bitmaps(doc, s, len(texts))
+    sets = [set(s[doc == i].tolist()) for i in range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            apart = sum(int(v).bit_count() for v in (bits[i] ^ bits[j]).view(np.uint64))
+            assert apart <= len(sets[i] ^ sets[j])
+    assert not bits[0].any() and (bits[3] != bits[2]).any()
