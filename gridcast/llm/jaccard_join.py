@@ -31,6 +31,7 @@ WORDS_IN_SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 20
 BITMAP = 8  # longs of a set's parity bitmap
+LANES = 16  # counts in a row of the sketch
 COMMON = 4  # a bucket is common that many standard deviations (of rare shingles only) over the mean
 
 
@@ -77,7 +78,7 @@ def _order(s: np.ndarray, common: dict | np.ndarray) -> np.ndarray:
 
 
 class _Sketch:
-    """Counts of shingles per bucket within a task: one row per bucket and task."""
+    """Counts of shingles per bucket within a task: a row holds the counts of LANES buckets."""
 
     def __init__(self, k: int, buckets: int):
         self.k, self.count = k, np.zeros(buckets, np.int64)
@@ -88,19 +89,24 @@ class _Sketch:
                                   minlength=len(self.count))
 
     def end(self):
-        at = np.flatnonzero(self.count)
-        return pd.DataFrame({"bucket": at, "c": self.count[at]})
+        lanes = self.count.reshape(-1, LANES)
+        at = np.flatnonzero(lanes.any(1))
+        return pd.DataFrame({"row": at, **{f"c{i}": lanes[at, i] for i in range(LANES)}})
 
 
 def _common(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
     """Weight class of each bucket, from counts over the whole corpus: 0, or for a common bucket
-    the power of two of its excess over the mean. ``buckets`` bytes, whatever the corpus."""
+    the power of two of its excess over the mean. ``buckets`` (a multiple of LANES) bytes, whatever
+    the corpus."""
     def make():
         return _Sketch(k, buckets)
 
     make.stateful = True
-    counts = written(map_rows(docs, make, "bucket int, c long").groupBy("bucket")
-                     .agg(F.sum("c").alias("c")), "sketch")
+    lanes = [f"c{i}" for i in range(LANES)]
+    summed = map_rows(docs, make, "row int, " + ", ".join(f"{c} long" for c in lanes)).groupBy("row").agg(
+        *[F.sum(c).alias(c) for c in lanes])
+    counts = written(summed.select("row", F.posexplode(F.array(*lanes)).alias("lane", "c"))
+                     .select((F.col("row") * LANES + F.col("lane")).alias("bucket"), "c").filter("c > 0"), "sketch")
     out = np.zeros(buckets, np.uint8)
     mean = (counts.agg(F.sum("c")).first()[0] or 0) / buckets
     heavy = local(counts.filter(F.col("c") >= mean + COMMON * mean ** 0.5 + 8))
@@ -147,6 +153,9 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     bitmap = [f"w{i}" for i in range(BITMAP)]
     narrow = written(map_rows(src, members, f"key long, id {src.schema['id'].dataType.simpleString()}, node long, n int, "
                               + ", ".join(f"{w} long" for w in bitmap)), "sets")
+    bitmaps = written(narrow.filter("n > 0").groupBy("node").agg(*[F.max(w).alias(w) for w in bitmap]), "bitmap")
+    narrow = narrow.drop(*bitmap)
+
     def prefixes():
         return _Prefixes(k, percent, weight)
 
@@ -162,6 +171,12 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     # a pair at the threshold has alpha shingles in common
     alpha = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
 
+    def bits_of(x: str) -> DataFrame:
+        return bitmaps.select(F.col("node").alias(x), *[F.col(w).alias(w + x) for w in bitmap])
+
+    apart = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in bitmap), F.lit(0))
+    close = apart <= F.col("na") + F.col("nb") - 2 * alpha
+
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) that reach the threshold: partial overlaps by fragment, summed per pair. Only the
         texts of nodes in a pair are read again; a key per node finds them."""
@@ -203,34 +218,35 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     hubs = post.filter("node = hub").groupBy("hub").agg(F.max("n").alias("nb"))
     first = (post.filter("node <> hub").groupBy("node", "hub").agg(F.max("n").alias("na"), F.count("*").alias("met"))
              .join(hubs, "hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "na", "nb", "met")
-             .filter(sizes_ok).filter(F.col("met") >= alpha - F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100) + 1))
+             .filter(sizes_ok).filter(F.col("met") >= alpha - F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100) + 1)
+             .join(bits_of("a"), "a").join(bits_of("b"), "b").filter(close))
     links = written(verified(first), "link")
     comp = components(links)
 
     # every pair of one shingle whose nodes are not yet in one class
     rest = (post.select("token", "node", "n", "rank").join(comp, "node", "left")
             .withColumn("c", F.coalesce("component", "node")))
-    rest = written(rest.withColumn("lo", F.min("c").over(by_token))
-                   .withColumn("hi", F.max("c").over(by_token)).filter("lo <> hi")
+    # a pair with sizes na <= nb must share a shingle of the first na - alpha + 1 and nb - alpha + 1:
+    # a shingle that no node has as early as the smaller of a pair must have it brings no pair
+    early = F.col("rank") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent) - F.lit(1e-9))
+    rest = written(rest.withColumn("lo", F.min("c").over(by_token)).withColumn("hi", F.max("c").over(by_token))
+                   .withColumn("some", F.max(early).over(by_token)).filter("lo <> hi and some")
                    .select("token", "node", "n", "rank", "c"), "rest")
     # with each shingle of a node the two before it that are also in question, and the node's bitmap
     by_node = Window.partitionBy("node").orderBy("rank")
     rest = (rest.withColumn("p", F.lag("token", 1).over(by_node)).withColumn("q", F.lag("token", 2).over(by_node))
-            .join(narrow.groupBy("node").agg(*[F.max(w).alias(w) for w in bitmap]), "node"))
+            .join(bitmaps, "node").repartition("token"))
 
     def side(x: str) -> DataFrame:
         return rest.select("token", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rank", "c", "p", "q", *bitmap)])
 
-    # a pair with sizes na <= nb must share a shingle of the first na - alpha + 1 and nb - alpha + 1
-    a = side("a").filter(F.col("ranka") <= F.col("na") - F.ceil(F.lit(2 * percent) * F.col("na") / F.lit(100 + percent) - F.lit(1e-9)))
-    b = side("b")
-    apart = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in bitmap), F.lit(0))
+    a, b = side("a"), side("b")         # two readings of one shuffle
     # a shared shingle before this one has lower ranks in both, so the pair meets there as well
     before = F.coalesce(F.col("pa").isin(F.col("pb"), F.col("qb")) | F.col("qa").isin(F.col("pb"), F.col("qb")), F.lit(False))
     more = (a.join(b, (a["token"] == b["token"]) & (F.col("ca") != F.col("cb")) & F.expr(sizes_ok)
                    & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
                    & (F.col("ranka") <= F.col("na") - alpha) & (F.col("rankb") <= F.col("nb") - alpha)
-                   & ~before & (apart <= F.col("na") + F.col("nb") - 2 * alpha))
+                   & ~before & close)
             .select("a", "b", "na", "nb").distinct())
     links = written(links.unionByName(verified(more)), "link")
     comp = components(links)
