@@ -15,7 +15,8 @@ All shingles have one global order: by a weight class from a count sketch over t
    any size gives rows in proportion to its size. The full pairing keeps a pair only at the first
    shingle that both have, and only if the parity bitmaps of the two sets differ in no more bits
    than two linked sets may differ in shingles (each shingle flips one bit, so the bitmaps never
-   differ in more bits than the sets in shingles: no link is lost).
+   differ in more bits than the sets in shingles: no link is lost). Sets that fill the short bitmaps
+   are compared once more, by bitmaps of a bit or more for each shingle, before any segment moves.
 """
 
 from __future__ import annotations
@@ -72,6 +73,19 @@ def _bitmaps(doc: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64).reshape(n, BITMAP)
 
 
+def _wide_bitmaps(doc: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> list:
+    """Parity bitmap of each set of more than 64 * BITMAP shingles, else None: a power of two times
+    BITMAP longs, a bit or more for each shingle. A longer one folds to a shorter by xor of its parts."""
+    longs = np.where(sizes > 64 * BITMAP, BITMAP << np.ceil(np.log2(np.maximum(sizes, 1) / (64 * BITMAP))).clip(0).astype(np.int64), 0)
+    end = np.cumsum(longs)
+    big = longs[doc] > 0 if len(doc) else np.empty(0, bool)
+    doc, bit = doc[big], mix(s[big] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)
+    out = np.zeros(longs.sum(), np.uint64)
+    at = (end - longs)[doc] + (bit // np.uint64(64)).astype(np.int64) % longs[doc]
+    np.bitwise_xor.at(out, at, np.uint64(1) << (bit % np.uint64(64)))
+    return [out[e - m:e].view(np.int64) if m else None for e, m in zip(end, longs, strict=True)]
+
+
 def _order(s: np.ndarray, common: dict | np.ndarray) -> np.ndarray:
     """Weight class of each shingle: 0 unless its bucket is common."""
     return common[(s % np.uint64(len(common))).astype(np.int64)]
@@ -148,13 +162,15 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     def members(rows: pd.DataFrame):
         doc, s, sizes = _sets(list(rows["text"]), k)
         out = pd.DataFrame({"key": rows["key"], "id": rows["id"], "node": _nodes(doc, s, sizes), "n": sizes})
-        return out.assign(**dict(zip(bitmap, _bitmaps(doc, s, len(rows)).T, strict=True)))
+        return out.assign(**dict(zip(bitmap, _bitmaps(doc, s, len(rows)).T, strict=True)),
+                          wide=_wide_bitmaps(doc, s, sizes))
 
     bitmap = [f"w{i}" for i in range(BITMAP)]
     narrow = written(map_rows(src, members, f"key long, id {src.schema['id'].dataType.simpleString()}, node long, n int, "
-                              + ", ".join(f"{w} long" for w in bitmap)), "sets")
+                              + ", ".join(f"{w} long" for w in bitmap) + ", wide array<long>"), "sets")
     bitmaps = written(narrow.filter("n > 0").groupBy("node").agg(*[F.max(w).alias(w) for w in bitmap]), "bitmap")
-    narrow = narrow.drop(*bitmap)
+    wide = narrow.filter("wide is not null").select("node", "wide")
+    narrow = narrow.drop("wide", *bitmap)
 
     def prefixes():
         return _Prefixes(k, percent, weight)
@@ -177,12 +193,32 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     apart = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in bitmap), F.lit(0))
     close = apart <= F.col("na") + F.col("nb") - 2 * alpha
 
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def close_wide(pairs: DataFrame) -> DataFrame:
+        """Without the pairs of two large sets whose wide bitmaps differ in too many bits."""
+        both = F.least("na", "nb") > 64 * BITMAP
+        large = pairs.filter(both)
+        maps = written(wide.join(at_most(nodes_of(large)), "node").groupBy("node").agg(F.first("wide").alias("wide")), "wide")
+        met = (large.join(maps.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a")
+               .join(maps.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b"))
+        m = F.least(F.size("wa"), F.size("wb"))
+
+        def fold(x: str):
+            return F.transform(F.sequence(F.lit(1), m), lambda i: F.aggregate(
+                F.sequence(i, F.size(x), m), F.lit(0).cast("long"), lambda t, j: t.bitwiseXOR(F.element_at(x, j))))
+
+        met = met.withColumns({"wa": fold("wa"), "wb": fold("wb")})
+        differ = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+        return pairs.filter(~both).unionByName(
+            met.filter(differ <= F.col("na") + F.col("nb") - 2 * alpha).select(*pairs.columns))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) that reach the threshold: partial overlaps by fragment, summed per pair. Only the
         texts of nodes in a pair are read again; a key per node finds them."""
-        pairs = written(pairs.select("a", "b", "na", "nb"), "pair")
-        used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = written(narrow.join(at_most(used), "node").groupBy("node").agg(F.min("key").alias("key")).select("key"), "key")
+        pairs = written(close_wide(written(pairs.select("a", "b", "na", "nb"), "pair")), "close")
+        keys = written(narrow.join(at_most(nodes_of(pairs)), "node").groupBy("node").agg(F.min("key").alias("key")).select("key"), "key")
         texts = src.select("key", "text").join(at_most(keys), "key")
         if narrow.join(at_most(keys), "key").count() > keys.count():     # repeated rows: one of each
             texts = texts.dropDuplicates(["key"])

@@ -273,3 +273,30 @@ def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets_in_shingles():
             apart = sum(int(v).bit_count() for v in (bits[i] ^ bits[j]).view(np.uint64))
             assert apart <= len(sets[i] ^ sets[j])
     assert not bits[0].any() and (bits[3] != bits[2]).any()
+
+
+def test_wide_bitmaps_keep_every_link_of_large_sets(spark):
+    rng = np.random.default_rng(5)
+    long = [" ".join(f"w{v}" for v in rng.integers(0, 10 ** 6, n)) for n in (1000, 1000, 1020, 3000)]
+    texts = [*long, long[0] + " " + " ".join(f"x{i}" for i in range(60)),    # 1024 shingles lie between
+             long[3] + " " + " ".join(f"y{i}" for i in range(500)), long[3] + " " + " ".join(f"z{i}" for i in range(900)),
+             " ".join(long[1].split()[:830]), " ".join(long[1].split()[:700])]
+    raw = [t.encode() for t in texts]
+    doc, s, sizes = jaccard_join._sets(raw, 5)
+    sets = [set(s[doc == i].tolist()) for i in range(len(texts))]
+    wide = jaccard_join._wide_bitmaps(doc, s, sizes)
+    assert {len(w) for w in wide} == {16, 32, 64}
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            m = min(len(wide[i]), len(wide[j]))
+            x, y = (np.bitwise_xor.reduce(wide[k].reshape(-1, m)) for k in (i, j))
+            assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(sets[i] ^ sets[j])
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.shingle_components(docs).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) < len(texts)
