@@ -59,8 +59,8 @@ def _bit(mask: int):
 def signatures(levels: list[Column]) -> Column:
     """Signature of each subset from the sorted (term, mask) of each rate: '' for an empty subset."""
     def one(k: int) -> Column:
-        part = F.filter(levels[k // COPIES], _bit(1 << k))
-        return F.array_join(F.transform(part, lambda t: t["term"]), " ")
+        inside = _bit(1 << k)                # array_join leaves out the nulls
+        return F.array_join(F.transform(levels[k // COPIES], lambda t: F.when(inside(t), t["term"])), " ")
 
     return F.transform(F.array(*[one(k) for k in range(SUBSETS)]),
                        lambda p: F.when(p == "", p).otherwise(F.substring(F.md5(p), 1, 10)))
@@ -87,33 +87,42 @@ def likeness(a: Column, b: Column) -> Column:
                   (a == b).cast("double")).otherwise(ratio)
 
 
-def _fingerprints(rows: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
-    """Adds, for each name: (array of terms, hash of the whole text), the fingerprint. Step by
-    step, so that no step is computed once per subset."""
-    rows = rows.withColumns({f"{n}_o": F.array_sort(F.col(found)) for n, (found, _) in sides.items()})
-    # a rate's terms first: its subsets then look at those alone
-    of_rate = [((1 << COPIES) - 1) << (COPIES * j) for j in range(len(RATES))]
-    rows = rows.withColumns({f"{n}_{j}": F.filter(f"{n}_o", _bit(m)) for n in sides for j, m in enumerate(of_rate)})
+def _fingerprints(rows: DataFrame, sides: dict[str, tuple[int, str]]) -> DataFrame:
+    """Adds, for each name: (bit of the side, hash of the whole text), the fingerprint from the
+    column ``found``. Step by step, so that no step is computed once per subset. A rate's terms
+    come first, so that its subsets look at those alone; the densest rate has nearly all terms."""
+    def of(*rates: int):
+        return _bit(sum(((1 << COPIES) - 1) << (COPIES * j) for j in rates))
+
+    sparse = range(2, len(RATES))
+    rows = rows.withColumn("found", F.sort_array("found"))
+    rows = rows.withColumns({f"{n}_0": F.filter("found", _bit(flag)) for n, (flag, _) in sides.items()})
+    rows = rows.withColumns({f"{n}_1": F.filter(f"{n}_0", of(1)) for n in sides}
+                            | {f"{n}_r": F.filter(f"{n}_0", of(*sparse)) for n in sides})
+    rows = rows.withColumns({f"{n}_{j}": F.filter(f"{n}_r", of(j)) for n in sides for j in sparse})
     rows = rows.withColumns({f"{n}_s": signatures([F.col(f"{n}_{j}") for j in range(len(RATES))]) for n in sides})
     rows = rows.withColumns({n: F.when(F.exists(f"{n}_s", lambda v: v != ""), F.array_join(f"{n}_s", "-"))
                              .otherwise(F.col(whole)) for n, (_, whole) in sides.items()})
-    return rows.drop(*[f"{n}_{x}" for n in sides for x in ("o", "s", *range(len(RATES)))], *[f for f, _ in sides.values()])
+    return rows.drop("found", *[f"{n}_{x}" for n in sides for x in ("r", "s", *range(len(RATES)))])
+
 
+LEFT, RIGHT = 1 << SUBSETS, 2 << SUBSETS     # bits of a term's side, above those of the subsets
 
-def _with_lexicon(texts: DataFrame, lex: DataFrame, keys: list[str], sides: int) -> DataFrame:
-    """Terms of each row that are in the lexicon: per key one array for each side (bit of
-    ``flag``). ``texts``: keys, meta, elems = array of (term, flag) whose first has a null term.
-    The rows are already partitioned by keys[0], so nothing is shuffled here."""
+
+def _with_lexicon(texts: DataFrame, lex: DataFrame, keys: list[str]) -> DataFrame:
+    """Terms of each row that are in the lexicon: keys, meta and ``found``, an array of (term, mask
+    with the bits of its sides). ``texts``: keys, meta, elems (null, then the terms of both sides,
+    of the left and of the right one) and the counts ``n_both`` and ``n_left``. The rows are
+    already partitioned by keys[0], so nothing is shuffled here."""
     small = F.broadcast(lex) if lex.count() <= BROADCAST_TERMS else lex
-    rows = texts.select(*keys, "meta", F.explode("elems").alias("e")).select(
-        *keys, F.col("e.term").alias("term"), F.col("e.flag").alias("flag"),
-        F.when(F.col("e.term").isNull(), F.col("meta")).alias("meta"))
+    side = (F.when(F.col("pos") <= F.col("n_both"), F.lit(LEFT | RIGHT))
+            .when(F.col("pos") <= F.col("n_both") + F.col("n_left"), F.lit(LEFT)).otherwise(F.lit(RIGHT)))
+    rows = texts.select(*keys, "meta", "n_both", "n_left", F.posexplode("elems").alias("pos", "term")).select(
+        *keys, "term", side.alias("side"), F.when(F.col("pos") == 0, F.col("meta")).alias("meta"))
     hit = rows.join(small, "term", "left").filter("mask is not null or meta is not null")
-    pair = F.struct("term", "mask")
-    sets = [F.collect_list(F.when(F.col("mask").isNotNull()
-                                  & (F.col("flag").bitwiseAND(F.lit(1 << i)) != 0), pair)).alias(f"s{i}")
-            for i in range(sides)]
-    return hit.groupBy(*keys).agg(F.max("meta").alias("meta"), *sets)
+    pair = F.struct("term", F.col("mask").bitwiseOR(F.col("side")).alias("mask"))
+    return hit.groupBy(*keys).agg(F.max("meta").alias("meta"),
+                                  F.collect_list(F.when(F.col("mask").isNotNull(), pair)).alias("found"))
 
 
 def _whole(text: Column) -> Column:
@@ -128,12 +137,11 @@ def fingerprints(docs: DataFrame, text: str = "text", band: tuple[float, float]
     columns pass through (one named ``out`` is replaced)."""
     base = docs.drop(out).withColumn("__key", row_key(text))
     lex = lexicon(docs, text, band)
-    first = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("flag")))
     texts = (base.groupBy("__key").agg(F.first(text).alias("t"))
-             .select("__key", F.struct(_whole(F.col("t")).alias("w")).alias("meta"),
-                     F.concat(first, F.transform(terms(F.col("t")), lambda t: F.struct(
-                         t.alias("term"), F.lit(1).alias("flag")))).alias("elems")))
-    fp = _fingerprints(_with_lexicon(texts, lex, ["__key"], 1), {out: ("s0", "meta.w")})
+             .select("__key", F.struct(_whole(F.col("t")).alias("w")).alias("meta"), terms(F.col("t")).alias("a"))
+             .select("__key", "meta", F.concat(F.array(F.lit(None).cast("string")), "a").alias("elems"), F.lit(0).alias("n_both"),
+                     F.size("a").alias("n_left")))
+    fp = _fingerprints(_with_lexicon(texts, lex, ["__key"]), {out: (LEFT, "meta.w")})
     return base.join(fp.select("__key", out), "__key").drop("__key")
 
 
@@ -198,18 +206,16 @@ def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> Da
                                            F.expr("substring(next, 1, int(length(text) div 3))")))
             .withColumn("a", terms(F.col("text"))).withColumn("e", terms(F.col("edited"))))
 
-    def tagged(values: Column, flag: int) -> Column:
-        return F.transform(values, lambda t: F.struct(t.alias("term"), F.lit(flag).alias("flag")))
-
     rows = rows.select(
         "b", "i", F.struct("doc_id", "key", "next_key", n.cast("long").alias("n_chars"),
                            F.sha2("edited", 256).alias("edited_sha256"),
                            _whole(F.col("text")).alias("w"), _whole(F.col("edited")).alias("ew")).alias("meta"),
-        F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("flag"))),
-                 tagged(F.array_intersect("a", "e"), 3), tagged(F.array_except("a", "e"), 1),
-                 tagged(F.array_except("e", "a"), 2)).alias("elems"))
-    fp = written(_fingerprints(_with_lexicon(rows, lex, ["b", "i"], 2),
-                               {"fingerprint": ("s0", "meta.w"), "edited_fingerprint": ("s1", "meta.ew")})
+        F.array_intersect("a", "e").alias("both"), F.array_except("a", "e").alias("left"),
+        F.array_except("e", "a").alias("right"))
+    rows = rows.select("b", "i", "meta", F.concat(F.array(F.lit(None).cast("string")), "both", "left", "right").alias("elems"),
+                       F.size("both").alias("n_both"), F.size("left").alias("n_left"))
+    fp = written(_fingerprints(_with_lexicon(rows, lex, ["b", "i"]),
+                               {"fingerprint": (LEFT, "meta.w"), "edited_fingerprint": (RIGHT, "meta.ew")})
                  .select("meta.*", "fingerprint", "edited_fingerprint").drop("w", "ew"), "imatch")
     nxt = fp.groupBy(F.col("key").alias("next_key")).agg(F.first("fingerprint").alias("next_fingerprint"))
     return fp.join(nxt, "next_key").select(
