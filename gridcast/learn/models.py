@@ -228,11 +228,13 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """Load a saved pipeline; None when absent."""
+    """Load a saved pipeline; None when its path is absent. Any other failure is raised."""
     try:
         return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - absent or unreadable model directory
-        return None
+    except Exception as exc:  # noqa: BLE001 - the kind depends on the file system
+        if "does not exist" in str(exc) or "PATH_NOT_FOUND" in str(exc):
+            return None
+        raise
 
 
 def ensemble_blend(pred_cols: Sequence[str], meta_col: str | None = None, weight: float = 0.0):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import clip, gaussian_tail
+from gridcast.operators.ordered import join_keys
 
 
 def monotone(probs: DataFrame, group: Sequence[str], strike: str = "strike_mills",
@@ -52,9 +53,9 @@ def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
     t = t.withColumn("_row", F.lit(None).cast(wnt.schema["_row"].dataType))
     salts = wanted.groupBy(*group).agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / float(max_rows_per_task))).cast("int").alias("_ns"))
-    wnt = wnt.join(salts, list(group)).withColumn(
+    wnt = join_keys(wnt, salts, list(group)).withColumn(
         "_salt", F.pmod(F.xxhash64(F.col("_row"), F.col("_k")), F.col("_ns")).cast("int")).drop("_ns")
-    t = t.join(salts, list(group), "left").select(
+    t = join_keys(t, salts, list(group), "left").select(
         "*", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)) - 1)).alias("_salt")).drop("_ns")
     u = t.unionByName(wnt)
     w = Window.partitionBy(*group, "_salt").orderBy(F.col("_k"), F.col("_side"))

@@ -135,11 +135,11 @@ def eligibility(candidates: DataFrame, positions: DataFrame, portfolio: str = "p
 
 
 def capped_admission(candidates: DataFrame, state: DataFrame, caps: RiskCaps = RiskCaps(),
-                     portfolio: str = "portfolio", prio: str = "prio", cost: str = "ask_cents",
-                     max_rounds: int | None = None) -> DataFrame:
+                     portfolio: str = "portfolio", prio: str = "prio",
+                     cost: str = "ask_cents") -> DataFrame:
     """Order-dependent admission under caps (B2), exactly as a sequential pass would decide.
 
-    Candidates are visited in ``prio`` order per portfolio; a refused candidate uses no
+    Candidates are visited in (``prio``, ticker) order per portfolio; a refused candidate uses no
     capacity. Because state only changes when a candidate is admitted and the caps bound the
     number of admissions per portfolio by R = min(max_open, max_bets_per_day), the pass equals
     R rounds of: "first candidate after the last admitted one that passes every gate under the
@@ -152,29 +152,30 @@ def capped_admission(candidates: DataFrame, state: DataFrame, caps: RiskCaps = R
     """
     from gridcast.session import cut_lineage
 
-    rounds = max_rounds or min(caps.max_open_positions, caps.max_bets_per_day)
+    rounds = min(caps.max_open_positions, caps.max_bets_per_day)
+    order = F.struct(prio, "ticker")
     cand = candidates.where((F.col("eligibility") == "ok") & (F.col(cost) > 0) & (F.col(cost) < 100))
     cand = cut_lineage(cand.select(portfolio, "ticker", prio, cost))
     st = state.select(portfolio, F.col("n_open").cast("bigint").alias("_n"),
                       F.col("exposure_cents").cast("bigint").alias("_x"),
                       F.col("n_entries").cast("bigint").alias("_b"),
-                      F.lit(None).cast(cand.schema[prio].dataType).alias("_last"))
+                      F.lit(None).cast(cand.select(order.alias("o")).schema["o"].dataType).alias("_last"))
     admitted = None
     for r in range(rounds):
         taken = (admitted.select(portfolio, "ticker") if admitted is not None else None)
         c = cand.join(st, portfolio, "left").fillna(0, subset=["_n", "_x", "_b"])
-        c = c.where((F.col("_last").isNull() | (F.col(prio) > F.col("_last")))
+        c = c.where((F.col("_last").isNull() | (order > F.col("_last")))
                     & (F.col("_n") < caps.max_open_positions)
                     & (F.col("_x") + F.col(cost) <= caps.max_total_exposure_cents)
                     & (F.col("_b") < caps.max_bets_per_day))
         if taken is not None:
             c = c.join(taken, [portfolio, "ticker"], "left_anti")
-        pick = c.groupBy(portfolio).agg(F.min_by(F.struct("ticker", prio, cost), F.col(prio)).alias("_p"))
+        pick = c.groupBy(portfolio).agg(F.min_by(F.struct("ticker", prio, cost), order).alias("_p"))
         pick = pick.select(portfolio, F.col("_p.ticker").alias("ticker"), F.col(f"_p.{prio}").alias(prio),
                            F.col(f"_p.{cost}").alias(cost), F.lit(r + 1).alias("round"))
         pick = cut_lineage(pick)
         admitted = pick if admitted is None else admitted.unionByName(pick)
-        upd = pick.select(portfolio, F.col(cost).alias("_add"), F.col(prio).alias("_p"))
+        upd = pick.select(portfolio, F.col(cost).alias("_add"), order.alias("_p"))
         st = (st.join(upd, portfolio, "full_outer")
               .select(portfolio,
                       (F.coalesce("_n", F.lit(0)) + F.when(F.col("_add").isNotNull(), 1).otherwise(0)).alias("_n"),
@@ -210,7 +211,7 @@ def admission_reasons(candidates: DataFrame, state: DataFrame, admitted: DataFra
     adm = admitted.select(portfolio, F.col("ticker").alias("_at"), F.col(prio).alias("_ap"),
                           F.col(cost).alias("_ac"))
     c = candidates.join(adm, portfolio, "left")
-    before = F.col("_ap") < F.col(prio)
+    before = F.struct("_ap", "_at") < F.struct(F.col(prio).alias("_ap"), F.col("ticker").alias("_at"))
     agg = c.groupBy(portfolio, "ticker", prio, cost, "eligibility").agg(
         F.count_if(before).alias("_k"), F.coalesce(F.sum(F.when(before, F.col("_ac"))), F.lit(0)).alias("_kx"),
         F.max((before & (F.col("_at") == F.col("ticker"))).cast("int")).alias("_taken"),
@@ -228,6 +229,6 @@ def admission_reasons(candidates: DataFrame, state: DataFrame, admitted: DataFra
            .when(n >= caps.max_open_positions, "max_open_positions")
            .when(x + F.col(cost) > caps.max_total_exposure_cents, "max_total_exposure")
            .when(b >= caps.max_bets_per_day, "max_bets_per_day")
-           .when((F.col(cost) <= 0) | (F.col(cost) >= 100), "invalid_ask")
+           .when(F.col(cost).isNull() | (F.col(cost) <= 0) | (F.col(cost) >= 100), "invalid_ask")
            .otherwise("ok"))
     return j.select(portfolio, "ticker", prio, cost, why.alias("reason"))

@@ -15,6 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_keys(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null key meets a null key; the keys are those of ``df``."""
+    right = small.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(right, same, how).drop(*[f"__{k}" for k in keys])
+
+
 def bucketed_lead(df: DataFrame, group: Sequence[str], key: str, tiebreak: Sequence[str],
                   values: Sequence[str], max_rows_per_task: int = 1_000_000,
                   prefix: str = "next_") -> DataFrame:
@@ -31,14 +38,14 @@ def bucketed_lead(df: DataFrame, group: Sequence[str], key: str, tiebreak: Seque
     frac = (F.col(key) - F.col("_klo")) / (F.col("_khi") - F.col("_klo"))
     bucket = F.when(F.col("_khi") > F.col("_klo"),
                     F.least(F.floor(frac * nb), nb - 1)).otherwise(0).cast("int")
-    d = df.join(stats, group).withColumn("_b", bucket).drop("_n", "_klo", "_khi")
+    d = join_keys(df, stats, group).withColumn("_b", bucket).drop("_n", "_klo", "_khi")
     w = Window.partitionBy(*group, "_b").orderBy(key, *tiebreak)
     d = d.select("*", F.lead(F.lit(1)).over(w).alias("_has_next"),
                  *[F.lead(F.col(c)).over(w).alias(f"_in_{c}") for c in [key, *values]])
     order = F.struct(*[F.col(c) for c in [key, *tiebreak]])
     firsts = d.groupBy(*group, "_b").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("_f"))
     firsts = firsts.select(*group, "_b", F.lead("_f").over(Window.partitionBy(*group).orderBy("_b")).alias("_nf"))
-    d = d.join(firsts, [*group, "_b"], "left")
+    d = join_keys(d, firsts, [*group, "_b"], "left")
     out = d.select(*df.columns, *[F.when(F.col("_has_next").isNotNull(), F.col(f"_in_{c}"))
                                   .otherwise(F.col(f"_nf.{c}")).alias(f"{prefix}{c}") for c in [key, *values]])
     return out
@@ -59,5 +66,5 @@ def bucketed_last_non_null(df: DataFrame, group: Sequence[str], order: Sequence[
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), ordk)).alias("_out"))
     wb = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*group, bucket, F.last("_out", ignorenulls=True).over(wb).alias("_carry"))
-    d = d.join(carry, [*group, bucket], "left")
+    d = join_keys(d, carry, [*group, bucket], "left")
     return d.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry")

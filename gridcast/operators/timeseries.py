@@ -341,39 +341,6 @@ def forecast_revisions(snap: DataFrame, keys: Keys, run: str = "run_ts",
     return out.withColumn("revision_1d", F.col(value) - F.col("prev_value"))
 
 
-# --------------------------------------------------------------------------- J11
-
-def holiday_flag(df: DataFrame, holidays: DataFrame, date: str = "date",
-                 holiday_col: str = "holiday") -> DataFrame:
-    """is_holiday via a broadcast left-semi membership test (J11). The holiday table is a
-    fixed-size list, so the broadcast has a proven size bound."""
-    h = F.broadcast(holidays.select(F.col(holiday_col).alias("_h")).distinct())
-    return df.join(h, F.col(date) == F.col("_h"), "left").withColumn(
-        "is_holiday", F.col("_h").isNotNull().cast("int")).drop("_h")
-
-
-# --------------------------------------------------------------------------- W17 / J5
-
-def forecast_revisions(snap: DataFrame, keys: Keys, run: str = "run_ts",
-                       channel: str = "channel", value: str = "value",
-                       version_col: str | None = "version", version: int = 1) -> DataFrame:
-    """Revision = value - the same channel's value in the immediately preceding run.
-
-    A channel missing from the preceding run gives NULL (not an older run's value). Runs are
-    ranked on the small distinct (keys, run) table, then current and previous join on
-    (keys, channel, run rank) - an equi-join, no range condition.
-    """
-    s = snap.where(F.col(version_col) == version) if version_col else snap
-    runs = s.select(*keys, run).distinct()
-    runs = runs.withColumn("_rk", F.dense_rank().over(Window.partitionBy(*keys).orderBy(run)))
-    cur = s.join(runs, [*keys, run]).select(*keys, run, channel, value, "_rk")
-    prev = cur.select(*keys, channel, (F.col("_rk") + 1).alias("_rk"),
-                      F.col(value).alias("prev_value"))
-    out = cur.join(prev, [*keys, channel, "_rk"], "left")
-    return out.select(*keys, run, channel, value, "prev_value",
-                      (F.col(value) - F.col("prev_value")).alias("revision_1d"))
-
-
 # --------------------------------------------------------------------------- J1
 
 def outer_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
