@@ -4,11 +4,15 @@ Equal vectors are one node with a multiplicity. Nodes are dealt to shards of abo
 hash; each shard's graph is built once (each layer: the nearest candidates, thinned to diverse
 neighbours, links in both directions) and kept as one row. Every shard's nodes are searched in
 every shard's graph, one task per pair of shards. A search is a beam per query, all queries of a
-block in step. A query whose beam ends above the threshold gets a wider one until it does not; a
-sample of each task's queries is compared with all vectors of the shard, and all beams are widened
-until the audit passes (a beam as wide as the shard is exact). Found pairs are verified in double
-precision. A task reports each query's number of links and a spanning forest of the links it found,
-not the links, so a group of copies costs rows in proportion to its size.
+block in step. A query whose beam ends above the threshold gets a wider one until it does not.
+
+Each task draws queries at random and compares them with all vectors of the shard until AUDIT of
+them have a few links to others. Beams are widened until the mean recall of these queries, and that
+of the drawn queries with many links, passes. A task that runs out of queries first has compared
+all of them and uses that; so does one whose beams would be wider than WIDEST. Found pairs are
+verified in double precision. A task reports each query's number of links and a spanning forest of
+the links it found, not the links, so a group of copies costs rows in proportion to its size; one
+more row holds its audited recall and beam.
 """
 
 import pickle
@@ -25,8 +29,11 @@ SHARD = 8192
 LINKS = 16            # neighbours kept per node and layer; twice as many on the lowest
 RATIO = 16            # nodes of a layer per node of the layer above
 BEAM = 24
-AUDIT = 96            # queries of each task that are compared with the whole shard
-RECALL = 0.995
+WIDEST = 384
+AUDIT = 96            # queries with links, few and many each, that a task's beams are audited by
+FEW = 8               # more links than these are many
+RECALL = 0.995        # mean over the queries of each kind
+OUTSIDE = 4           # neighbours below the threshold that each node and layer keeps besides
 THRESHOLD = 0.95
 SLACK = 1e-4          # single-precision search keeps this much below the threshold; doubles decide
 BLOCK = 512
@@ -40,9 +47,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _layer(u: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
     """Neighbours (rows of ``u``, -1 for none) of the nodes ``ids`` among themselves: of the 3 m
     nearest, those nearer to the node than to a neighbour already taken, filled up with the
-    nearest; then links back where there is room."""
+    nearest; the nearest that are no near duplicates, so that a group larger than that is not on its
+    own; then links back where there is room."""
     n, width = len(ids), min(3 * m, max(len(ids) - 1, 0))
-    out = np.full((n, 2 * m), -1, np.int32)
+    own = m + OUTSIDE
+    out = np.full((n, own + m), -1, np.int32)
     if not width:
         return out
     x = u[ids]
@@ -61,13 +70,16 @@ def _layer(u: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
         rank = np.where(keep, 0, width) + np.arange(width)
         pick = np.argsort(rank, axis=1)[:, :m]
         out[a:a + 1024, :pick.shape[1]] = np.take_along_axis(near, pick, 1)
-    src = np.repeat(np.arange(n), (out[:, :m] >= 0).sum(1))
-    dst = out[:, :m][out[:, :m] >= 0]
+        s[s >= THRESHOLD] = -2
+        far = np.argpartition(-s, min(OUTSIDE, n) - 1, axis=1)[:, :OUTSIDE]
+        out[a:a + 1024, m:m + far.shape[1]] = np.where(np.take_along_axis(s, far, 1) > -2, far, -1)
+    src = np.repeat(np.arange(n), (out[:, :own] >= 0).sum(1))
+    dst = out[:, :own][out[:, :own] >= 0]
     order = np.argsort(dst, kind="stable")
     src, dst = src[order], dst[order]
     place = np.arange(len(dst)) - np.searchsorted(dst, dst)
     room = place < m
-    out[dst[room], m + place[room]] = src[room]
+    out[dst[room], own + place[room]] = src[room]
     return np.where(out >= 0, ids[out], -1).astype(np.int32)
 
 
@@ -175,23 +187,55 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
     return fa, fb
 
 
+def _true(g: dict, other: dict, u: np.ndarray, q: np.ndarray, low: float, enough: float):
+    """(query, node) of all similarities over ``low``, but of no vector with itself, for queries
+    drawn until ``enough`` of them have 1 to FEW; and whether all were drawn."""
+    order = np.random.default_rng(11).permutation(len(q))
+    found, few = [np.empty((0, 2), np.int64)], 0
+    for a in range(0, len(q), BLOCK):
+        if few >= enough:
+            return np.concatenate(found), False
+        part = order[a:a + BLOCK]
+        r, c = np.nonzero(q[part] @ u.T >= low)
+        r = part[r]
+        others = other["gid"][r] != g["gid"][c]
+        found.append(np.stack([r[others], c[others]], 1))
+        n = np.unique(r[others], return_counts=True)[1]
+        few += (n <= FEW).sum()
+    return np.concatenate(found), True
+
+
+def _recall(g: dict, other: dict, u, q, truth: np.ndarray, width: int, low: float) -> float:
+    """Mean recall of the beams over at most AUDIT queries with few links, or over as many with many
+    links if that is less."""
+    at, n = np.unique(truth[:, 0], return_counts=True)
+    few, many = np.flatnonzero(n <= FEW)[:AUDIT], np.flatnonzero(n > FEW)[:AUDIT]
+    pick = np.concatenate([few, many])
+    hits = _search(g, u, q[at[pick]], width, low)
+    hits = hits[other["gid"][at[pick][hits[:, 0]]] != g["gid"][hits[:, 1]]]
+    share = np.minimum(np.bincount(hits[:, 0], minlength=len(pick)) / n[pick], 1)
+    return min(float(x.mean()) for x in (share[:len(few)], share[len(few):]) if len(x))
+
+
 def link_shards(g: dict, other: dict, threshold: float):
     """Links of the nodes of ``other`` to the nodes of the graph ``g``: each node's number of
-    linked vectors, the forest, and the audited recall with the beam it took."""
+    linked vectors, the forest, and the audited recall with the beam it took (1 and 0 where all were
+    compared)."""
     u, q = _unit(g["x"]), _unit(other["x"])
     low = threshold - SLACK
-    sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
+    hits, whole = _true(g, other, u, q, low, AUDIT)
     width = BEAM
-    while True:
-        truth = (q[sample] @ u.T) >= low
-        got = np.zeros_like(truth)
-        hits = _search(g, u, q[sample], width, low)
-        got[hits[:, 0], hits[:, 1]] = True
-        recall = (got & truth).sum() / max(truth.sum(), 1)
-        if recall >= RECALL or not truth.any() or width >= len(u):
+    while not whole:
+        recall = _recall(g, other, u, q, hits, width, low)
+        if recall >= RECALL:
             break
         width *= 2
-    hits = _search(g, u, q, width, low)
+        if width > WIDEST:
+            hits, whole = _true(g, other, u, q, low, np.inf)
+    if whole:
+        recall, width = 1.0, 0
+    else:
+        hits = _search(g, u, q, width, low)
     qi, ui = hits[:, 0], hits[:, 1]
     keep = other["gid"][qi] != g["gid"][ui]
     qi, ui = qi[keep], ui[keep]
@@ -247,13 +291,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embe
         for pdf in batches:
             for g, q in zip(pdf["g"], pdf["q"], strict=True):
                 g, q = pickle.loads(g), pickle.loads(q)
-                links, a, b, _, _ = link_shards(g, q, threshold)
+                links, a, b, recall, width = link_shards(g, q, threshold)
                 some = np.flatnonzero(links)
                 yield pd.DataFrame({"a": np.concatenate([q["gid"][some], np.array(a, np.int64)]),
                                     "b": np.concatenate([q["gid"][some], np.array(b, np.int64)]),
-                                    "n": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
+                                    "n": np.concatenate([links[some], np.zeros(len(a), np.int64)]),
+                                    "recall": None, "width": None})
+                yield pd.DataFrame({"a": [None], "b": [None], "n": [None], "recall": [recall], "width": [width]})
 
-    found = written(pairs.repartition(tasks, "d", "shard", "other").mapInPandas(search, "a long, b long, n long"), "links")
+    told = written(pairs.repartition(tasks, "d", "shard", "other").mapInPandas(
+        search, "a long, b long, n long, recall double, width int"), "links")
+    found = told.filter("width is null")
     degree = found.groupBy(F.col("a").alias("gid")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a <> b").select("a", "b"))
     whole = (rows.select("id", "gid").join(nodes.select("gid", "mult"), "gid", "left").join(degree, "gid", "left")

@@ -247,6 +247,41 @@ def test_hnsw(spark):
     assert hnsw_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def _shard(rng, group, centres, far, first):
+    """A shard of one large near group, a vector near each centre and vectors without links."""
+    hot = np.ones(32) + rng.normal(0, 0.02, (group, 32))
+    x = np.concatenate([hot, centres + rng.normal(0, 0.02, centres.shape), rng.normal(0, 1, (far, 32))]).astype(np.float32)
+    return hnsw_dedup.build(x, np.arange(first, first + len(x)), np.ones(len(x), np.int64))
+
+
+def _exact(g, q):
+    x, y = (v["x"] / np.linalg.norm(v["x"].astype(float), axis=1, keepdims=True) for v in (q, g))
+    return ((x @ y.T >= 0.95) & (q["gid"][:, None] != g["gid"])).sum(1)
+
+
+def test_hnsw_audit_needs_evidence(monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 1, (3, 32))
+    search = hnsw_dedup._search
+    for group in (0, 400):       # no query of a regular sample has a link; nearly all links are the large group's
+        g, q = _shard(rng, group, centres, 900, 0), _shard(rng, group, centres, 901, 5000)
+        want = _exact(g, q)
+
+        def blind(graph, u, queries, width, low, group=group):
+            hits = search(graph, u, queries, width, low)
+            return hits[hits[:, 1] < group]          # beams never reach the small groups
+        monkeypatch.setattr(hnsw_dedup, "_search", blind)
+        links, _, _, recall, _ = hnsw_dedup.link_shards(g, q, 0.95)
+        assert (want[group:group + 3] > 0).all() and (links == want).all() and recall == 1.0
+
+
+def test_hnsw_large_groups_keep_links_outside():
+    rng = np.random.default_rng(2)
+    g = _shard(rng, 600, rng.normal(0, 1, (3, 32)), 600, 0)
+    nbrs = g["layers"][0][1]
+    assert all((nbrs[i] >= 600).any() for i in range(600))
+
+
 def test_html(spark):
     page = ("<!doctype html><title>T</title><style>x</style><p>One<p>Two <b>bold</b>&amp;<br>line<ul><li>a<li>b<ul><li>c</ul></ul>"
             "<ol start=3><li>x</ol><div style='display: none'>no</div><span hidden>no</span><script>no</script>"
