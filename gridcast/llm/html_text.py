@@ -3,9 +3,14 @@ visible text with block spacing, lists and aligned table cells.
 
 Builder: tag names are case-insensitive; a start tag closes the elements that cannot hold it (p
 before a block, li before li, cells and rows before the next ones, options); an end tag closes up to
-its element or is ignored; void elements have no content; elements left open close at the end.
-Hidden: head, title, script, style, template, noscript, comments, the attribute hidden, hidden
-inputs, and inline styles display:none or visibility:hidden, with everything below them.
+its element or is ignored; void elements have no content; elements left open close at the end. Head
+ends at the first tag or text that it cannot hold. Below svg and math a slash closes a tag, and HTML
+tags such as p end them.
+Shown of math: all but annotations and mphantom; of svg: text and foreignObject.
+Hidden: head, title, script, style, template, noscript, datalist, the fallback content of object,
+iframe, audio, video and canvas, the rest of svg (also what use elements show of defs and symbol),
+comments, the attribute hidden, hidden inputs, and inline styles display:none or visibility:hidden
+(in svg also as attributes), with everything below them.
 Rendering: white space collapses outside pre and textarea; br is a line end; paragraphs, headings,
 lists, tables and quotes stand apart by a blank line, other blocks by a line end; list items carry
 "- " or their number, indented by depth; table cells are padded to their column's width.
@@ -20,7 +25,15 @@ from pyspark.sql import functions as F
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript object iframe audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head title script style template noscript object iframe audio video canvas datalist".split())
+HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head".split())
+FOREIGN_HIDDEN = {"svg": frozenset("defs symbol clippath mask pattern marker title desc metadata style script".split()),
+                  "math": frozenset("annotation annotation-xml mphantom".split()), "": frozenset()}
+SVG_TEXT = frozenset("text tspan textpath a foreignobject".split())
+HTML_BELOW = {"svg": frozenset("foreignobject desc title".split()),          # these hold HTML
+              "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                     "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address form figcaption "
                            "details summary li dt dd tr caption thead tbody tfoot legend center dir menu hgroup option".split())
@@ -39,10 +52,11 @@ BARRIER = frozenset("table td th caption button object html body".split())   # p
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "kind")
 
-    def __init__(self, tag: str, attrs: dict):
+    def __init__(self, tag: str, attrs: dict, kind: str = ""):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.kind = kind                # svg, math or '' for HTML
 
 
 class Builder(HTMLParser):
@@ -63,26 +77,45 @@ class Builder(HTMLParser):
                 if tag not in ("tr", "td", "th"):
                     return
 
+    def _kind(self) -> str:
+        """Kind of the content of the open element."""
+        top = self.open[-1]
+        return "" if not top.kind or top.tag in HTML_BELOW[top.kind] else top.kind
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
             return
+        if tag in BREAKOUT or (tag == "font" and any(k in ("color", "face", "size") for k, _ in attrs)):
+            while self._kind():
+                self.open.pop()
+        kind = tag if tag in ("svg", "math") else self._kind()
+        if kind and self.open[-1].tag != "head":
+            self._push(tag, attrs, kind)
+            return
         if tag in CLOSES_P:
             self._close({"p"}, BARRIER)
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        elif self.open[-1].tag == "head" and tag in BLOCK:
+        if self.open[-1].tag == "head" and tag not in HEAD:
             self.open.pop()
-        node = Node(tag, dict(attrs))
+        self._push(tag, attrs, kind)
+
+    def _push(self, tag, attrs, kind):
+        node = Node(tag, dict(attrs), kind)
         self.open[-1].kids.append(node)
-        if tag not in VOID:
+        if kind or tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)     # the slash means nothing on other than void elements
+        self.handle_starttag(tag, attrs)     # the slash means nothing in HTML on other than void elements
+        if self.open[-1].kind and self.open[-1].tag == tag:
+            self.open.pop()
 
     def handle_endtag(self, tag):
-        if tag in VOID:
+        if tag in VOID and not self._kind():
             if tag == "br":
+                if self.open[-1].tag == "head":
+                    self.open.pop()
                 self.open[-1].kids.append(Node("br", {}))
             return
         for i in range(len(self.open) - 1, 0, -1):
@@ -93,11 +126,15 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and not data.isspace():
+            self.open.pop()
         self.open[-1].kids.append(data)
 
 
 def hidden(n: Node) -> bool:
-    if n.tag in HIDDEN or "hidden" in n.attrs:
+    if n.tag in (FOREIGN_HIDDEN[n.kind] if n.kind else HIDDEN) or "hidden" in n.attrs:
+        return True
+    if n.kind == "svg" and (n.attrs.get("display") == "none" or n.attrs.get("visibility") in ("hidden", "collapse")):
         return True
     style = "".join((n.attrs.get("style") or "").lower().split())
     return ("display:none" in style or "visibility:hidden" in style
@@ -183,6 +220,11 @@ def render(html: str | None) -> str:
             if hidden(n):
                 continue
             tag = n.tag
+            if n.kind:
+                kids = n.kids if n.kind == "math" or tag in SVG_TEXT else [k for k in n.kids if isinstance(k, Node)]
+                apart = [" "] if tag in ("text", "foreignobject") else []
+                todo.extend(("in", k) for k in reversed([*apart, *kids, *apart]))
+                continue
             if tag == "br":
                 page.end(True)
                 continue

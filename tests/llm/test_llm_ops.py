@@ -296,6 +296,24 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<head><title>T</title>Hello <b>x</b>", "Hello x"),
+    ("<html><head><title>T</title>\n<meta charset=utf-8>\n<a name=top><h1>Top</h1>text", "Top\n\ntext"),
+    ("<head><title>T</title><style>s</style><noscript>n</noscript><span>in</span><p>out", "in\n\nout"),
+    ("<head><title>T</title><svg><path/></svg>Hello", "Hello"),
+    ("<div>a <svg width=1 /> b</div><p>c <math/> d", "a b\n\nc d"),
+    ("<p>a<svg><path d='M'/><g><circle r=1 /></g><title>no</title>no<text>yes <tspan>too</tspan></text>"
+     "<text>next</text><defs><text>no</text></defs><text display=none>no</text></svg>b", "a yes too next b"),
+    ("<svg><foreignObject><div>in</div></foreignObject><foreignObject/><text/></svg> out", "in\nout"),
+    ("<svg><path d='M'><p>out", "out"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></math> holds", "so x=1 holds"),
+    ("<p><math><semantics><mi>x</mi><annotation>no</annotation></semantics></math> <annotation>yes</annotation>", "x yes"),
+    ("a<object>no</object><iframe>no</iframe><video>no</video><audio>no</audio><canvas>no</canvas>b", "ab"),
+])
+def test_html_keeps_visible_text(page, want):
+    assert html_text.render(page) == want
+
+
 def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets_in_shingles():
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{v}" for v in rng.integers(0, 30, n)).encode() for n in (0, 3, 40, 40, 400, 5000)]
