@@ -1,7 +1,8 @@
 """Model fitting on Spark ML.
 
-Every fit is a distributed Spark ML fit over the pooled panel (all series in one model, the
-series id as an indexed feature); nothing but small metric / importance tables is ever
+Every fit but the per-strike one (grouped, a model for each series and strike) is a distributed
+Spark ML fit over the pooled panel (all series in one model, the series id as an indexed feature);
+nothing but small metric / importance tables is ever
 collected. Lineage of iterative loops is cut with reliable checkpoints.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -18,6 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.learn import hist_boost
 from gridcast.operators import metrics as mx
 from gridcast.session import cut_lineage
 
@@ -132,11 +136,11 @@ def exploded_strikes(rows: DataFrame, grid: DataFrame, keys: Sequence[str], labe
 
 
 def fit_strike_classifier(x: DataFrame, features: Sequence[str], seed: int = 42, max_iter: int = 30,
-                          series: str | None = "series_id") -> PipelineModel:
+                          series: str | None = "series_id", step: float = 0.1) -> PipelineModel:
     """One pooled, class-weighted GBT over all strikes (M5)."""
     features = non_null_features(x, [*features, "strike_gap"])
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter,
-                        maxDepth=3, stepSize=0.1, seed=seed)
+                        maxDepth=3, stepSize=step, seed=seed)
     return Pipeline(stages=[*_prep_stages(features, series, scale=False), gbt]).fit(x)
 
 
@@ -246,17 +250,27 @@ def ensemble_blend(pred_cols: Sequence[str], meta_col: str | None = None, weight
     return (1.0 - weight) * mean + weight * F.col(meta_col)
 
 
-def fit_per_strike(x: DataFrame, features: Sequence[str], strikes: Sequence[float], seeds=(42, 7961, 15880),
-                   max_iter: int = 30, series: str | None = "series_id") -> dict:
-    """The reference's one-classifier-per-strike ensemble (M5, ``per_strike=True``), for a
-    coarse grid: a driver loop over the (bounded, <= ~15) strikes x seeds, each fit a
-    distributed Spark ML fit on that strike's rows. Strikes with one class are skipped (A17).
-    Returns {strike: [PipelineModel per seed]}; average member probabilities with
-    ``ensemble_blend``."""
-    out: dict = {}
-    for k in strikes:
-        xs = x.where(F.col("strike") == float(k))
-        if xs.select("label").distinct().count() < 2:
-            continue
-        out[k] = [fit_strike_classifier(xs, features, seed=s, max_iter=max_iter, series=series) for s in seeds]
-    return out
+def score_per_strike(x: DataFrame, features: Sequence[str], keys: Sequence[str], seeds=(42, 7961, 15880),
+                     iterations: int = hist_boost.ITERATIONS, label: str = "label") -> DataFrame:
+    """The reference's one-classifier-per-strike ensemble (M5, ``per_strike=True``, A19): for each
+    series and strike of the (row x strike) table the test rows with ``prob``, the mean of one
+    classifier per seed fitted on the train rows. A grouped job with a task's group bounded by a
+    series' days; strikes with one class among the train rows are skipped (A17). Up to
+    hist_boost.STOP_ROWS train rows the members do not depend on the seed and are fitted once."""
+    features, cols = list(features), [*keys, "date", "strike", label]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
+        y = train[label].to_numpy(float)
+        if len(np.unique(y)) < 2:
+            return test.iloc[:0][cols].assign(prob=np.zeros(0))
+        a, b = train[features].to_numpy(float), test[features].to_numpy(float)
+        members = [hist_boost.fit_predict(a, y, b, s, iterations)
+                   for s in (seeds if len(y) > hist_boost.STOP_ROWS else seeds[:1])]
+        return test[cols].assign(prob=np.mean(members, axis=0))
+
+    rows = x.select(*cols, "role", *features)
+    groups = rows.select(*keys, "strike").distinct().count()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cols).schema)
+    return (rows.repartition(max(1, groups), *keys, "strike").groupBy(*keys, "strike")
+            .applyInPandas(score, f"{schema}, prob double"))

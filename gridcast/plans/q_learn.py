@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.learn import models as ml
+from gridcast.learn.hist_boost import ITERATIONS, RATE
 from gridcast.operators import ladder
 from gridcast.operators import metrics as mx
 from gridcast.plans.q_features import _target
@@ -57,7 +58,7 @@ def _strike_tables(spark: SparkSession, sf_dir: str):
 @register("strike_classifiers", ops="M5 L3 L8 A17 (rows-only) bench:skip")
 def strike_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _strike_tables(spark, sf_dir)
-    model = ml.fit_strike_classifier(x.where(F.col("role") == "train"), ML_FEATS, max_iter=20)
+    model = ml.fit_strike_classifier(x.where(F.col("role") == "train"), ML_FEATS, max_iter=ITERATIONS, step=RATE)
     te = ml.prob_of_one(model.transform(x.where(F.col("role") == "test")))
     return te.select(*K, "date", "strike", "label", "prob")
 
@@ -70,7 +71,7 @@ def calibrated_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr = x.where(F.col("role") == "train")
     tail = mx.chrono_split(tr.select(*K, "date").distinct(), K, 60).withColumnRenamed("role", "cal_role")
     tr = tr.join(tail, [*K, "date"])
-    model = ml.fit_strike_classifier(tr.where(F.col("cal_role") == "train"), ML_FEATS, max_iter=20)
+    model = ml.fit_strike_classifier(tr.where(F.col("cal_role") == "train"), ML_FEATS, max_iter=ITERATIONS, step=RATE)
     cal = ml.prob_of_one(model.transform(tr.where(F.col("cal_role") == "test")))
     te = ml.prob_of_one(model.transform(x.where(F.col("role") == "test")))
     out = ml.calibrate(cal.select("prob", "label"), te)
@@ -93,22 +94,6 @@ def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("per_strike_ensemble", ops="M5 (per-strike mode) A19 A17 (rows-only) bench:skip")
 def per_strike_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one-classifier-per-strike ensemble on a coarse grid (step 100: a handful of strikes
-    per series), 3 seeds each, members averaged (A19) on the test tail."""
-    d = ml_frame(spark, sf_dir)
-    grid = ladder.training_grid(d.where(F.col("role") == "train"), K, "target", step=100.0)
-    x = cut_lineage(ml.exploded_strikes(d, grid, K))
-    strikes = sorted({r["strike"] for r in grid.select("strike").distinct().collect()})  # coarse grid
-    fits = ml.fit_per_strike(x.where(F.col("role") == "train"), ML_FEATS, strikes, max_iter=10)
-    te = x.where(F.col("role") == "test")
-    out = None
-    for k, members in fits.items():
-        xs = te.where(F.col("strike") == float(k))
-        scored = xs.select(*K, "date", "strike", "label")
-        for i, m in enumerate(members):
-            p = ml.prob_of_one(m.transform(xs)).select(*K, "date", "strike", F.col("prob").alias(f"p{i}"))
-            scored = scored.join(p, [*K, "date", "strike"])
-        scored = scored.select(*K, "date", "strike", "label",
-                               ml.ensemble_blend([f"p{i}" for i in range(len(members))]).alias("prob"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """The one-classifier-per-strike ensemble (A19) on the grid of the other strike queries, with
+    the reference's classifier and seeds, on the test tail."""
+    return ml.score_per_strike(_strike_tables(spark, sf_dir), ML_FEATS, K)

@@ -86,3 +86,49 @@ def test_daily_scoring_composition(spark):
     assert len(gp) == 2 * 21 and all(0.01 <= r["prob"] <= 0.99 for r in gp)
     sig = {r["ticker"]: r["decision"] for r in out.signals.collect()}
     assert set(sig) == {"A-3.2", "B-9"} and all(d in ("BUY_YES", "BUY_NO", "NO_TRADE") for d in sig.values())
+
+
+def test_hist_boost_learns_and_repeats():
+    import numpy as np
+
+    from gridcast.learn import hist_boost
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 4))
+    x[::7, 1] = np.nan
+    x[:, 3] = np.nan
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    p = hist_boost.fit_predict(x[:600], y[:600], x[600:], 1)
+    assert ((p >= 0.5) == (y[600:] == 1)).mean() > 0.95
+    assert (p == hist_boost.fit_predict(x[:600], y[:600], x[600:], 2)).all()
+    short = hist_boost.fit_predict(x[:600], y[:600], x[600:], 1, iterations=10)
+    assert np.abs(short - 0.5).max() < np.abs(p - 0.5).max()
+    big, z = np.repeat(x[:600], 20, 0), np.repeat(y[:600], 20)          # early stopping
+    assert ((hist_boost.fit_predict(big, z, x[600:], 1) >= 0.5) == (y[600:] == 1)).mean() > 0.95
+
+
+def test_per_strike_ensemble_scores_the_whole_grid(spark, monkeypatch):
+    from gridcast.learn import hist_boost
+    from gridcast.plans import q_learn
+    asked = []
+    whole = q_learn.ml.score_per_strike
+    monkeypatch.setattr(q_learn.ml, "score_per_strike", lambda *a, **b: asked.append(b) or whole(*a, **{**b, "iterations": 2}))
+    sf = "/root/testdata/sf0.001"
+    got = q_learn.per_strike_ensemble(spark, sf).toPandas()
+    x = q_learn._strike_tables(spark, sf).select("series_id", "strike", "date", "role", "label").toPandas()
+    train, test = x[x.role == "train"], x[x.role == "test"]
+    both = train.groupby(["series_id", "strike"])["label"].nunique()
+    want = test.set_index(["series_id", "strike"]).index.isin(both[both == 2].index)
+    assert len(got) == want.sum() and len(got[["series_id", "strike"]].drop_duplicates()) == (both == 2).sum()
+    assert got["prob"].between(0, 1).all() and asked == [{}] and hist_boost.ITERATIONS == 300
+
+
+def test_pooled_strike_queries_fit_the_references_iterations(spark, monkeypatch):
+    from gridcast.learn import hist_boost
+    from gridcast.plans import q_learn
+    asked = []
+    fit = q_learn.ml.fit_strike_classifier
+    monkeypatch.setattr(q_learn.ml, "fit_strike_classifier",
+                        lambda *a, **b: asked.append((b["max_iter"], b["step"])) or fit(*a, **{**b, "max_iter": 1}))
+    for query in (q_learn.strike_classifiers, q_learn.calibrated_probs):
+        assert query(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [(hist_boost.ITERATIONS, hist_boost.RATE)] * 2
