@@ -223,6 +223,15 @@ def test_url_rules(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_read_deep_parts(spark):
+    rows = [f"http://{h}/a/b/c/d/{deep}" for _ in range(20) for h, deep in (("bad.org", "casino"), ("good.org", "news"))]
+    rows += ["http://u.net/a/b/c/d/casino", "http://u.net/a/b/c/d/x", "http://u.net/a/b/c/d/news"]
+    judged = url_rules.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"),
+                             [("block", "bad.org", "/"), ("allow", "good.org", "/")], default="unknown").collect()
+    got = {r.page_id: (r.verdict, r.by) for r in judged}
+    assert [got[40 + i] for i in range(3)] == [("block", "mined"), ("unknown", "default"), ("allow", "mined")]
+
+
 def test_hnsw(spark):
     r = random.Random(8)
     vecs = [[r.gauss(0, 1) for _ in range(16)] for _ in range(300)]
