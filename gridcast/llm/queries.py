@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and their DuckDB SQL (where SQL can express one)."""
+"""Registered queries of the operators and their DuckDB SQL (where SQL can express one)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.llm import (
-    hnsw_dedup, html_text, imatch, jaccard_join, mixing, quality, sentencepiece_codec, substring_dedup,
-    toxicity, url_rules,
+    filter_audit, hadamard_kmeans, hnsw_dedup, html_text, imatch, jaccard_join, mixing, quality, sentencepiece_codec,
+    substring_dedup, token_counts, toxicity, url_rules,
 )
 from gridcast.llm.common import read_table
 
@@ -67,8 +67,23 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_counts.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_kmeans.cluster(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
+                              read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_imatch, op3_toxicity, op4_quality, op5_url_rules,
-                                   op6_ngram_join, op7_mixing, op8_hnsw, op9_html, op10_substring)}
+                                   op6_ngram_join, op7_mixing, op8_hnsw, op9_html, op10_substring,
+                                   op11_token_counts, op12_hadamard, op13_filter_audit)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -172,4 +187,63 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
-ORACLE_SQL = {"op2_imatch": _op2_sql(), "op6_ngram_join": OP6_SQL, "op7_mixing": OP7_SQL, "op10_substring": OP10_SQL}
+
+def _op12_sql() -> str:
+    k, dim = hadamard_kmeans.K, hadamard_kmeans.DIM
+    rounds = [f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{hadamard_kmeans.SEED}:' || vec_id), v) - 1 AS c, v
+  FROM e QUALIFY c < {k})"""]
+    near = f"""SELECT vec_id, row, e.v, min({{'d': list_sum(list_transform(range(1, {dim} + 1),
+         lambda i: (e.v[i] - c.v[i]) * (e.v[i] - c.v[i]))), 'c': c.c}}) AS m FROM e CROSS JOIN <from> AS c GROUP BY ALL"""
+    for r in range(1, hadamard_kmeans.ROUNDS + 1):
+        rounds.append(f"""a{r} AS MATERIALIZED ({near.replace('<from>', f'c{r - 1}')}),
+s{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT m.c AS c, unnest(v) AS x, unnest(range(1, {dim} + 1)) AS i FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r - 1} o LEFT JOIN m{r} m USING (c))""")
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+{', '.join(rounds)},
+z AS MATERIALIZED ({near.replace('<from>', f'c{hadamard_kmeans.ROUNDS}')})
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+       CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM z JOIN c{hadamard_kmeans.ROUNDS} c ON c.c = m.c
+"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w
+  FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CAST(len(w) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER)
+         + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INTEGER)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+b AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(name, bit)),
+p AS (SELECT '' AS prefix, 0 AS bit, 0 AS before, 0 AS step
+      UNION ALL SELECT prefix || name, b.bit, before | p.bit, step + 1 FROM p JOIN b ON (before | p.bit) & b.bit = 0),
+s AS (
+  SELECT part, prefix, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c CROSS JOIN p WHERE step > 0 GROUP BY ALL),
+o AS (SELECT s.*, q.prefix AS filter_order FROM s JOIN p q ON q.step = 5 AND q.prefix[1:s.step] = s.prefix)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM o
+"""
+
+ORACLE_SQL = {"op2_imatch": _op2_sql(), "op6_ngram_join": OP6_SQL, "op7_mixing": OP7_SQL, "op10_substring": OP10_SQL,
+              "op12_hadamard": _op12_sql(), "op13_filter_audit": OP13_SQL}
