@@ -139,8 +139,8 @@ def capped_admission(candidates: DataFrame, state: DataFrame, caps: RiskCaps = R
                      cost: str = "ask_cents") -> DataFrame:
     """Order-dependent admission under caps (B2), exactly as a sequential pass would decide.
 
-    Candidates are visited in (``prio``, ticker) order per portfolio; a refused candidate uses no
-    capacity. Because state only changes when a candidate is admitted and the caps bound the
+    Candidates are visited in (``prio``, ticker, cost) order per portfolio; a refused candidate uses no
+    capacity, and of equal candidates the first counts. Because state only changes when a candidate is admitted and the caps bound the
     number of admissions per portfolio by R = min(max_open, max_bets_per_day), the pass equals
     R rounds of: "first candidate after the last admitted one that passes every gate under the
     current state" - a ``min_by`` aggregation per portfolio (partial aggregation: a portfolio
@@ -153,7 +153,7 @@ def capped_admission(candidates: DataFrame, state: DataFrame, caps: RiskCaps = R
     from gridcast.session import cut_lineage
 
     rounds = min(caps.max_open_positions, caps.max_bets_per_day)
-    order = F.struct(prio, "ticker")
+    order = F.struct(prio, "ticker", cost)
     cand = candidates.where((F.col("eligibility") == "ok") & (F.col(cost) > 0) & (F.col(cost) < 100))
     cand = cut_lineage(cand.select(portfolio, "ticker", prio, cost))
     st = state.select(portfolio, F.col("n_open").cast("bigint").alias("_n"),
@@ -207,15 +207,21 @@ def admission_reasons(candidates: DataFrame, state: DataFrame, admitted: DataFra
     is the initial state plus the admissions before it (at most R per portfolio, so the join
     to the admitted rows expands each candidate by at most R), then the gates in the
     reference's order: open position (incl. one opened earlier in this cycle), traded ticker,
-    open count, exposure, daily count, invalid ask."""
+    open count, exposure, daily count, invalid ask. Every candidate gets a row: of repeated ones
+    the first is answered as if alone, the others see its admission, if it had one."""
     adm = admitted.select(portfolio, F.col("ticker").alias("_at"), F.col(prio).alias("_ap"),
                           F.col(cost).alias("_ac"))
-    c = candidates.join(adm, portfolio, "left")
-    before = F.struct("_ap", "_at") < F.struct(F.col(prio).alias("_ap"), F.col("ticker").alias("_at"))
-    agg = c.groupBy(portfolio, "ticker", prio, cost, "eligibility").agg(
+    rows = [portfolio, "ticker", prio, cost, "eligibility"]
+    same = candidates.groupBy(*rows).agg(F.count(F.lit(1)).alias("_copies"))
+    c = same.join(adm, portfolio, "left")
+    here = F.struct(F.col(prio).alias("_ap"), F.col("ticker").alias("_at"), F.col(cost).alias("_ac"))
+    # a portfolio without admissions has one joined row, all null, and that row is no admission
+    before = F.col("_at").isNotNull() & (F.struct("_ap", "_at", "_ac") < here)
+    agg = c.groupBy(*rows, "_copies").agg(
         F.count_if(before).alias("_k"), F.coalesce(F.sum(F.when(before, F.col("_ac"))), F.lit(0)).alias("_kx"),
         F.max((before & (F.col("_at") == F.col("ticker"))).cast("int")).alias("_taken"),
-        F.max(((F.col("_ap") == F.col(prio)) & (F.col("_at") == F.col("ticker"))).cast("int")).alias("_me"))
+        F.max((F.col("_at").isNotNull() & F.struct("_ap", "_at", "_ac").eqNullSafe(here)
+               & (F.col("eligibility") == "ok")).cast("int")).alias("_me"))
     st = state.select(portfolio, F.col("n_open").alias("_n0"), F.col("exposure_cents").alias("_x0"),
                       F.col("n_entries").alias("_b0"))
     j = agg.join(st, portfolio, "left").fillna(0, subset=["_n0", "_x0", "_b0"])
@@ -231,4 +237,8 @@ def admission_reasons(candidates: DataFrame, state: DataFrame, admitted: DataFra
            .when(b >= caps.max_bets_per_day, "max_bets_per_day")
            .when(F.col(cost).isNull() | (F.col(cost) <= 0) | (F.col(cost) >= 100), "invalid_ask")
            .otherwise("ok"))
-    return j.select(portfolio, "ticker", prio, cost, why.alias("reason"))
+    j = j.select(portfolio, "ticker", prio, cost, "_me", why.alias("_why"),
+                 F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    return j.select(portfolio, "ticker", prio, cost,
+                    F.when((F.col("_me") == 1) & (F.col("_copy") > 1), "already_have_open_position")
+                    .otherwise(F.col("_why")).alias("reason"))

@@ -105,13 +105,16 @@ def asof_backward(spine: DataFrame, obs: DataFrame, keys: Keys, value_cols: Sequ
 # --------------------------------------------------------------------------- T4 / U2
 
 def latest_per_key(df: DataFrame, keys: Keys, order_cols: Sequence[str]) -> DataFrame:
-    """Keep one row per key: the one with the greatest ``order_cols``.
+    """Keep one row per key: the one with the greatest ``order_cols`` (T4, A9); of equals the one of
+    greatest content, column by column, so reruns agree.
 
     ``max_by`` is a partial aggregate: each task reduces its rows before the shuffle, so a key
     holding a third of the data costs one row per task, not a sort of the whole group.
     """
     payload = [c for c in df.columns if c not in keys]
-    order = F.struct(*[F.col(c) for c in order_cols])
+    content = [c for c in payload if c not in order_cols and "map<" not in df.schema[c].dataType.simpleString()
+               and "variant" not in df.schema[c].dataType.simpleString()]
+    order = F.struct(*[F.col(c) for c in [*order_cols, *content]])
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in payload]), order).alias("_r"))
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in payload])
 

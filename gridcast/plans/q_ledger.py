@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import ledger
 from gridcast.operators import metrics as mx
+from gridcast.operators import timeseries as ts
+from gridcast.plans import sqlparts as S
 from gridcast.plans.q_timeseries import K
 from gridcast.plans.registry import register
+from gridcast.session import scratch_path
+from gridcast.sinks import writers
 from gridcast.sources import standins as sd
 
 AS_OF = "1998-08-02"
@@ -145,7 +149,36 @@ def admission_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("ok").alias("eligibility"), F.lit("YES").alias("side"))
 
 
-@register("capped_admission", ops="B2 B3 (rows-only: order-dependent fold)")
+#: The pass written as a recursion, one candidate per portfolio and level, as a sequential reader
+#: would decide; the Spark operators never walk the candidates.
+ADMISSION_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT event_type AS portfolio, 'E' || user_id AS ticker, event_id AS prio,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS ask_cents FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY prio, ticker, ask_cents) AS rn FROM c),
+f AS (
+  SELECT portfolio, CAST(NULL AS VARCHAR) AS ticker, CAST(NULL AS BIGINT) AS prio, CAST(NULL AS INTEGER) AS ask_cents,
+         CAST(0 AS BIGINT) AS rn, 0 AS n, 0 AS x, CAST([] AS VARCHAR[]) AS taken, '' AS reason
+  FROM c GROUP BY portfolio
+  UNION ALL
+  SELECT portfolio, ticker, prio, ask_cents, rn, n + CAST(reason = 'ok' AS INTEGER),
+         x + CASE WHEN reason = 'ok' THEN ask_cents ELSE 0 END,
+         CASE WHEN reason = 'ok' THEN list_append(taken, ticker) ELSE taken END, reason
+  FROM (SELECT o.portfolio, o.ticker, o.prio, o.ask_cents, o.rn, f.n, f.x, f.taken,
+          CASE WHEN list_contains(f.taken, o.ticker) THEN 'already_have_open_position'
+               WHEN f.n >= {CAPS.max_open_positions} THEN 'max_open_positions'
+               WHEN f.x + o.ask_cents > {CAPS.max_total_exposure_cents} THEN 'max_total_exposure'
+               WHEN f.n >= {CAPS.max_bets_per_day} THEN 'max_bets_per_day'
+               WHEN o.ask_cents IS NULL OR o.ask_cents <= 0 OR o.ask_cents >= 100 THEN 'invalid_ask'
+               ELSE 'ok' END AS reason
+        FROM f JOIN o ON o.portfolio = f.portfolio AND o.rn = f.rn + 1))
+"""
+
+
+@register("capped_admission", ops="B2 B3", sql=ADMISSION_SQL + """
+SELECT portfolio, ticker, prio, ask_cents,
+       CAST(row_number() OVER (PARTITION BY portfolio ORDER BY rn) AS INTEGER) AS round FROM f WHERE reason = 'ok'
+""")
 def capped_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = admission_candidates(spark, sf_dir)
     state = cand.select("portfolio").distinct().select(
@@ -183,10 +216,69 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("forecast") + 1.645 * F.col("residual_std")).alias("quantile_95"), "n_rows")
 
 
-@register("admission_audit", ops="B2 G5 (rows-only: reason per candidate of the admission fold)")
+@register("admission_audit", ops="B2 G5", sql=ADMISSION_SQL + """
+SELECT portfolio, ticker, prio, ask_cents, reason FROM f WHERE rn > 0
+""")
 def admission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = admission_candidates(spark, sf_dir)
     state = cand.select("portfolio").distinct().select(
         "portfolio", F.lit(0).alias("n_open"), F.lit(0).alias("exposure_cents"), F.lit(0).alias("n_entries"))
     adm = ledger.capped_admission(cand, state, CAPS)
     return ledger.admission_reasons(cand, state, adm, CAPS)
+
+
+@register("ledger_versions", ops="K5", sql=f"""
+WITH {POS_SQL},
+n AS (SELECT portfolio, ticker, max(id) AS top FROM pos GROUP BY 1, 2)
+SELECT CAST(2 AS BIGINT) AS version, pos.id, pos.portfolio, pos.ticker, pos.status,
+       (pos.id = n.top) AS newest FROM pos JOIN n USING (portfolio, ticker)
+""")
+def ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of the ledger: the positions, the positions with an added column (the newest of
+    a ticker), and one whose cycle ends before its commit. Readers get the second."""
+    base = scratch_path(spark, "ledger")
+    pos = sd.positions(spark, sf_dir).select("id", "portfolio", "ticker", "status")
+    writers.write_positions_version(pos, base, 1)
+    top = pos.groupBy("portfolio", "ticker").agg(F.max("id").alias("top"))
+    marked = pos.join(top, ["portfolio", "ticker"]).select(*pos.columns, (F.col("id") == F.col("top")).alias("newest"))
+    writers.write_positions_version(marked, base, 2)
+    writers.write_positions_version(pos.where(F.col("status") == "open"), base, 3, commit=False)
+    held = writers.latest_version(spark, base)
+    return writers.read_positions_version(spark, base).select(F.lit(held).cast("long").alias("version"), "*")
+
+
+@register("model_snapshots", ops="K6 M11", doubles=["forecast", "quantile_05", "quantile_95"], sql=f"""
+WITH {S.RD},
+f AS (SELECT series_id, arg_max(target, date) AS forecast, stddev_samp(target) AS sigma FROM rd GROUP BY 1)
+SELECT series_id, 1 AS run, forecast, CAST(NULL AS DOUBLE) AS quantile_05, CAST(NULL AS DOUBLE) AS quantile_95 FROM f
+UNION ALL SELECT series_id, 2, forecast, forecast - 1.645 * sigma, forecast + 1.645 * sigma FROM f
+""")
+def model_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of model snapshots, the second with bounds that the first did not have, read back
+    with one schema."""
+    path = scratch_path(spark, "model-snapshots")
+    f = sd.region_daily(spark, sf_dir).groupBy(*K).agg(F.max_by("target", "date").alias("forecast"),
+                                                       F.stddev_samp("target").alias("sigma"))
+    writers.append_model_snapshot(f.select(*K, F.lit(1).alias("run"), "forecast"), path)
+    low, _, high = writers.model_snapshot(F.col("forecast"), F.col("sigma"))
+    writers.append_model_snapshot(f.select(*K, F.lit(2).alias("run"), "forecast", low, high), path)
+    return writers.read_model_snapshots(spark, path)
+
+
+@register("pruned_refresh", ops="U3 K9", doubles=["temp"], sql=f"""
+WITH {S.STATION_DAILY},
+y AS (SELECT CAST(max(year(date)) AS INTEGER) AS last FROM sd)
+SELECT station_id, date, CASE WHEN year(date) IN (last - 3, last - 1, last) THEN temp + 1 ELSE temp END AS temp,
+       CASE WHEN year(date) IN (last - 3, last - 1, last) THEN 'fresh' ELSE 'cache' END AS src FROM sd, y
+""")
+def pruned_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache by year that lacks one year, refreshed from landed observations (the same ones, a
+    degree higher): the missing year and the two latest are read and rewritten, no others."""
+    obs = sd.station_daily(spark, sf_dir).withColumn("year", F.year("date"))
+    landed, cache = scratch_path(spark, "landed-observations"), scratch_path(spark, "station-cache")
+    obs.withColumn("temp", F.col("temp") + 1).withColumn("src", F.lit("fresh")).write.partitionBy("year").parquet(landed)
+    first, last = (int(y) for y in spark.read.parquet(landed).agg(F.min("year"), F.max("year")).first())
+    obs.where(F.col("year") != last - 3).withColumn("src", F.lit("cache")).write.partitionBy("year").parquet(cache)
+    years = ts.years_to_refresh(spark.read.parquet(cache).select("year"), first, last)
+    writers.refresh_station_cache(cache, spark.read.parquet(landed), years)
+    return spark.read.parquet(cache).select("station_id", "date", "temp", "src")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.operators.gates import reason_text
@@ -51,14 +52,48 @@ def append_trades(trades: DataFrame, path: str) -> None:
     trades.write.mode("append").parquet(path)
 
 
-def write_positions_version(positions: DataFrame, base: str, version: int) -> str:
-    """Positions are rewritten as a new immutable version folder (K5); readers pick the
-    latest complete version, so a failed cycle never leaves a half-written ledger."""
-    path = f"{base.rstrip('/')}/v={version:08d}"
+def _missing(exc: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc)
+
+
+def latest_version(spark: SparkSession, base: str) -> int | None:
+    """The greatest committed version under ``base`` (K5), None where nothing was committed."""
+    try:
+        commits = spark.read.schema("version long").parquet(f"{base.rstrip('/')}/commits")
+    except AnalysisException as exc:
+        if _missing(exc):
+            return None
+        raise
+    return commits.agg(F.max("version")).first()[0]
+
+
+def _version_path(base: str, version: int) -> str:
+    return f"{base.rstrip('/')}/v={version:08d}"
+
+
+def write_positions_version(positions: DataFrame, base: str, version: int, commit: bool = True) -> str:
+    """Positions are rewritten as a new immutable version folder (K5). The commit is a row written
+    last, so a cycle that fails before leaves a folder that no reader takes; writing that version
+    again replaces it. A committed version is never overwritten."""
+    spark = positions.sparkSession
+    held = latest_version(spark, base)
+    if held is not None and version <= held:
+        raise ValueError(f"version {version} of {base} is not after the committed {held}")
+    path = _version_path(base, version)
     positions.write.mode("overwrite").parquet(path)
+    if commit:
+        spark.range(version, version + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/commits")
     return path
 
 
+def read_positions_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame | None:
+    """The latest committed version (K5), or the committed one asked for; None before the first."""
+    held = latest_version(spark, base)
+    if held is None or (version is not None and version > held):
+        return None
+    return spark.read.parquet(_version_path(base, held if version is None else version))
+
+
 def model_snapshot(forecast: Column, sigma: Column) -> list[Column]:
     """q05 / q50 / q95 = forecast -+ 1.645 sigma."""
     return [(forecast - 1.645 * sigma).alias("quantile_05"), forecast.alias("quantile_50"),
@@ -66,9 +101,19 @@ def model_snapshot(forecast: Column, sigma: Column) -> list[Column]:
 
 
 def append_model_snapshot(row: DataFrame, path: str) -> None:
-    """Append one snapshot row per run (K6); new columns merge into the schema on read
-    (``mergeSchema``) instead of ALTER TABLE."""
-    row.write.mode("append").option("mergeSchema", True).parquet(path)
+    """Append one snapshot row per run (K6). Columns may be new; the reader merges the schemas."""
+    row.write.mode("append").parquet(path)
+
+
+def read_model_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    """All snapshot rows with the columns of any of them, null where a run had none (K6): the schemas
+    of the files are merged on reading instead of ALTER TABLE. None before the first snapshot."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as exc:
+        if _missing(exc):
+            return None
+        raise
 
 
 def write_market_views(views: DataFrame, path: str, capture_date: Column) -> None:
@@ -94,3 +139,12 @@ def upsert_station_cache(table: str, fresh: DataFrame, keys: Sequence[str] = ("s
     partition overwrite). Same merge as the streaming variant (X3)."""
     from gridcast.streaming.streams import upsert_partitions_writer
     upsert_partitions_writer(table, keys)(fresh, 0)
+
+
+def refresh_station_cache(table: str, landed: DataFrame, years: DataFrame, keys: Sequence[str] = ("station_id", "date"),
+                          year: str = "year") -> None:
+    """Incremental refresh (U3, K9): of ``landed``, a table partitioned by year, only the partitions in
+    ``years`` are read (dynamic partition pruning by the broadcast list, a row a year), and only those
+    partitions of the cache are read and rewritten."""
+    fresh = landed.join(F.broadcast(years.select(year)), year, "left_semi").drop(year)
+    upsert_station_cache(table, fresh, keys)
