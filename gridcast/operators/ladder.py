@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.scalar import clip, gaussian_tail
 from gridcast.operators.ordered import join_keys
+from gridcast.operators.quantiles import exact_quantiles
+from gridcast.operators.scan import Scan, bucket_of, prefix_scan
+from gridcast.session import cut_lineage
 
 
 def monotone(probs: DataFrame, group: Sequence[str], strike: str = "strike_mills",
-             prob: str = "prob", out: str = "fixed_prob") -> DataFrame:
-    """Running minimum over increasing strikes: P(x >= k) made non-increasing."""
-    w = (Window.partitionBy(*group).orderBy(strike)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return probs.withColumn(out, F.min(F.col(prob)).over(w))
+             prob: str = "prob", out: str = "fixed_prob", max_rows: int = 1_000_000) -> DataFrame:
+    """Running minimum over increasing strikes: P(x >= k) made non-increasing (L1, W18), as a
+    segmented prefix scan: a ladder of more than ``max_rows`` strikes is scanned in ranges."""
+    return prefix_scan(probs, group, [strike], {out: Scan("min", prob)}, max_rows=max_rows)
 
 
 def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
@@ -31,7 +33,7 @@ def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
 
     Trained and wanted rows are unioned and scanned once per group ordered by strike (trained
     first on ties): the previous trained point comes from ``last(ignorenulls)`` over the rows
-    so far, the next from ``first(ignorenulls)`` over the rows ahead. Exact match -> that
+    so far, the next from the same scan in reverse. Exact match -> that
     probability; between -> linear; outside -> nearest end; clipped to [lo, hi]; a group
     without a trained ladder -> ``empty_prob``, or with ``gaussian_fallback=(forecast, sigma)``
     (columns of the wanted rows) the normal tail P(x >= k) (D6). No range join and no pairs
@@ -60,12 +62,15 @@ def interpolate(trained: DataFrame, wanted: DataFrame, group: Sequence[str],
     u = t.unionByName(wnt)
     w = Window.partitionBy(*group, "_salt").orderBy(F.col("_k"), F.col("_side"))
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the rows ahead are those before in the reverse order: a frame that only grows, where one that
+    # shrinks from the current row to the end is computed anew for every row
+    ahead = Window.partitionBy(*group, "_salt").orderBy(F.col("_k").desc(), F.col("_side").desc())
+    ahead = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = u.select("*",
                  F.last("_tk", ignorenulls=True).over(back).alias("_lok"),
                  F.last("_tp", ignorenulls=True).over(back).alias("_lop"),
-                 F.first("_tk", ignorenulls=True).over(fwd).alias("_hik"),
-                 F.first("_tp", ignorenulls=True).over(fwd).alias("_hip"))
+                 F.last("_tk", ignorenulls=True).over(ahead).alias("_hik"),
+                 F.last("_tp", ignorenulls=True).over(ahead).alias("_hip"))
     u = u.where(F.col("_side") == 1)
     wgt = (F.col("_k") - F.col("_lok")) / (F.col("_hik") - F.col("_lok"))
     empty = (F.lit(empty_prob) if gaussian_fallback is None else gaussian_tail(
@@ -98,13 +103,12 @@ def dynamic_grid(centers: DataFrame, group: Sequence[str], forecast: str = "fore
 
 
 def training_grid(series: DataFrame, group: Sequence[str], value: str, step: float = 0.10,
-                  q_lo: float = 0.05, q_hi: float = 0.95) -> DataFrame:
-    """Training grid from the 5-95 % quantiles snapped outward to the step.
-    ``percentile`` is exact with linear interpolation."""
-    q = series.groupBy(*group).agg(F.percentile(F.col(value), q_lo).alias("_ql"),
-                                   F.percentile(F.col(value), q_hi).alias("_qh"))
-    q = q.select(*group, (F.floor(F.col("_ql") / step) * step).alias("_lo"),
-                 (F.ceil(F.col("_qh") / step) * step).alias("_hi"))
+                  q_lo: float = 0.05, q_hi: float = 0.95, max_rows: int = 1_000_000) -> DataFrame:
+    """Training grid from the 5-95 % quantiles snapped outward to the step (L5, A12). The
+    quantiles are exact with linear interpolation, selected by radix digits."""
+    q = exact_quantiles(series, group, value, [q_lo, q_hi], max_rows)
+    q = q.select(*group, (F.floor(F.col("q0") / step) * step).alias("_lo"),
+                 (F.ceil(F.col("q1") / step) * step).alias("_hi"))
     n = F.bround((F.col("_hi") - F.col("_lo")) / step, 0).cast("int")
     g = q.select(*group, "_lo", F.explode(F.sequence(F.lit(0), n)).alias("_i"))
     return g.select(*group, F.round(F.col("_lo") + F.col("_i") * step, 3).alias("strike"))
@@ -122,3 +126,23 @@ def threshold_labels(rows: DataFrame, grid: DataFrame, group: Sequence[str], val
     an equi-join on the group, never a cross join."""
     return rows.join(grid, list(group)).withColumn(
         "label", (F.col(value) >= F.col(strike)).cast("int"))
+
+
+def class_counts(rows: DataFrame, grid: DataFrame, group: Sequence[str], value: str,
+                 strike: str = "strike") -> DataFrame:
+    """(group..., strike, n, n_pos): rows and rows with value >= strike of every grid strike (A17),
+    without the row x strike table: each value falls between two strikes, values are counted by that
+    place (partial aggregation), and a strike's positives are the counts at or above it. A group's
+    strikes are an array (the grid is bounded by its step); strikes of a group without rows have
+    no counts, null values count as rows without a label of 1."""
+    group = list(group)
+    strikes = cut_lineage(grid.groupBy(*group).agg(F.sort_array(F.collect_set(F.col(strike).cast("double"))).alias("_ks")))
+    most = strikes.agg(F.max(F.size("_ks"))).first()[0] or 0
+    known = join_keys(rows.select(*group, F.col(value).cast("double").alias("_v")), strikes, group)
+    place = F.when(F.col("_v").isNull(), 0).otherwise(bucket_of(F.col("_ks"), F.col("_v"), most))
+    found = known.groupBy(*group, "_ks", place.alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    held = found.groupBy(*group, "_ks").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_c"))).alias("_m"))
+    total = lambda lo: F.aggregate(F.sequence(lo, F.size("_ks")), F.lit(0).cast("long"),
+                                   lambda acc, k: acc + F.coalesce(F.try_element_at("_m", k), F.lit(0)))
+    each = F.transform("_ks", lambda k, i: F.struct(k.alias("strike"), total(F.lit(0)).alias("n"), total(i + 1).alias("n_pos")))
+    return held.select(*group, F.inline(each)).withColumnRenamed("strike", strike)

@@ -8,16 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.operators.comoments import comoments, correlations
+from gridcast.operators.ordered import join_keys
+from gridcast.operators.quantiles import exact_quantiles
+from gridcast.operators.scan import Scan, prefix_scan
+from gridcast.session import cut_lineage
+
 
 def robust_spread(df: DataFrame, group: Sequence[str], resid: str, floor: float = 0.05,
-                  scale: float = 1.4826) -> DataFrame:
-    """1.4826 * median(|r - median(r)|) floored (A13). Two grouped passes joined on the group
-    (one row per group), exact medians via ``percentile`` (linear, as NumPy)."""
-    med = df.groupBy(*group).agg(F.percentile(F.col(resid), 0.5).alias("median_resid"))
-    dev = df.join(med, list(group)).groupBy(*group).agg(
-        F.percentile(F.abs(F.col(resid) - F.col("median_resid")), 0.5).alias("_mad"))
-    return med.join(dev, list(group)).select(
-        *group, "median_resid", F.greatest(F.lit(scale) * F.col("_mad"), F.lit(floor)).alias("residual_std"))
+                  scale: float = 1.4826, max_rows: int = 1_000_000) -> DataFrame:
+    """1.4826 * median(|r - median(r)|) floored (A13). Two selections of the exact median (linear,
+    as NumPy) by radix digits, joined on the group (one row per group)."""
+    rows = cut_lineage(df.select(*group, resid))
+    med = cut_lineage(exact_quantiles(rows, group, resid, [0.5], max_rows).withColumnRenamed("q0", "median_resid"))
+    dev = join_keys(rows, med, list(group)).withColumn("_dev", F.abs(F.col(resid) - F.col("median_resid")))
+    mad = exact_quantiles(dev, group, "_dev", [0.5], max_rows)
+    return join_keys(med, mad, list(group)).select(
+        *group, "median_resid", F.greatest(F.lit(scale) * F.col("q0"), F.lit(floor)).alias("residual_std"))
 
 
 def regression_metrics(df: DataFrame, group: Sequence[str], y: str, yhat: str) -> DataFrame:
@@ -32,15 +39,15 @@ def regression_metrics(df: DataFrame, group: Sequence[str], y: str, yhat: str) -
 
 
 def binary_metrics(df: DataFrame, group: Sequence[str], prob: str = "predicted_prob",
-                   label: str = "actual_label", cut: float = 0.5) -> DataFrame:
+                   label: str = "actual_label", cut: float = 0.5, max_rows: int = 1_000_000) -> DataFrame:
     """Accuracy, precision, recall, F1 (zero division -> 0), ROC-AUC with tied scores at
     average rank, Brier score and class counts, per group; groups with one class only are
     dropped (A15, A17).
 
     AUC is computed from counts per distinct score: rows are first reduced to
     (group, score) -> (#pos, #neg) with partial aggregation, then a running sum of negatives
-    below each score gives the Mann-Whitney statistic. The window runs over distinct scores,
-    not rows, so a group holding most of the data does not sort its rows in one task.
+    below each score gives the Mann-Whitney statistic. The sum is a segmented prefix scan over
+    the distinct scores, so neither the rows nor the scores of a hot group are sorted in one task.
     """
     y, p = F.col(label), F.col(prob)
     pred = (p >= cut).cast("int")
@@ -50,9 +57,9 @@ def binary_metrics(df: DataFrame, group: Sequence[str], prob: str = "predicted_p
         F.count_if((pred == 0) & (y == 1)).alias("_fn"), F.count_if((pred == 0) & (y == 0)).alias("_tn"),
         F.avg((p - y) * (p - y)).alias("brier"))
     base = base.where((F.col("n_test_pos") > 0) & (F.col("n_test_pos") < F.col("n_test")))
-    by_score = df.groupBy(*group, prob).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
-    w = Window.partitionBy(*group).orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)
-    by_score = by_score.withColumn("_below", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    by_score = cut_lineage(df.groupBy(*group, prob).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")))
+    by_score = prefix_scan(by_score, group, [prob], {"_below": Scan("sum", "_neg", inclusive=False)}, max_rows=max_rows)
+    by_score = by_score.withColumn("_below", F.coalesce("_below", F.lit(0)))
     u = by_score.groupBy(*group).agg(
         F.sum(F.col("_pos") * (F.col("_below") + 0.5 * F.col("_neg"))).alias("_u"))
     j = base.join(u, list(group))
@@ -84,37 +91,52 @@ def importance_summary(imp: DataFrame, feature: str = "feature", value: str = "i
 
 # --------------------------------------------------------------------------- O3 / O4
 
-def chrono_split(df: DataFrame, keys: Sequence[str], n_test: int, date: str = "date") -> DataFrame:
-    """Last ``n_test`` rows per key are 'test', the rest 'train' (O3)."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(date).desc()))
-    return df.withColumn("role", F.when(rn <= n_test, "test").otherwise("train"))
+def _numbered(df: DataFrame, keys: Sequence[str], date: str, max_rows: int) -> DataFrame:
+    """``df`` with _rn, the place of a row among its key's rows by date, and _n, their number."""
+    return prefix_scan(df, keys, [date], {"_rn": Scan("count")}, {"_n": Scan("count")}, max_rows)
+
+
+def chrono_split(df: DataFrame, keys: Sequence[str], n_test: int, date: str = "date",
+                 max_rows: int = 1_000_000) -> DataFrame:
+    """Last ``n_test`` rows per key are 'test', the rest 'train' (O3). Numbered by a segmented
+    prefix scan, so a key may hold any share of the rows."""
+    s = _numbered(df, keys, date, max_rows)
+    return s.withColumn("role", F.when(F.col("_rn") > F.col("_n") - n_test, "test").otherwise("train")).drop("_rn", "_n")
 
 
 def walk_forward_folds(df: DataFrame, keys: Sequence[str], n_splits: int = 5,
-                       date: str = "date") -> DataFrame:
+                       date: str = "date", max_rows: int = 1_000_000, position: str | None = None) -> DataFrame:
     """Expanding-window folds (O4, TimeSeriesSplit): test size t = n div (K+1); fold i tests
     rows (n-(K-i)t, n-(K-i-1)t] and trains on every row before. Rows are exploded to
-    (row, fold, role); rows in no fold are dropped."""
-    w = Window.partitionBy(*keys).orderBy(date)
-    s = df.select("*", F.row_number().over(w).alias("_rn"),
-                  F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    (row, fold, role); rows in no fold are dropped. With ``position`` test rows get their place
+    0..t-1 in the fold under that name, and t as _size."""
+    s = _numbered(df, keys, date, max_rows)
     t = (F.col("_n") / F.lit(n_splits + 1)).cast("long")
     folds = F.sequence(F.lit(0), F.lit(n_splits - 1))
     s = s.select("*", t.alias("_t"), F.explode(folds).alias("fold"))
     start = F.col("_n") - (F.lit(n_splits) - F.col("fold")) * F.col("_t")
     role = (F.when(F.col("_rn") <= start, "train")
             .when(F.col("_rn") <= start + F.col("_t"), "test"))
+    if position is not None:
+        s = s.withColumns({position: F.col("_rn") - start - 1, "_size": F.col("_t")})
     s = s.withColumn("role", role).where(F.col("role").isNotNull() & (F.col("_t") > 0))
     return s.drop("_rn", "_n", "_t")
 
 
 # --------------------------------------------------------------------------- A8 / O7
 
+#: Features up to which pairs are aggregate expressions.
+WIDE = 16
+
+
 def pairwise_corr(df: DataFrame, features: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Pairwise-complete Pearson correlation for every feature pair (A8), long form
-    (f1, f2, corr). All pairs are aggregates of ONE grouped aggregation (partial aggregation
-    map-side), so no row x pair expansion is shuffled. A constant column gives NULL (the
-    reference keeps such a feature), not a division error."""
+    (f1, f2, corr). Up to ``WIDE`` features all pairs are aggregates of ONE grouped aggregation
+    (partial aggregation map-side), so no row x pair expansion is shuffled; more features go
+    through blocked co-moment matrices. A constant column gives NULL (the reference keeps such a
+    feature), not a division error."""
+    if len(features) > WIDE:
+        return correlations(comoments(df, features, group), features, group)
     aggs = []
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     for a, b in pairs:

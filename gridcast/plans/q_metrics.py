@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import metrics as mx
 from gridcast.plans import sqlparts as S
-from gridcast.plans.q_features import TARGET_SQL, _target
+from gridcast.plans.q_features import FLAG_COLS, TARGET_SQL, _target
 from gridcast.plans.q_timeseries import K
 from gridcast.plans.registry import register
 from gridcast.sources import standins as sd
@@ -135,7 +135,46 @@ def pairwise_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.pairwise_corr(_target(spark, sf_dir), CORR_FEATS)
 
 
-@register("greedy_prune", ops="O7 O2 (rows-only)")
+#: The whole target block: what the prune sees where no list of candidates is given.
+PANEL_FEATS = [c for c in FLAG_COLS if c != "target"]
+
+
+def _panel_corr_sql() -> str:
+    rank = ", ".join(f"('{f}', {i})" for i, f in enumerate(PANEL_FEATS))
+    return TARGET_SQL + f""",
+o AS (SELECT * FROM (VALUES {rank}) v(f, rank)),
+r AS (SELECT row_number() OVER () AS row, {", ".join(PANEL_FEATS)} FROM t WHERE target IS NOT NULL),
+l AS (SELECT row, f, v FROM r UNPIVOT (v FOR f IN ({", ".join(PANEL_FEATS)}))),
+x AS (SELECT l.row, o.rank, o.f, l.v FROM l JOIN o USING (f))
+SELECT a.f AS f1, b.f AS f2, covar_samp(a.v, b.v) / nullif(stddev_samp(a.v) * stddev_samp(b.v), 0) AS corr
+FROM x a JOIN x b ON a.row = b.row AND a.rank < b.rank GROUP BY 1, 2
+"""
+
+
+@register("panel_corr", ops="A8 J12", doubles=["corr"], sql=_panel_corr_sql())
+def panel_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of every pair of the full target feature block, in one pass."""
+    t = _target(spark, sf_dir).where(F.col("target").isNotNull())
+    return mx.pairwise_corr(t, PANEL_FEATS)
+
+
+def _prune_sql() -> str:
+    """The fold in list order: each level decides one feature from those kept so far."""
+    rank = ", ".join(f"('{f}', {i})" for i, f in enumerate(CORR_FEATS))
+    return _corr_sql().replace("WITH", "WITH RECURSIVE", 1).replace("SELECT '", ", corr AS (SELECT '", 1) + f"""),
+o AS (SELECT * FROM (VALUES {rank}) v(feature, rank)),
+e AS (SELECT f1 AS a, f2 AS b FROM corr WHERE abs(corr) > 0.95 UNION ALL SELECT f2, f1 FROM corr WHERE abs(corr) > 0.95),
+x AS (SELECT o.feature, o.rank, list(e.b) FILTER (e.b IS NOT NULL) AS bad FROM o LEFT JOIN e ON e.a = o.feature GROUP BY 1, 2),
+f AS (SELECT -1 AS rank, CAST(NULL AS VARCHAR) AS feature, CAST([] AS VARCHAR[]) AS held, false AS kept
+      UNION ALL
+      SELECT x.rank, x.feature, CASE WHEN list_has_any(f.held, coalesce(x.bad, [])) THEN f.held
+             ELSE list_append(f.held, x.feature) END, NOT list_has_any(f.held, coalesce(x.bad, []))
+      FROM f JOIN x ON x.rank = f.rank + 1)
+SELECT feature, rank, kept FROM f WHERE rank >= 0
+"""
+
+
+@register("greedy_prune", ops="O7 O2", sql=_prune_sql())
 def greedy_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prune the correlation candidates in list order at |corr| > 0.95."""
     corr = mx.pairwise_corr(_target(spark, sf_dir), CORR_FEATS)

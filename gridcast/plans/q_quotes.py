@@ -202,6 +202,16 @@ def threshold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.threshold_labels(rd, g, K, "target")
 
 
+@register("class_counts", ops="A17 L8", doubles=["strike"], sql=TGRID_SQL + """
+SELECT rd.series_id, tg.strike, count(*) AS n, CAST(count_if(rd.target >= tg.strike) AS BIGINT) AS n_pos
+FROM rd JOIN tg ON rd.series_id = tg.series_id GROUP BY 1, 2
+""")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and positives of every strike of the training grid, as threshold_labels would count."""
+    rd = sd.region_daily(spark, sf_dir).select(*K, "date", "target")
+    return ladder.class_counts(rd, ladder.training_grid(rd, K, "target", step=10.0), K, "target")
+
+
 # --------------------------------------------------------------------------- signals / gates
 
 SIG_COLS = ["event_id", "ticker", "threshold_value", "strike_mills", "yes_ask_cents", "no_ask_cents",

@@ -14,7 +14,7 @@ from gridcast.plans import REGISTRY  # noqa: E402
 SF = "/root/testdata/sf0.001"
 SQL_PATH = sorted(n for n, q in REGISTRY.items()
                   if "bench:skip" not in q.ops and not n.startswith("stream") and n not in
-                  ("capped_admission", "landed_series_pages", "forecast_payload_scopes"))
+                  ("capped_admission", "landed_series_pages", "forecast_payload_scopes", "panel_corr"))
 
 
 @pytest.mark.parametrize("name", SQL_PATH)
