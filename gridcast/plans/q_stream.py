@@ -55,11 +55,12 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("station_id", "date", "temp", "src")
 
 
-@register("stream_revisions", ops="X4 W17 J5 (applyInPandasWithState)",
+@register("stream_revisions", ops="X4 W17 J5 (transformWithStateInPandas, timers)",
           doubles=["value", "prev_value", "revision_1d"], sql=None)
 def stream_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = sd.forecast_snapshots(spark, sf_dir)
     path = xs.land(snap, "snapshots")
+    xs.heartbeat(snap).write.mode("append").parquet(path)
     return xs.run_stream_revisions(spark, xs.folder_stream(spark, path, snap.schema))
 
 

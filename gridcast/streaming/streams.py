@@ -7,10 +7,13 @@ rewrites identical rows. Checkpoints and sink folders live under the shared chec
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from gridcast.operators import gates
@@ -42,8 +45,9 @@ def land(df: DataFrame, name: str) -> str:
     return path
 
 
-def run_available_now(writer, name: str, spark: SparkSession):
-    q = writer.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
+def run_available_now(writer, name: str, spark: SparkSession, checkpoint: str | None = None):
+    checkpoint = checkpoint or scratch_path(spark, f"ckpt-{name}")
+    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
@@ -131,40 +135,91 @@ def run_stream_upsert(spark: SparkSession, cache: DataFrame, fresh_stream: DataF
 
 REVISION_OUT = ("series_id string, run_ts date, channel string, value double, prev_value double, "
                 "revision_1d double")
-REVISION_STATE = "last_run string, channels array<string>, vals array<double>"
-
-
-def _revise(key, pdfs, state):
-    """Per-series revision state: the last run's channel values. Runs inside a batch are
-    taken in order; a run not newer than the state's last run is ignored (out of order)."""
-    import pandas as pd
-
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    last, prev = None, None
-    if state.exists:
-        last, chans, vals = state.get
-        prev = dict(zip(chans, vals))
-    rows = []
-    for run, g in pdf.sort_values(["run_ts", "channel"]).groupby("run_ts", sort=True):
-        if last is not None and str(run) <= last:
-            continue
-        cur = dict(zip(g["channel"], g["value"]))
-        for ch, v in cur.items():
-            pv = prev.get(ch) if prev is not None else None
-            rev = (v - pv) if (pv is not None and v is not None and not pd.isna(v) and not pd.isna(pv)) else None
-            rows.append((key[0], run, ch, v, pv, rev))
-        last, prev = str(run), cur
-    if last is not None:
-        state.update((last, list(prev.keys()), [float(x) for x in prev.values()]))
-    yield pd.DataFrame(rows, columns=["series_id", "run_ts", "channel", "value", "prev_value", "revision_1d"])
-
-
-def run_stream_revisions(spark: SparkSession, snapshots_stream: DataFrame) -> DataFrame:
-    """Forecast revisions as a keyed stateful stream (X4, applyInPandasWithState)."""
-    s = snapshots_stream.where(F.col("version") == 1).select("series_id", "run_ts", "channel", "value")
-    out = s.groupBy("series_id").applyInPandasWithState(
-        _revise, REVISION_OUT, REVISION_STATE, "append", "NoTimeout")
-    path = scratch_path(spark, "x4-revisions")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class Revisions(StatefulProcessor):
+    """Per-series state of X4: a map (run, channel) -> value of the last closed run and of the open
+    ones, and the day of the last closed run. A run stays open, and gathers rows from any number of
+    micro-batches, until the watermark passes it; then its timer compares it with the run closed
+    before and drops that one, so the state of a series is the open runs and one more. Of repeated
+    rows of a channel the greatest value counts, whatever their order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = handle.getMapState("values", "run date, channel string", "value double")
+        self.closed = handle.getValueState("closed", "run date")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.closed.get()[0] if self.closed.exists() else None
+        for pdf in rows:
+            for run, channel, value in zip(pdf["run_ts"], pdf["channel"], pdf["value"]):
+                if last is not None and run <= last:
+                    continue
+                value = None if pd.isna(value) else float(value)
+                old = self.values.getValue((run, channel)) if self.values.containsKey((run, channel)) else None
+                if old is None or old[0] is None or (value is not None and value > old[0]):
+                    self.values.updateValue((run, channel), (value,))
+                self.handle.registerTimer(_closes(run))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        last = self.closed.get()[0] if self.closed.exists() else None
+        runs: dict = {}
+        for (run, channel), (value,) in list(self.values.iterator()):
+            runs.setdefault(run, {})[channel] = value
+        rows = []
+        for run in sorted(r for r in runs if (last is None or r > last) and _closes(r) <= now):
+            before = runs.get(last, {})
+            for channel, value in sorted(runs[run].items(), key=lambda x: (x[0] is not None, x[0])):
+                prev = before.get(channel)
+                rows.append((key[0], run, channel, value, prev, None if value is None or prev is None else value - prev))
+            for channel in before:
+                self.values.removeKey((last, channel))
+            self.closed.update((run,))
+            last = run
+        yield pd.DataFrame(rows, columns=["series_id", "run_ts", "channel", "value", "prev_value", "revision_1d"])
+
+    def close(self) -> None:
+        pass
+
+
+def _closes(run) -> int:
+    """Milliseconds since the epoch at which the watermark closes a run: just past its day's start."""
+    return (run - dt.date(1970, 1, 1)).days * 86_400_000 + 1
+
+
+def heartbeat(snapshots: DataFrame, delay_days: int = 1) -> DataFrame:
+    """One row that ends a replay: a run late enough for the watermark to close all others. Its own
+    series (the empty one) is never closed, so it has no output. Live feeds need none, their next
+    runs move the watermark."""
+    names = {"series_id": F.lit(""), "version": F.lit(1), "run_ts": F.date_add(F.max("run_ts"), delay_days + 2)}
+    kept = [c for c in snapshots.columns if c in names]
+    one = snapshots.agg(*[names[c].alias(c) for c in kept]).where(F.col("run_ts").isNotNull())
+    return one.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in kept else F.lit(None).cast(f.dataType).alias(f.name)
+                        for f in snapshots.schema])
+
+
+def run_stream_revisions(spark: SparkSession, snapshots_stream: DataFrame, delay_days: int = 1,
+                         path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Forecast revisions as a keyed stateful stream (X4): map state on RocksDB, event-time timers
+    close a run ``delay_days`` behind the newest. ``path`` and ``checkpoint`` name a sink and a
+    checkpoint folder to go on with; left out, they are new."""
+    s = snapshots_stream.where(F.col("version") == 1).select(
+        "series_id", "run_ts", "channel", "value", F.timestamp_seconds(F.unix_date("run_ts").cast("long") * 86400).alias("_et"))
+    out = s.withWatermark("_et", f"{delay_days} days").groupBy("series_id").transformWithStateInPandas(
+        Revisions(), REVISION_OUT, "append", "EventTime")
+    path = path or scratch_path(spark, "x4-revisions")
     w = out.writeStream.outputMode("append").format("parquet").option("path", path)
-    run_available_now(w, "x4", spark)
-    return spark.read.parquet(path)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        run_available_now(w, "x4", spark, checkpoint)
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+    return spark.read.schema(REVISION_OUT).parquet(path)

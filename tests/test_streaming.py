@@ -33,25 +33,56 @@ def test_watermark_drops_late_rows_and_updates_in_window(spark):
     assert out[dt.date(2024, 1, 6)] == (2, 0.7)
 
 
-def test_revision_state_across_batches_and_out_of_order_run(spark):
+RUNS = "series_id string, run_ts date, channel string, version int, value double"
+
+
+def _land(spark, landing, rows, schema=RUNS):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+    time.sleep(1.1)   # the file source orders files by modification time
+
+
+def _day(n, month=1):
+    return dt.date(2024, month, n)
+
+
+def test_revisions_gather_a_run_from_several_batches(spark):
+    """A run split over micro-batches, an older run that arrives within the delay, one that arrives
+    after it was closed, repeated rows and nulls."""
     from gridcast.operators.timeseries import forecast_revisions
-    schema = "series_id string, run_ts date, channel string, version int, value double"
-    runs = [
-        [("s", dt.date(2024, 1, 1), "a", 1, 1.0), ("s", dt.date(2024, 1, 1), "b", 1, 5.0),
-         ("t", dt.date(2024, 1, 1), "a", 1, 7.0)],
-        [("s", dt.date(2024, 1, 2), "a", 1, 2.0), ("t", dt.date(2024, 1, 2), "a", 1, 9.0)],
-        [("s", dt.date(2024, 1, 3), "a", 1, 4.0), ("s", dt.date(2024, 1, 3), "b", 1, 8.0)],
-        [("s", dt.date(2024, 1, 2), "b", 1, 99.0)],          # arrives late: an older run, ignored
+    files = [
+        [("s", _day(1), "a", 1, 1.0), ("t", _day(1), "a", 1, 7.0)],
+        [("s", _day(1), "b", 1, 5.0)],                                  # the rest of the first run
+        [("s", _day(3), "a", 1, 2.0), ("t", _day(3), "a", 1, 9.0)],
+        [("s", _day(2), "b", 1, 99.0), ("s", _day(3), "c", 1, None), ("s", _day(3), "c", 1, 3.0)],   # late, still open
+        [("s", _day(9), "a", 1, 4.0), ("s", _day(9), "b", 1, 8.0)],
+        [("t", _day(9), "a", 1, 3.0)],                                  # the batch in which the timers run
+        [("s", _day(2), "a", 1, 50.0), ("s", _day(9), "c", 1, 1.0), ("s", _day(9), "d", 2, 1.0)],    # closed by now
     ]
     landing = scratch_path(spark, "test-x4")
-    for r in runs:
-        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(landing)
-        time.sleep(1.1)
-    stream = xs.folder_stream(spark, landing, spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
-    got = sorted(tuple(r) for r in xs.run_stream_revisions(spark, stream).collect())
-    batch = spark.createDataFrame([x for r in runs[:3] for x in r], schema)
-    ref = sorted(tuple(r) for r in forecast_revisions(batch, ["series_id"]).collect())
-    assert got == ref
+    for f in files:
+        _land(spark, landing, f)
+    stream = xs.folder_stream(spark, landing, spark.createDataFrame([], RUNS).schema, max_files_per_trigger=1)
+    kept = [r for f in files for r in f if r not in (("s", _day(2), "a", 1, 50.0), ("s", _day(3), "c", 1, None))]
+    whole = spark.createDataFrame(kept, RUNS)
+    xs.heartbeat(whole).coalesce(1).write.mode("append").parquet(landing)
+    got = sorted(tuple(r) for r in xs.run_stream_revisions(spark, stream, delay_days=2).collect())
+    assert got == sorted(tuple(r) for r in forecast_revisions(whole, ["series_id"]).collect())
+
+
+def test_revisions_go_on_after_a_restart(spark):
+    from gridcast.operators.timeseries import forecast_revisions
+    landing, path, ckpt = (scratch_path(spark, n) for n in ("test-x4b", "test-x4b-out", "test-x4b-ckpt"))
+    schema = spark.createDataFrame([], RUNS).schema
+    first = [("s", _day(1), "a", 1, 1.0), ("s", _day(4), "a", 1, 2.0)]
+    second = [("s", _day(4), "b", 1, 6.0), ("s", _day(8), "a", 1, 5.0), ("s", _day(8), "b", 1, 9.0)]
+    _land(spark, landing, first)
+    a = xs.run_stream_revisions(spark, xs.folder_stream(spark, landing, schema), path=path, checkpoint=ckpt).collect()
+    assert [tuple(r)[1:4] for r in a] == [(_day(1), "a", 1.0)]          # the later run is still open
+    _land(spark, landing, second)
+    whole = spark.createDataFrame(first + second, RUNS)
+    xs.heartbeat(whole).coalesce(1).write.mode("append").parquet(landing)
+    b = xs.run_stream_revisions(spark, xs.folder_stream(spark, landing, schema), path=path, checkpoint=ckpt).collect()
+    assert sorted(tuple(r) for r in b) == sorted(tuple(r) for r in forecast_revisions(whole, ["series_id"]).collect())
 
 
 def test_partition_upsert_across_batches(spark):
