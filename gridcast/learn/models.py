@@ -14,18 +14,21 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.learn import hist_boost
+from gridcast.learn import elastic_path, hist_boost
+from gridcast.operators import ladder
 from gridcast.operators import metrics as mx
 from gridcast.session import cut_lineage
 
 
+#: Swap-or-not rounds: beyond 2 log2(n) + 16 for any table here, more mixing than an importance needs.
+ROUNDS = 48
+
+
 def non_null_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     """Drop all-null candidate columns (the median imputer cannot fill them). One aggregate
     returning one row of counts."""
@@ -33,48 +36,24 @@ def non_null_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in features if counts[c] > 0]
 
 
-def cv_safe_features(df: DataFrame, features: Sequence[str], fold: str = "fold") -> list[str]:
-    """Features with values in every fold's training part (all rows outside the fold); one
-    aggregate of non-null counts per fold."""
-    rows = df.groupBy(fold).agg(*[F.count(F.col(c)).alias(c) for c in features]).collect()
-    total = {c: sum(r[c] for r in rows) for c in features}
-    return [c for c in features if total[c] > 0 and all(total[c] - r[c] > 0 for r in rows)]
-
-
-def _prep_stages(features: Sequence[str], series: str | None, scale: bool):
+def _prep_stages(features: Sequence[str], series: str | None):
     imp_out = [f"{c}__imp" for c in features]
     stages = [Imputer(strategy="median", inputCols=list(features), outputCols=imp_out)]
     cols = list(imp_out)
     if series:
         stages.append(StringIndexer(inputCol=series, outputCol=f"{series}__idx", handleInvalid="keep"))
         cols.append(f"{series}__idx")
-    stages.append(VectorAssembler(inputCols=cols, outputCol="features_raw" if scale else "features"))
-    if scale:
-        stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
+    stages.append(VectorAssembler(inputCols=cols, outputCol="features"))
     return stages
 
 
-def contiguous_folds(df: DataFrame, keys: Sequence[str], k: int, date: str = "date") -> DataFrame:
-    """Unshuffled K-fold blocks in time order per key (integer ``fold`` for CrossValidator)."""
-    w = Window.partitionBy(*keys).orderBy(date)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) * k / n).cast("int"))
-
-
 def fit_elastic_net(train: DataFrame, features: Sequence[str], label: str = "target",
-                    series: str | None = "series_id", l1_ratios=(0.1, 0.5, 0.9), folds: int = 5,
-                    keys: Sequence[str] = ("series_id",)) -> PipelineModel:
-    """Median impute + standard scale + elastic net, l1 ratio chosen by K-fold CV (M1-M3)."""
-    # CV refits 3 x 5 + 1 models: materialise the fold table once (reliable checkpoint)
-    data = cut_lineage(contiguous_folds(train, list(keys), folds))
-    features = cv_safe_features(data, features)
-    lr = LinearRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=100)
-    pipe = Pipeline(stages=[*_prep_stages(features, series, scale=True), lr])
-    grid = ParamGridBuilder().addGrid(lr.elasticNetParam, list(l1_ratios)).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="mae"), parallelism=3)
-    model = cv.fit(data)
-    return model.bestModel
+                    l1_ratios: Sequence[float] = elastic_path.RATIOS, folds: int = elastic_path.FOLDS,
+                    keys: Sequence[str] = ("series_id",), date: str = "date") -> elastic_path.ElasticNetPaths:
+    """Median impute + standard scale + elastic net (M1-M3), one model per key: the l1 ratio and the
+    penalty are chosen on a path of penalties by K-fold CV in time order, all from moments that one
+    pass collects."""
+    return elastic_path.fit_paths(train, features, label, keys, date, l1_ratios, folds=folds)
 
 
 def fit_quantile_boost(train: DataFrame, features: Sequence[str], alpha: float, label: str = "target",
@@ -89,7 +68,7 @@ def fit_quantile_boost(train: DataFrame, features: Sequence[str], alpha: float,
     Returns (prep_model, f0, [(tree_model, leaf_values_df)], learning_rate).
     """
     features = non_null_features(train, features)
-    prep = Pipeline(stages=_prep_stages(features, series, scale=False)).fit(train)
+    prep = Pipeline(stages=_prep_stages(features, series)).fit(train)
     d = prep.transform(train).select("features", F.col(label).alias("_y"))
     f0 = d.agg(F.percentile("_y", alpha).alias("q")).collect()[0]["q"]
     d = cut_lineage(d.withColumn("_f", F.lit(float(f0))))
@@ -127,7 +106,8 @@ def exploded_strikes(rows: DataFrame, grid: DataFrame, keys: Sequence[str], labe
     n / (2 n_class) per strike (sklearn's 'balanced')."""
     x = rows.join(grid, list(keys)).withColumn("label", (F.col(label) >= F.col("strike")).cast("double"))
     x = x.withColumn("strike_gap", F.col("strike") - F.col(base))
-    cnt = x.groupBy(*keys, "strike").agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_p"))
+    cnt = ladder.class_counts(rows, grid, list(keys), label).select(
+        *keys, "strike", F.col("n").alias("_n"), F.col("n_pos").alias("_p"))
     x = x.join(cnt, [*keys, "strike"])
     w = F.when(F.col("label") == 1.0, F.col("_n") / (2.0 * F.col("_p"))).otherwise(
         F.col("_n") / (2.0 * (F.col("_n") - F.col("_p"))))
@@ -141,7 +121,7 @@ def fit_strike_classifier(x: DataFrame, features: Sequence[str], seed: int = 42,
     features = non_null_features(x, [*features, "strike_gap"])
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter,
                         maxDepth=3, stepSize=step, seed=seed)
-    return Pipeline(stages=[*_prep_stages(features, series, scale=False), gbt]).fit(x)
+    return Pipeline(stages=[*_prep_stages(features, series), gbt]).fit(x)
 
 
 def prob_of_one(df: DataFrame, out: str = "prob") -> DataFrame:
@@ -149,61 +129,56 @@ def prob_of_one(df: DataFrame, out: str = "prob") -> DataFrame:
     return df.withColumn(out, vector_to_array("probability")[1])
 
 
-def calibrate(cal: DataFrame, apply_to: DataFrame, group: Sequence[str] = ("strike",),
-              raw: str = "prob", label: str = "label", min_rows: int = 20) -> DataFrame:
-    """Isotonic calibration fitted on a held-out tail (M6): one pooled isotonic map, fitted
-    only when the calibration set has both classes and at least ``min_rows`` rows; otherwise
-    the raw probability is kept."""
-    stats = cal.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).collect()[0]
-    if stats["n"] < min_rows or stats["k"] < 2:
-        return apply_to.withColumn("calibrated_prob", F.col(raw))
-    iso = IsotonicRegression(featuresCol=raw, labelCol=label, predictionCol="calibrated_prob",
-                             isotonic=True).fit(cal)
-    return iso.transform(apply_to)
+def permuted_position(pos: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """A keyed bijection of 0..n-1 for any n, without sorting: swap-or-not rounds. Each round pairs
+    x with k - x mod n for a keyed k and swaps the pair if a keyed bit of its larger member says so,
+    so every round, and their composition, is a permutation."""
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+        bit = F.xxhash64(key, r, F.greatest(x, other)).bitwiseAND(F.lit(1))
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pos.cast("long"), swap)
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("series_id",),
-                           label: str = "target", n_splits: int = 5, repeats: int = 3, seed: int = 42,
+                           label: str = "target", n_splits: int = 5, repeats: int = 8, seed: int = 42,
                            max_iter: int = 15) -> DataFrame:
-    """Walk-forward permutation importance (M7): per fold a quick GBTRegressor, then ONE long
-    table of the test fold: every row exploded to (feature, repeat) copies plus a base copy.
-    Inside each (series, feature, repeat) partition a row-order position and a random position
-    are numbered in one window pass, and a self-join on the random position brings in the
-    permuted value of that copy's feature. One transform scores every copy; importance =
-    MAE(permuted) - MAE(base) per (fold, feature, repeat) is averaged over repeats; the caller
-    summarises folds (A18). The plan size does not grow with features x repeats."""
-    folds = cut_lineage(mx.walk_forward_folds(df, list(keys), n_splits))
-    copies = F.array(F.struct(F.lit("__base__").alias("f"), F.lit(-1).alias("r")),
-                     *[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in features for r in range(repeats)])
-    pick = F.lit(None).cast("double")
-    for f in features:
-        pick = F.when(F.col("_feat") == f, F.col(f).cast("double")).otherwise(pick)
+    """Walk-forward permutation importance (M7): per fold a quick GBTRegressor on the rows before,
+    then the fold's rows scored with each feature permuted in turn. The permutation of a repeat is a
+    keyed bijection of the rows' positions in their key's fold, so the values it brings come by one
+    equi-join on the position: no rows are sorted, and no feature x repeat copies are shuffled (a
+    row's copies for the features are made where it is scored). Importance = MAE(permuted) -
+    MAE(base) per (fold, feature), the mean over repeats; the caller summarises folds (A18)."""
+    keys, features = list(keys), list(features)
+    folds = cut_lineage(mx.walk_forward_folds(df, keys, n_splits, position="_pos"))
     out = None
     for i in range(n_splits):
         tr = folds.where((F.col("fold") == i) & (F.col("role") == "train"))
-        te = folds.where((F.col("fold") == i) & (F.col("role") == "test"))
+        te = folds.where((F.col("fold") == i) & (F.col("role") == "test")).select(
+            *keys, label, "_pos", "_size", *[F.col(f).cast("double").alias(f) for f in features])
         gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=4,
                            stepSize=0.1, seed=seed + i)
-        model = Pipeline(stages=[*_prep_stages(non_null_features(tr, features), None, scale=False),
-                                 gbt]).fit(tr)
-        x = (te.withColumn("_row", F.monotonically_increasing_id())
-             .select("*", F.explode(copies).alias("_c"))
-             .withColumn("_feat", F.col("_c.f")).withColumn("_rep", F.col("_c.r")).drop("_c"))
-        part = Window.partitionBy(*keys, "_feat", "_rep")
-        x = x.select("*", F.row_number().over(part.orderBy("_row")).alias("_pos"),
-                     F.row_number().over(part.orderBy(F.rand(seed * 1000 + i), "_row")).alias("_spos"))
-        src = x.select(*keys, "_feat", "_rep", F.col("_spos").alias("_pos"), pick.alias("_pv"))
-        perm = x.join(src, [*keys, "_feat", "_rep", "_pos"])
-        perm = perm.select(*[F.when(F.col("_feat") == c, F.col("_pv")).otherwise(F.col(c)).alias(c)
-                             if c in features else F.col(c) for c in te.columns], "_feat", "_rep")
-        mae = (model.transform(perm).groupBy("_feat", "_rep")
-               .agg(F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("mae"))
-               .withColumn("fold", F.lit(i)))
-        base = mae.where(F.col("_feat") == "__base__").select("fold", F.col("mae").alias("_b"))
-        imp = (mae.where(F.col("_feat") != "__base__").join(F.broadcast(base), "fold")  # 1 row / fold
-               .groupBy("_feat", "fold").agg(F.avg(F.col("mae") - F.col("_b")).alias("importance"))
-               .select(F.col("_feat").alias("feature"), "fold", "importance"))
-        imp = cut_lineage(imp)
+        model = Pipeline(stages=[*_prep_stages(non_null_features(tr, features), None), gbt]).fit(tr)
+        copy = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+        moved = te.select("*", copy.alias("_rep")).withColumn("_src", permuted_position(
+            F.col("_pos"), F.col("_size"), F.xxhash64(*keys, F.lit(seed), F.lit(i), F.col("_rep"))))
+        source = te.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_pos").alias("_src_pos"),
+                           F.struct(*features).alias("_other"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
+        pairs = moved.join(source, [*same, F.col("_src") == F.col("_src_pos")])
+        # one copy a feature, in the task that scores it; the base copy of a row comes once
+        turns = F.array(*[F.lit(f) for f in features])
+        permuted = pairs.select(label, "_other", *features, F.explode(turns).alias("_feat")).select(
+            label, "_feat", *[F.when(F.col("_feat") == f, F.col(f"_other.{f}")).otherwise(F.col(f)).alias(f) for f in features])
+        base = te.select(label, F.lit("__base__").alias("_feat"), *features)
+        mae = (model.transform(permuted.unionByName(base)).groupBy("_feat")
+               .agg(F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("mae")))
+        mae = cut_lineage(mae)                           # a row a feature
+        only = mae.where(F.col("_feat") == "__base__").select(F.col("mae").alias("_b"), F.lit(i).alias("fold"))
+        imp = mae.where(F.col("_feat") != "__base__").withColumn("fold", F.lit(i)).join(F.broadcast(only), "fold").select(
+            F.col("_feat").alias("feature"), "fold", (F.col("mae") - F.col("_b")).alias("importance"))
         out = imp if out is None else out.unionByName(imp)
     return out
 

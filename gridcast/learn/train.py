@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.learn import isotonic
 from gridcast.learn import models as ml
 from gridcast.operators import ladder
 from gridcast.operators import metrics as mx
@@ -42,7 +43,7 @@ def train_model(frame: DataFrame, candidates: Sequence[str], keys: Sequence[str]
         imp = ml.permutation_importance(tr, feats, keys, label=label, repeats=2)
         sel = ml.select_features(imp, mx.pairwise_corr(tr, feats))
         feats = [r["feature"] for r in sel.orderBy("rank").select("feature").collect()] or feats
-    en = ml.fit_elastic_net(tr, feats, label=label, keys=keys)
+    en = ml.fit_elastic_net(tr, feats, label=label, keys=keys)   # one path per key
     qm = {a: ml.fit_quantile_boost(tr, feats, a, label=label, n_trees=n_trees) for a in quantiles}
     med = ml.predict_quantile_boost(qm[0.5], te, out="pred") if 0.5 in qm else en.transform(te).withColumnRenamed(
         "prediction", "pred")
@@ -56,8 +57,8 @@ def train_model(frame: DataFrame, candidates: Sequence[str], keys: Sequence[str]
     xt = x.where(F.col("role") == "train").join(tail, [*keys, "date"])
     clf = ml.fit_strike_classifier(xt.where(F.col("cal_role") == "train"), feats)
     cal = ml.prob_of_one(clf.transform(xt.where(F.col("cal_role") == "test")))
-    scored = ml.calibrate(cal.select("prob", "label"),
-                          ml.prob_of_one(clf.transform(x.where(F.col("role") == "test"))))
+    scored = isotonic.calibrate(cal.select(*keys, "strike", "prob", "label"),
+                                ml.prob_of_one(clf.transform(x.where(F.col("role") == "test"))), [*keys, "strike"])
     pairs = scored.select(F.col("strike").alias("threshold"), F.col("calibrated_prob").alias("predicted_prob"),
                           F.col("label").cast("int").alias("actual_label"))
     per = mx.binary_metrics(pairs, ["threshold"])
