@@ -3,7 +3,7 @@
 from gridcast.plans import q_timeseries  # noqa: F401  (registers queries)
 from gridcast.plans.registry import REGISTRY
 
-_MODULES = ["q_features", "q_quotes", "q_ledger", "q_metrics", "q_learn", "q_stream", "q_sources"]
+_MODULES = ["q_features", "q_quotes", "q_ledger", "q_metrics", "q_learn", "q_stream", "q_sources", "q_sinks"]
 for _m in _MODULES:
     try:
         __import__(f"gridcast.plans.{_m}")
