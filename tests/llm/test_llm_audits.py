@@ -55,9 +55,9 @@ def test_token_counts_of_other_files(spark, file):
 
 def test_splits_are_safe(tokenizer):
     rng = np.random.default_rng(3)
-    alphabet = list("ab9 \n\t'!.,漢。、é_") + ["'s", "  ", " ", " ", "́", "<|endoftext|>", "'ll"]
-    for _ in range(300):
-        text = "".join(rng.choice(alphabet, 60))
+    alphabet = list("ab9 \n\t'!.,漢。、é_") + ["'s", "  ", " ", " ", "́", "\u00a0", "\u2003", "\x0b", "—", "<|endoftext|>", "'ll"]
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet, 40))
         pieces = tc.split_text(text, int(rng.integers(1, 9)))
         assert "".join(pieces) == text
         whole = tokenizer.encode(text, add_special_tokens=False).ids
