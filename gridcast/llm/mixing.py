@@ -13,7 +13,10 @@ Splitting tree. The blocks go to output shards: a node of the tree holds the blo
 source and a range of shards; its left child's counts are a multivariate-hypergeometric draw (one
 hypergeometric draw per source, each from what is left), the right child gets the rest. At the
 leaves every shard has exact quotas, which take disjoint runs of each source's permuted blocks;
-within a shard the documents are ordered by hash.
+within a shard the documents are ordered by hash. A draw costs the same whatever the counts, and
+blocks are permuted by a keyed bijection of their numbers, so no source's blocks are listed or sorted
+in one place. A node is a row with a count for each source, so sources are taken to be few beside
+documents.
 """
 
 from __future__ import annotations
@@ -71,9 +74,13 @@ def _log_choose(n: Column, k: Column) -> Column:
     return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
 
-def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
-    """Inverse distribution function at ``u``: how many of ``drawn`` items out of ``total`` are
-    among its ``good`` ones."""
+SMALL_DRAW = 64         # up to so many possible outcomes the distribution is added up
+TRIES = 64              # points of a rejection draw; each fails with a chance below 0.35
+SWAPS = 48              # rounds of the permutation of blocks
+
+
+def _inverse(total: Column, good: Column, drawn: Column, u: Column) -> Column:
+    """Inverse distribution function at ``u``, for few outcomes."""
     lo, hi = F.greatest(F.lit(0), drawn + good - total), F.least(drawn, good)
     rest = _log_choose(total, drawn)
     start = F.struct(F.lit(0.0).alias("p"), hi.alias("x"), F.lit(False).alias("done"))
@@ -84,7 +91,55 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
         return F.struct(p.alias("p"), F.when(hit, x).otherwise(s["x"]).alias("x"),
                         (s["done"] | hit).alias("done"))
 
-    return F.aggregate(F.sequence(lo, hi), start, step, lambda s: s["x"])
+    return F.aggregate(F.sequence(lo, F.least(hi, lo + SMALL_DRAW)), start, step, lambda s: s["x"])
+
+
+def _rejection(total: Column, good: Column, drawn: Column, key: list[Column]) -> Column:
+    """Ratio-of-uniforms draw for many outcomes: points are kept that lie under the square root of
+    the distribution's shape, which two uniforms and a comparison of factorials decide. Drawn for
+    the rarer kind of item and the smaller part; should all tries fail, the mode is taken."""
+    n = total.cast("double")
+    k, m = (F.least(c, total - c).cast("double") for c in (good, drawn))
+    mean = m * k / n
+    spread = F.sqrt(mean * (1 - k / n) * (n - m) / (n - 1) + 0.5)
+    # the enclosing rectangle: 2 sqrt(2/e) spreads and half a step of each side
+    width = 2 * math.sqrt(2 / math.e) * spread + (3 - 2 * math.sqrt(3 / math.e))
+    mode = F.floor((m + 1) * (k + 1) / (n + 2)).cast("double")
+
+    def height(x):
+        return -(_log_factorial(x) + _log_factorial(k - x) + _log_factorial(m - x) + _log_factorial(n - k - m + x))
+
+    top = height(mode)
+
+    def attempt(s, r):
+        u, v = _uniform(*key, r, F.lit("u")), _uniform(*key, r, F.lit("v"))
+        x = F.floor(mean + 0.5 + width * (v - 0.5) / u).cast("double")
+        hit = ~s["done"] & (x >= 0) & (x <= F.least(m, k)) & (2 * F.log(u) <= height(x) - top)
+        return F.struct(F.when(hit, x).otherwise(s["x"]).alias("x"), (s["done"] | hit).alias("done"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.struct(mode.alias("x"), F.lit(False).alias("done")),
+                        attempt, lambda s: s["x"].cast("long"))
+    few = F.least(drawn, total - drawn)                       # items in the smaller part
+    kind = F.when(good * 2 > total, few - found).otherwise(found)
+    return F.when(drawn * 2 > total, good - kind).otherwise(kind)
+
+
+def hypergeometric(total: Column, good: Column, drawn: Column, key: list[Column]) -> Column:
+    """How many of ``drawn`` items out of ``total`` are among its ``good`` ones: a draw that ``key``
+    decides. Its work and memory don't grow with the counts."""
+    lo, hi = F.greatest(F.lit(0).cast("long"), drawn + good - total), F.least(drawn, good)
+    return (F.when(hi <= lo, lo).when(hi - lo <= SMALL_DRAW, _inverse(total, good, drawn, _uniform(*key)))
+            .otherwise(_rejection(total, good, drawn, key)))
+
+
+def permuted(at: Column, n: Column, key: Column) -> Column:
+    """Place of ``at`` in a keyed permutation of 0..n-1, n of any size: in each round x and k - x
+    (modulo n, for a k of the round) are swapped if a bit of the greater of them says so."""
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+        return F.when(F.xxhash64(key, r, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SWAPS)), at.cast("long"), swap)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
@@ -101,8 +156,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
                          F.array().cast("array<bigint>").alias("out"))
 
         def fold(s, x):
-            got = hypergeometric(s["total"], x["k"], s["left"],
-                                 _uniform(F.lit(seed), F.col("lo"), F.col("n"), x["sk"]))
+            got = hypergeometric(s["total"], x["k"], s["left"], [F.lit(seed), F.col("lo"), F.col("n"), x["sk"]])
             return F.struct((s["total"] - x["k"]).alias("total"), (s["left"] - got).alias("left"),
                             F.concat(s["out"], F.array(got)).alias("out"))
 
@@ -164,10 +218,9 @@ def draws(placed: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
     run = Window.partitionBy("sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     turn = (dealt.withColumn("lo", F.coalesce(F.sum("blocks").over(run), F.lit(0)))
             .select("sk", "shard", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("blocks") - 1)).alias("turn")))
-    permuted = (quotas.select("sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-                .withColumn("turn", (F.row_number().over(Window.partitionBy("sk").orderBy(
-                    F.md5(F.concat_ws(":", F.lit(seed), "block")), "block")) - 1).cast("long")))
-    where = written(permuted.join(turn, ["sk", "turn"]).select("sk", "block", "shard"), "mix-blocks")
+    every = (quotas.select("sk", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+             .withColumn("turn", permuted(F.col("block"), F.col("blocks"), F.xxhash64(F.lit(seed), "sk"))))
+    where = written(every.join(turn, ["sk", "turn"]).select("sk", "block", "shard"), "mix-blocks")
     taken = (placed.filter("size > 0")
              .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
              .withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start"))
@@ -196,11 +249,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of ``docs``, from the draws."""
+    """(doc_id, size, source_size, target, taken, shards) for each row of ``docs``, from the draws;
+    ``shards`` lists the output shard of each draw, in ascending order, and is empty without one."""
     placed = written(layout(docs), "mix-layout")
-    taken = draws(placed).groupBy("sk", "start").agg(F.sum("words").alias("taken"))
+    taken = draws(placed).groupBy("sk", "start").agg(F.sum("words").alias("taken"),
+                                                     F.array_sort(F.collect_list("shard")).alias("shards"))   # one an epoch
     some = placed.filter("size > 0").join(taken, ["sk", "start"], "left")
-    none = placed.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
+    none = placed.filter("size = 0").withColumns({"taken": F.lit(None).cast("long"), "shards": F.lit(None).cast("array<int>")})
     return some.unionByName(none).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))

@@ -51,7 +51,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixing.taken_words(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("shards")
 
 
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
