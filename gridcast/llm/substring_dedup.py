@@ -1,19 +1,17 @@
-"""Substring dedup by a prefix-partitioned suffix tree over words.
+"""Substring dedup: repeated windows of ``width`` words by hashed prefixes of two lengths.
 
-A document is a string of words; its suffixes start at words. Only depth ``width`` matters: an
-inner node that deep is a word sequence that starts at two places, a repeat. The tree is built
-level by level, each level keyed by the hash of a prefix, so that a subtree is a set of rows that
-Spark partitions and no task ever holds one whole:
+This stands in for a suffix tree partitioned by variable prefixes: no suffix is sorted, no tree is
+built and no group is sized to memory (see the README). A document is a string of words:
 
-1. Prefixes of ``seed`` words. Of the suffixes, one per ``width``-window is enough here: the one
-   whose seed prefix has the least hash in the window (equal windows choose the same one). A seed
-   prefix that occurs once is a leaf: the windows that chose it cannot repeat.
-2. The surviving suffixes get the longer prefix of ``width`` words. Nodes with two or more
-   occurrences are the repeats; neighbouring windows of a longer (maximal) repeat overlap, and
-   their union is the maximal repeat.
+1. Prefixes of ``seed`` words. One place per ``width``-window is enough: the one whose seed has the
+   least hash in the window (equal windows choose the same one). The windows that chose a seed that
+   occurs once cannot repeat.
+2. The other windows are counted by the 64-bit hash of their ``width`` words; those that occur twice
+   or more are the repeats. Neighbouring windows of a longer repeat overlap, and their union is that
+   repeat. Words are not compared again, so two windows of one hash count as equal.
 
 Counts are combined before each shuffle and the rows come back by joins that Spark may split, so
-a prefix that a third of all suffixes share costs one row per task.
+a prefix that a third of all windows share costs one row per task.
 """
 
 from __future__ import annotations
