@@ -2,17 +2,19 @@
 
 Equal vectors are one node with a multiplicity. Nodes are dealt to shards of about ``SHARD`` by
 hash; each shard's graph is built once (each layer: the nearest candidates, thinned to diverse
-neighbours, links in both directions) and kept as one row. Every shard's nodes are searched in
-every shard's graph, one task per pair of shards. A search is a beam per query, all queries of a
-block in step. A query whose beam ends above the threshold gets a wider one until it does not.
-
-Each task draws queries at random and compares them with all vectors of the shard until AUDIT of
-them have a few links to others. Beams are widened until the mean recall of these queries, and that
-of the drawn queries with many links, passes. A task that runs out of queries first has compared
-all of them and uses that; so does one whose beams would be wider than WIDEST. Found pairs are
-verified in double precision. A task reports each query's number of links and a spanning forest of
-the links it found, not the links, so a group of copies costs rows in proportion to its size; one
-more row holds its audited recall and beam.
+neighbours, links in both directions) and kept as one row, its vectors in parts as another column.
+Every part of a shard's nodes is searched in its own graph and in those of the shards before it, a
+task each; a link between two shards counts for both of its nodes, so it is searched once. A search is a
+beam per query, all queries of a block in step. A query whose beam ends above the threshold gets a
+wider one until it does not.
+
+One audit sets the beams of the whole table: a sample of about ``AUDIT`` nodes is compared with all
+vectors, once, and searched by beams of each width. Recall is a mean over the sampled nodes with
+links to others, apart for those with few and with many links; the least width passes at which
+both reach ``RECALL``. If none does, all pairs of shards are compared exactly. A sample with too
+few links to tell takes beams of ``UNTOLD``. Found pairs are verified in double precision. A task
+reports each query's number of links and a spanning forest of the links it found, block by block,
+so neither its rows nor its memory grow with the square of a group of near copies.
 """
 
 import pickle
@@ -25,22 +27,32 @@ from pyspark.sql import functions as F
 
 from gridcast.llm.common import components, written
 
-SHARD = 8192
+SHARD = 16384
+PARTS = 4             # parts of a shard's nodes that are searched apart
 LINKS = 16            # neighbours kept per node and layer; twice as many on the lowest
 RATIO = 16            # nodes of a layer per node of the layer above
-BEAM = 24
-WIDEST = 384
-AUDIT = 96            # queries with links, few and many each, that a task's beams are audited by
+WIDTHS = (24, 48, 96, 192, 384)
+AUDIT = 4096          # nodes that the audit compares with all others
 FEW = 8               # more links than these are many
-RECALL = 0.995        # mean over the queries of each kind
+RECALL = 0.995        # mean over the nodes of each kind
+TOLD, UNTOLD = 16, 96 # nodes with links by which a sample of a larger table tells; the width if it doesn't
 OUTSIDE = 4           # neighbours below the threshold that each node and layer keeps besides
+ENTRIES = 8           # nodes of a layer from which the layer below is searched
+WAYS_IN, ROOM = 3, 8  # nodes below the threshold that lead to a node; links a node gives up to that end
 THRESHOLD = 0.95
 SLACK = 1e-4          # single-precision search keeps this much below the threshold; doubles decide
-BLOCK = 512
+BLOCK, ROWS, SPREAD = 512, 256, 8
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Doubles with the largest component of each row brought to 1/2..1 by a power of two, which
+    changes no cosine and lets no square overflow or vanish."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -55,8 +67,8 @@ def _layer(u: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
     if not width:
         return out
     x = u[ids]
-    for a in range(0, n, 1024):
-        s = x[a:a + 1024] @ x.T
+    for a in range(0, n, ROWS):
+        s = x[a:a + ROWS] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
         near = np.argpartition(-s, width - 1, axis=1)[:, :width]
         sim = np.take_along_axis(s, near, 1)
@@ -69,20 +81,54 @@ def _layer(u: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
             keep[:, j] = ~worse.any(1) & (keep[:, :j].sum(1) < m)
         rank = np.where(keep, 0, width) + np.arange(width)
         pick = np.argsort(rank, axis=1)[:, :m]
-        out[a:a + 1024, :pick.shape[1]] = np.take_along_axis(near, pick, 1)
-        s[s >= THRESHOLD] = -2
-        far = np.argpartition(-s, min(OUTSIDE, n) - 1, axis=1)[:, :OUTSIDE]
-        out[a:a + 1024, m:m + far.shape[1]] = np.where(np.take_along_axis(s, far, 1) > -2, far, -1)
+        out[a:a + ROWS, :pick.shape[1]] = np.take_along_axis(near, pick, 1)
+        # the nearest below the threshold: among those candidates, or else among all
+        below = sim < THRESHOLD
+        place = np.argsort(~below, axis=1, kind="stable")[:, :OUTSIDE]
+        far = np.where(np.take_along_axis(below, place, 1), np.take_along_axis(near, place, 1), -1)
+        short = np.flatnonzero((far < 0).any(1) & (width < n - 1))
+        if len(short):
+            rest = np.where(s[short] >= THRESHOLD, -2, s[short])
+            best = np.argpartition(-rest, min(OUTSIDE, n) - 1, axis=1)[:, :OUTSIDE]
+            far[short] = np.where(np.take_along_axis(rest, best, 1) > -2, best, -1)
+        out[a:a + ROWS, m:m + far.shape[1]] = far
     src = np.repeat(np.arange(n), (out[:, :own] >= 0).sum(1))
     dst = out[:, :own][out[:, :own] >= 0]
-    order = np.argsort(dst, kind="stable")
+    # the links back go first to nodes that few others chose, so that all can be reached
+    order = np.lexsort((np.bincount(dst, minlength=n)[src], dst))
     src, dst = src[order], dst[order]
     place = np.arange(len(dst)) - np.searchsorted(dst, dst)
     room = place < m
     out[dst[room], own + place[room]] = src[room]
+    out = np.concatenate([out, _ways_in(x, out, np.roll(np.arange(own), OUTSIDE))], axis=1)
     return np.where(out >= 0, ids[out], -1).astype(np.int32)
 
 
+def _ways_in(x: np.ndarray, out: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """More links, at most ROOM from a node, to nodes that fewer than WAYS_IN nodes below the threshold
+    lead to: from their own neighbours below it, tried in ``order`` of columns. Without them a pair
+    of near duplicates that only hubs chose, or that chose only each other, can't be reached."""
+    n = len(x)
+    more, used = np.full((n, ROOM), -1, np.int32), np.zeros(n, np.int64)
+    ways = np.zeros(n, np.int64)
+    far = np.zeros(out.shape, bool)
+    for a in range(0, n, ROWS):
+        nb = out[a:a + ROWS]
+        far[a:a + ROWS] = (nb >= 0) & (np.einsum("id,ijd->ij", x[a:a + ROWS], x[nb]) < THRESHOLD)
+        ways += np.bincount(nb[far[a:a + ROWS]], minlength=n)
+    for j in order:
+        v = np.flatnonzero((ways < WAYS_IN) & far[:, j])
+        u = out[v, j]
+        turn = np.argsort(u, kind="stable")
+        v, u = v[turn], u[turn]
+        place = used[u] + np.arange(len(u)) - np.searchsorted(u, u)
+        fits = (place < ROOM) & ~(out[u] == v[:, None]).any(1) & ~(more[u] == v[:, None]).any(1)
+        more[u[fits], place[fits]] = v[fits]
+        np.maximum.at(used, u[fits], place[fits] + 1)
+        ways[v[fits]] += 1
+    return more
+
+
 def build(x: np.ndarray, gid: np.ndarray, mult: np.ndarray) -> dict:
     """Graph of a shard: layers from the lowest, each (its nodes, their neighbours)."""
     u = _unit(x)
@@ -97,23 +143,26 @@ def build(x: np.ndarray, gid: np.ndarray, mult: np.ndarray) -> dict:
     return {"x": x, "gid": gid, "mult": mult, "layers": layers}
 
 
-def _beam(u, nbrs, q, entry, width, expand=4):
+def _beam(u, nbrs, q, entry, width):
     """Best ``width`` nodes for each query: (ids, similarities), -1 where there are fewer."""
     n, k = len(u), len(q)
     width = min(width, n)
-    ids = np.full((k, width), -1, np.int64)
+    ids = np.full((k, width), -1, np.int32)
     sim = np.full((k, width), -3, np.float32)
     seen = np.zeros((k, n), bool)
     first = min(entry.shape[1], width)
-    ids[:, :first] = entry[:, :first]
-    sim[:, :first] = np.einsum("qed,qd->qe", u[ids[:, :first]], q)
-    seen[np.arange(k)[:, None], ids[:, :first]] = True
+    entry = np.sort(entry[:, :first], axis=1)
+    again = np.zeros(entry.shape, bool)
+    again[:, 1:] = entry[:, 1:] == entry[:, :-1]
+    ids[:, :first] = np.where(again, -1, entry)
+    sim[:, :first] = np.where(again, -3, np.einsum("qed,qd->qe", u[entry], q))
+    seen[np.arange(k)[:, None], entry] = True
     open_ = sim > -3
     live = np.arange(k)
-    expand = min(expand, width)
+    expand = min(max(4, width // SPREAD), width)          # wide beams take more nodes a step
     while len(live):
         rank = np.where(open_[live], sim[live], -4)
-        top = np.argpartition(-rank, expand - 1, axis=1)[:, :expand]
+        top = np.argpartition(rank, width - expand, axis=1)[:, -expand:]
         good = np.take_along_axis(rank, top, 1) > -4
         some = good.any(1)
         live, top, good = live[some], top[some], good[some]
@@ -134,120 +183,136 @@ def _beam(u, nbrs, q, entry, width, expand=4):
         all_ids = np.concatenate([ids[live], cand], axis=1)
         all_sim = np.concatenate([sim[live], got], axis=1)
         all_open = np.concatenate([o, got > -3], axis=1)
-        best = np.argpartition(-all_sim, width - 1, axis=1)[:, :width]
+        best = np.argpartition(all_sim, all_sim.shape[1] - width, axis=1)[:, -width:]
         ids[live], sim[live] = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_sim, best, 1)
         open_[live] = np.take_along_axis(all_open, best, 1)
     return ids, sim
 
 
-def _search(g: dict, u: np.ndarray, q: np.ndarray, width: int, threshold: float):
-    """(query, node) of all similarities over the threshold that beams of at least ``width`` find."""
-    found = []
-    nbrs = [None] * len(g["layers"])
-    for j, (ids, nb) in enumerate(g["layers"]):
+def _hits(g: dict, u: np.ndarray, q: np.ndarray, width: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, nodes) of the similarities over the threshold, block by block: those that beams of
+    at least ``width`` find, or with a width of 0 all."""
+    if not width:
+        for a in range(0, len(q), BLOCK):
+            r, c = np.nonzero(q[a:a + BLOCK] @ u.T >= threshold)
+            yield r + a, c
+        return
+    nbrs = []
+    for ids, nb in g["layers"]:
         full = np.full((len(u), nb.shape[1]), -1, np.int32)
         full[ids] = nb
-        nbrs[j] = full
+        nbrs.append(full)
     top = g["layers"][-1][0]
     for a in range(0, len(q), BLOCK):
         part = q[a:a + BLOCK]
-        start = top[np.argsort(-(part @ u[top].T), axis=1)[:, :4]]
+        start = top[np.argsort(-(part @ u[top].T), axis=1)[:, :ENTRIES]]
         for j in range(len(nbrs) - 2, 0, -1):
-            ids, sim = _beam(u, nbrs[j], part, start, 8)
-            start = np.take_along_axis(ids, np.argsort(-sim, axis=1), 1)[:, :4]
+            ids, sim = _beam(u, nbrs[j], part, start, 2 * ENTRIES)
+            start = np.take_along_axis(ids, np.argsort(-sim, axis=1), 1)[:, :ENTRIES]
             start = np.where(start >= 0, start, start[:, :1])
         todo, w = np.arange(len(part)), width
         while len(todo):
-            ids, sim = _beam(u, nbrs[0], part[todo], start[todo][:, :1], w)
+            ids, sim = _beam(u, nbrs[0], part[todo], start[todo], w)
             full = (sim.min(1) >= threshold) & (w < len(u))        # the beam may have cut links off
-            done = ~full
-            r, c = np.nonzero((sim >= threshold) & done[:, None])
-            found.append(np.stack([todo[r] + a, ids[r, c]], 1))
+            r, c = np.nonzero((sim >= threshold) & ~full[:, None])
+            yield todo[r] + a, ids[r, c]
             todo, w = todo[full], w * 4
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
-    """Links of a spanning forest."""
-    root: dict = {}
-
-    def find(v):
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    fa, fb = [], []
-    for v, w in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(v), find(w)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            fa.append(v)
-            fb.append(w)
-    return fa, fb
-
-
-def _true(g: dict, other: dict, u: np.ndarray, q: np.ndarray, low: float, enough: float):
-    """(query, node) of all similarities over ``low``, but of no vector with itself, for queries
-    drawn until ``enough`` of them have 1 to FEW; and whether all were drawn."""
-    order = np.random.default_rng(11).permutation(len(q))
-    found, few = [np.empty((0, 2), np.int64)], 0
-    for a in range(0, len(q), BLOCK):
-        if few >= enough:
-            return np.concatenate(found), False
-        part = order[a:a + BLOCK]
-        r, c = np.nonzero(q[part] @ u.T >= low)
-        r = part[r]
-        others = other["gid"][r] != g["gid"][c]
-        found.append(np.stack([r[others], c[others]], 1))
-        n = np.unique(r[others], return_counts=True)[1]
-        few += (n <= FEW).sum()
-    return np.concatenate(found), True
-
-
-def _recall(g: dict, other: dict, u, q, truth: np.ndarray, width: int, low: float) -> float:
-    """Mean recall of the beams over at most AUDIT queries with few links, or over as many with many
-    links if that is less."""
-    at, n = np.unique(truth[:, 0], return_counts=True)
-    few, many = np.flatnonzero(n <= FEW)[:AUDIT], np.flatnonzero(n > FEW)[:AUDIT]
-    pick = np.concatenate([few, many])
-    hits = _search(g, u, q[at[pick]], width, low)
-    hits = hits[other["gid"][at[pick][hits[:, 0]]] != g["gid"][hits[:, 1]]]
-    share = np.minimum(np.bincount(hits[:, 0], minlength=len(pick)) / n[pick], 1)
-    return min(float(x.mean()) for x in (share[:len(few)], share[len(few):]) if len(x))
-
-
-def link_shards(g: dict, other: dict, threshold: float):
-    """Links of the nodes of ``other`` to the nodes of the graph ``g``: each node's number of
-    linked vectors, the forest, and the audited recall with the beam it took (1 and 0 where all were
-    compared)."""
-    u, q = _unit(g["x"]), _unit(other["x"])
+
+
+class _Forest:
+    """Spanning forest of links between queries and nodes, which come in any number of pieces."""
+
+    def __init__(self, queries: int, nodes: int):
+        self.label, self.queries, self.links = np.arange(queries + nodes), queries, []
+
+    def add(self, qi: np.ndarray, ui: np.ndarray) -> None:
+        """Unites in growing pieces: once a group is one tree, each further query of it costs one
+        link and not one per member."""
+        order = np.argsort(qi, kind="stable")
+        qi, ui = qi[order], ui[order] + self.queries
+        starts = np.flatnonzero(np.concatenate([[True], qi[1:] != qi[:-1]])) if len(qi) else []
+        at, size = 0, 1
+        while at < len(starts):
+            lo, hi = starts[at], starts[at + size] if at + size < len(starts) else len(qi)
+            self._unite(qi[lo:hi], ui[lo:hi])
+            at, size = at + size, size * 2
+
+    def _unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        pairs = np.unique(np.stack([self.label[a], self.label[b]], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        for x, y in pairs.tolist():
+            r, s = find(x), find(y)
+            if r != s:
+                root[max(r, s)] = min(r, s)
+                self.links.append((x, y))             # labels are members of their trees
+        if root:
+            old = np.fromiter(root, np.int64, len(root))
+            new = self.label.copy()
+            moved = np.arange(len(new))
+            moved[old] = [find(int(v)) for v in old]
+            self.label = moved[new]
+
+
+def audit_shard(g: dict, sample: dict, threshold: float) -> pd.DataFrame:
+    """For each sampled node with links to others in the shard: their number and, for each width,
+    how many of them the beams find."""
+    u, q = _unit(g["x"]), _unit(sample["x"])
     low = threshold - SLACK
-    hits, whole = _true(g, other, u, q, low, AUDIT)
-    width = BEAM
-    while not whole:
-        recall = _recall(g, other, u, q, hits, width, low)
-        if recall >= RECALL:
-            break
-        width *= 2
-        if width > WIDEST:
-            hits, whole = _true(g, other, u, q, low, np.inf)
-    if whole:
-        recall, width = 1.0, 0
-    else:
-        hits = _search(g, u, q, width, low)
-    qi, ui = hits[:, 0], hits[:, 1]
-    keep = other["gid"][qi] != g["gid"][ui]
-    qi, ui = qi[keep], ui[keep]
-    exact = np.empty(len(qi))
-    for a in range(0, len(qi), 100_000):
-        x, y = other["x"][qi[a:a + 100_000]].astype(np.float64), g["x"][ui[a:a + 100_000]].astype(np.float64)
-        exact[a:a + 100_000] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-    ok = exact >= threshold
-    qi, ui = qi[ok], ui[ok]
-    links = np.bincount(qi, g["mult"][ui], minlength=len(q)).astype(np.int64)
-    a, b = _forest(other["gid"][qi], g["gid"][ui])
-    return links, a, b, recall, width
+
+    def count(width: int, rows: np.ndarray) -> np.ndarray:
+        n = np.zeros(len(rows), np.int64)
+        for r, c in _hits(g, u, q[rows], width, low):
+            other = sample["gid"][rows[r]] != g["gid"][c]
+            n += np.bincount(r[other], minlength=len(rows))
+        return n
+
+    true = count(0, np.arange(len(q)))
+    some = np.flatnonzero(true)
+    out = pd.DataFrame({"gid": sample["gid"][some], "links": true[some]})
+    for w in WIDTHS:
+        out[f"w{w}"] = np.minimum(count(w, some), true[some])
+    return out
+
+
+def beam_width(recalls: list, whole: bool) -> int:
+    """The least width at which the mean recall of both kinds passes, 0 if none does. ``recalls``:
+    for each kind that has nodes (their number, {width: mean recall}); ``whole``: all nodes were
+    sampled."""
+    if not whole and sum(n for n, _ in recalls) < TOLD:
+        return UNTOLD
+    return next((w for w in WIDTHS if all(r[w] >= RECALL for _, r in recalls)), 0)
+
+
+def link_shards(g: dict, other: dict, threshold: float, width: int):
+    """Links of the nodes of ``other`` to the nodes of the graph ``g``: the number of linked vectors of
+    each node of ``other`` and of each of ``g``, and a spanning forest."""
+    u, q = _unit(g["x"]), _unit(other["x"])
+    x, y = _scaled(other["x"]), _scaled(g["x"])
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    links, back = np.zeros(len(q), np.int64), np.zeros(len(u), np.int64)
+    forest = _Forest(len(q), len(u))
+    for qi, ui in _hits(g, u, q, width, threshold - SLACK):
+        keep = other["gid"][qi] != g["gid"][ui]
+        qi, ui = qi[keep], ui[keep]
+        ok = np.empty(len(qi), bool)
+        for a in range(0, len(qi), 100_000):
+            i, j = qi[a:a + 100_000], ui[a:a + 100_000]
+            ok[a:a + 100_000] = (x[i] * y[j]).sum(1) / np.sqrt(xx[i] * yy[j]) >= threshold
+        qi, ui = qi[ok], ui[ok]
+        links += np.bincount(qi, g["mult"][ui], minlength=len(q)).astype(np.int64)
+        back += np.bincount(ui, other["mult"][qi], minlength=len(u)).astype(np.int64)
+        forest.add(qi, ui)
+    names = np.concatenate([other["gid"], g["gid"]])
+    a, b = names[np.array(forest.links, np.int64).reshape(-1, 2)].T
+    return links, back, a, b
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
@@ -276,32 +341,54 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embe
     parts = F.element_at(F.create_map(*[F.lit(x) for kv in count.items() for x in kv]), F.col("d"))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("gid", F.lit(7)), parts).cast("int"))
 
-    def graph(pdf: pd.DataFrame) -> pd.DataFrame:
+    def packed(pdf: pd.DataFrame) -> dict:
         pdf = pdf.sort_values("gid")
-        g = build(np.stack(pdf["v"].to_list()), pdf["gid"].to_numpy(), pdf["mult"].to_numpy())
-        return pd.DataFrame({"d": [pdf["d"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "g": [pickle.dumps(g, 5)]})
+        return {"x": np.stack(pdf["v"].to_list()), "gid": pdf["gid"].to_numpy(), "mult": pdf["mult"].to_numpy()}
+
+    def graph(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = packed(pdf)
+        parts = [pickle.dumps({k: x[i::PARTS] for k, x in v.items()}, 5) for i in range(PARTS) if len(v["x"]) > i]
+        return pd.DataFrame({"d": [pdf["d"].iloc[0]], "shard": [pdf["shard"].iloc[0]],
+                             "g": [pickle.dumps(build(**v), 5)], "q": [parts]})
+
+    graphs = written(dealt.groupBy("d", "shard").applyInPandas(graph, "d int, shard int, g binary, q array<binary>"), "graphs")
 
-    graphs = written(dealt.groupBy("d", "shard").applyInPandas(graph, "d int, shard int, g binary"), "graphs")
-    sides = graphs.withColumn("other", F.explode(F.sequence(F.lit(0), (F.element_at(F.create_map(
-        *[F.lit(x) for kv in count.items() for x in kv]), F.col("d")) - 1).cast("int"))))
-    pairs = sides.join(graphs.select("d", F.col("shard").alias("other"), F.col("g").alias("q")), ["d", "other"])
-    tasks = sum(c * c for c in count.values())
+    # the audit: a sample of each vector length against all shards, once
+    of = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["d"], min(1.0, AUDIT / r["count"]))]), F.col("d"))
+    drawn = nodes.filter(F.pmod(F.xxhash64("gid", F.lit(13)), F.lit(1 << 20)) < of * (1 << 20))
+    sample = drawn.groupBy("d").applyInPandas(
+        lambda pdf: pd.DataFrame({"d": [pdf["d"].iloc[0]], "s": [pickle.dumps(packed(pdf), 5)]}), "d int, s binary")
+
+    def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, g, s in zip(pdf["d"], pdf["g"], pdf["s"], strict=True):
+                yield audit_shard(pickle.loads(g), pickle.loads(s), threshold).assign(d=d)[["d", "gid", "links", *wide]]
+
+    wide = [f"w{w}" for w in WIDTHS]
+    held = graphs.join(sample, "d").select("d", "g", "s").repartition(sum(count.values()))
+    told = held.mapInPandas(audit, "d int, gid long, links long, " + ", ".join(f"{w} long" for w in wide))
+    told = told.groupBy("d", "gid").agg(*[F.sum(c).alias(c) for c in ("links", *wide)])
+    kinds = told.groupBy("d", (F.col("links") > FEW).alias("many")).agg(
+        F.count("*").alias("n"), *[F.avg(F.col(w) / F.col("links")).alias(w) for w in wide]).collect()   # two rows a length
+    width = {r["d"]: beam_width([(k["n"], {w: k[f"w{w}"] for w in WIDTHS}) for k in kinds if k["d"] == r["d"]],
+                                r["count"] <= AUDIT) for r in sizes}
+
+    sides = graphs.select("d", "shard", "g", F.explode(F.sequence(F.col("shard"), (parts - 1).cast("int"))).alias("other"))
+    asked = graphs.select("d", F.col("shard").alias("other"), F.posexplode("q").alias("part", "q"))
+    pairs = sides.join(asked, ["d", "other"])
+    tasks = PARTS * sum(c * (c + 1) // 2 for c in count.values())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for g, q in zip(pdf["g"], pdf["q"], strict=True):
+            for d, shard, other, g, q in zip(*[pdf[c] for c in ("d", "shard", "other", "g", "q")], strict=True):
                 g, q = pickle.loads(g), pickle.loads(q)
-                links, a, b, recall, width = link_shards(g, q, threshold)
-                some = np.flatnonzero(links)
-                yield pd.DataFrame({"a": np.concatenate([q["gid"][some], np.array(a, np.int64)]),
-                                    "b": np.concatenate([q["gid"][some], np.array(b, np.int64)]),
-                                    "n": np.concatenate([links[some], np.zeros(len(a), np.int64)]),
-                                    "recall": None, "width": None})
-                yield pd.DataFrame({"a": [None], "b": [None], "n": [None], "recall": [recall], "width": [width]})
-
-    told = written(pairs.repartition(tasks, "d", "shard", "other").mapInPandas(
-        search, "a long, b long, n long, recall double, width int"), "links")
-    found = told.filter("width is null")
+                links, back, a, b = link_shards(g, q, threshold, width[d])
+                some = [(q["gid"], links)] + [(g["gid"], back)] * (shard != other)
+                node = np.concatenate([ids[n > 0] for ids, n in some])
+                yield pd.DataFrame({"a": np.concatenate([node, a]), "b": np.concatenate([node, b]),
+                                    "n": np.concatenate([*[n[n > 0] for _, n in some], np.zeros(len(a), np.int64)])})
+
+    found = written(pairs.repartition(tasks, "d", "shard", "other", "part").mapInPandas(search, "a long, b long, n long"), "links")
     degree = found.groupBy(F.col("a").alias("gid")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a <> b").select("a", "b"))
     whole = (rows.select("id", "gid").join(nodes.select("gid", "mult"), "gid", "left").join(degree, "gid", "left")
