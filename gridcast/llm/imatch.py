@@ -22,14 +22,20 @@ COPIES = 8                              # subsets per rate
 SUBSETS = len(RATES) * COPIES
 BAND = (0.0005, 0.05)                   # document frequency as a share of all documents
 BROADCAST_TERMS = 500_000
-SPACES = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACES = "\t\n\x0b\f\r"
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-cased words of a text (empty for null)."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.array_remove(F.array_distinct(F.split(low, SPACES)), "")
+    """Distinct lower-cased words of a text (empty for null). White space becomes a blank in the same
+    step as letters are lowered, since a split at one character takes no regular expression."""
+    return F.array_remove(_parts(text), "")
+
+
+def _parts(text: Column) -> Column:
+    """The terms, and '' where white space stands at an end or twice; no lexicon has that."""
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER + _SPACES, _LOWER + " " * len(_SPACES))
+    return F.array_distinct(F.split(low, " "))
 
 
 def _mask(term: Column) -> Column:
@@ -59,8 +65,7 @@ def _bit(mask: int):
 def signatures(levels: list[Column]) -> Column:
     """Signature of each subset from the sorted (term, mask) of each rate: '' for an empty subset."""
     def one(k: int) -> Column:
-        inside = _bit(1 << k)                # array_join leaves out the nulls
-        return F.array_join(F.transform(levels[k // COPIES], lambda t: F.when(inside(t), t["term"])), " ")
+        return F.array_join(F.filter(levels[k // COPIES], _bit(1 << k))["term"], " ")
 
     return F.transform(F.array(*[one(k) for k in range(SUBSETS)]),
                        lambda p: F.when(p == "", p).otherwise(F.substring(F.md5(p), 1, 10)))
@@ -204,15 +209,14 @@ def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> Da
             .filter("g = 0")
             .withColumn("edited", F.concat(F.expr("substring(text, 1, int(length(text) - length(text) div 3))"),
                                            F.expr("substring(next, 1, int(length(text) div 3))")))
-            .withColumn("a", terms(F.col("text"))).withColumn("e", terms(F.col("edited"))))
+            .withColumn("a", _parts(F.col("text"))).withColumn("e", _parts(F.col("edited"))))
 
     rows = rows.select(
         "b", "i", F.struct("doc_id", "key", "next_key", n.cast("long").alias("n_chars"),
                            F.sha2("edited", 256).alias("edited_sha256"),
                            _whole(F.col("text")).alias("w"), _whole(F.col("edited")).alias("ew")).alias("meta"),
-        F.array_intersect("a", "e").alias("both"), F.array_except("a", "e").alias("left"),
-        F.array_except("e", "a").alias("right"))
-    rows = rows.select("b", "i", "meta", F.concat(F.array(F.lit(None).cast("string")), "both", "left", "right").alias("elems"),
+        "a", F.array_except("a", "e").alias("left"), F.array_except("e", "a").alias("right"))
+    rows = rows.withColumn("both", F.array_except("a", "left")).select("b", "i", "meta", F.concat(F.array(F.lit(None).cast("string")), "both", "left", "right").alias("elems"),
                        F.size("both").alias("n_both"), F.size("left").alias("n_left"))
     fp = written(_fingerprints(_with_lexicon(rows, lex, ["b", "i"]),
                                {"fingerprint": (LEFT, "meta.w"), "edited_fingerprint": (RIGHT, "meta.ew")})
