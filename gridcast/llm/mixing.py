@@ -63,8 +63,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
             .select("sk", "source", "source_size", "target", "quota"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _log_factorial(n: Column) -> Column:
-    x = F.greatest(n.cast("double"), F.lit(1.0))
+    return _let(n.cast("double"), _stirling)
+
+
+def _stirling(n: Column) -> Column:
+    x = F.greatest(n, F.lit(1.0))
     value = ((x + 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * x)
              - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x))
     return F.when(n < 2, F.lit(0.0)).otherwise(value)
@@ -81,17 +90,21 @@ SWAPS = 48              # rounds of the permutation of blocks
 
 def _inverse(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """Inverse distribution function at ``u``, for few outcomes."""
-    lo, hi = F.greatest(F.lit(0), drawn + good - total), F.least(drawn, good)
-    rest = _log_choose(total, drawn)
-    start = F.struct(F.lit(0.0).alias("p"), hi.alias("x"), F.lit(False).alias("done"))
+    given = F.struct(total.alias("n"), good.alias("k"), drawn.alias("m"), u.alias("u"),
+                     _log_choose(total, drawn).alias("rest"))
+
+    def of(g):
+        lo, hi = F.greatest(F.lit(0).cast("long"), g["m"] + g["k"] - g["n"]), F.least(g["m"], g["k"])
+        start = F.struct(F.lit(0.0).alias("p"), hi.alias("x"), F.lit(False).alias("done"))
+
+        def step(s, x):
+            p = s["p"] + F.exp(_log_choose(g["k"], x) + _log_choose(g["n"] - g["k"], g["m"] - x) - g["rest"])
+            return _let(p, lambda p: F.struct(p.alias("p"), F.when(~s["done"] & (p >= g["u"]), x).otherwise(s["x"]).alias("x"),
+                                              (s["done"] | (p >= g["u"])).alias("done")))
 
-    def step(s, x):
-        p = s["p"] + F.exp(_log_choose(good, x) + _log_choose(total - good, drawn - x) - rest)
-        hit = ~s["done"] & (p >= u)
-        return F.struct(p.alias("p"), F.when(hit, x).otherwise(s["x"]).alias("x"),
-                        (s["done"] | hit).alias("done"))
+        return F.aggregate(F.sequence(lo, F.least(hi, lo + SMALL_DRAW)), start, step, lambda s: s["x"])
 
-    return F.aggregate(F.sequence(lo, F.least(hi, lo + SMALL_DRAW)), start, step, lambda s: s["x"])
+    return _let(given, of)
 
 
 def _rejection(total: Column, good: Column, drawn: Column, key: list[Column]) -> Column:
@@ -100,36 +113,52 @@ def _rejection(total: Column, good: Column, drawn: Column, key: list[Column]) ->
     the rarer kind of item and the smaller part; should all tries fail, the mode is taken."""
     n = total.cast("double")
     k, m = (F.least(c, total - c).cast("double") for c in (good, drawn))
-    mean = m * k / n
-    spread = F.sqrt(mean * (1 - k / n) * (n - m) / (n - 1) + 0.5)
-    # the enclosing rectangle: 2 sqrt(2/e) spreads and half a step of each side
-    width = 2 * math.sqrt(2 / math.e) * spread + (3 - 2 * math.sqrt(3 / math.e))
-    mode = F.floor((m + 1) * (k + 1) / (n + 2)).cast("double")
 
-    def height(x):
-        return -(_log_factorial(x) + _log_factorial(k - x) + _log_factorial(m - x) + _log_factorial(n - k - m + x))
-
-    top = height(mode)
-
-    def attempt(s, r):
-        u, v = _uniform(*key, r, F.lit("u")), _uniform(*key, r, F.lit("v"))
-        x = F.floor(mean + 0.5 + width * (v - 0.5) / u).cast("double")
-        hit = ~s["done"] & (x >= 0) & (x <= F.least(m, k)) & (2 * F.log(u) <= height(x) - top)
-        return F.struct(F.when(hit, x).otherwise(s["x"]).alias("x"), (s["done"] | hit).alias("done"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.struct(mode.alias("x"), F.lit(False).alias("done")),
-                        attempt, lambda s: s["x"].cast("long"))
+    def height(g, x):
+        return -(_log_factorial(x) + _log_factorial(g["k"] - x) + _log_factorial(g["m"] - x)
+                 + _log_factorial(g["n"] - g["k"] - g["m"] + x))
+
+    def shaped(g):
+        mean = g["m"] * g["k"] / g["n"]
+        spread = F.sqrt(mean * (1 - g["k"] / g["n"]) * (g["n"] - g["m"]) / (g["n"] - 1) + 0.5)
+        # the enclosing rectangle: 2 sqrt(2/e) spreads and half a step of each side
+        width = 2 * math.sqrt(2 / math.e) * spread + (3 - 2 * math.sqrt(3 / math.e))
+        mode = F.floor((g["m"] + 1) * (g["k"] + 1) / (g["n"] + 2)).cast("double")
+        return F.struct(g["n"].alias("n"), g["k"].alias("k"), g["m"].alias("m"), (mean + 0.5).alias("middle"),
+                        width.alias("width"), mode.alias("mode"), height(g, mode).alias("top"), g["key"].alias("key"))
+
+    def found(g):
+        def attempt(s, r):
+            def tried(p):
+                fits = (p["x"] >= 0) & (p["x"] <= F.least(g["m"], g["k"])) & (2 * F.log(p["u"]) <= height(g, p["x"]) - g["top"])
+                return F.when(fits, F.struct(p["x"].alias("x"), F.lit(True).alias("done"))).otherwise(s)
+
+            u, v = _uniform(g["key"], r, F.lit("u")), _uniform(g["key"], r, F.lit("v"))
+            point = _let(F.struct(u.alias("u"), v.alias("v")), lambda w: F.struct(
+                w["u"].alias("u"), F.floor(g["middle"] + g["width"] * (w["v"] - 0.5) / w["u"]).cast("double").alias("x")))
+            return F.when(s["done"], s).otherwise(_let(point, tried))
+
+        start = F.struct(g["mode"].alias("x"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), start, attempt, lambda s: s["x"].cast("long"))
+
+    given = F.struct(n.alias("n"), k.alias("k"), m.alias("m"), F.concat_ws(":", *key).alias("key"))
+    x = _let(_let(given, shaped), found)
     few = F.least(drawn, total - drawn)                       # items in the smaller part
-    kind = F.when(good * 2 > total, few - found).otherwise(found)
-    return F.when(drawn * 2 > total, good - kind).otherwise(kind)
+    return _let(F.when(good * 2 > total, few - x).otherwise(x), lambda y: F.when(drawn * 2 > total, good - y).otherwise(y))
 
 
 def hypergeometric(total: Column, good: Column, drawn: Column, key: list[Column]) -> Column:
     """How many of ``drawn`` items out of ``total`` are among its ``good`` ones: a draw that ``key``
     decides. Its work and memory don't grow with the counts."""
-    lo, hi = F.greatest(F.lit(0).cast("long"), drawn + good - total), F.least(drawn, good)
-    return (F.when(hi <= lo, lo).when(hi - lo <= SMALL_DRAW, _inverse(total, good, drawn, _uniform(*key)))
-            .otherwise(_rejection(total, good, drawn, key)))
+    given = F.struct(total.alias("n"), good.alias("k"), drawn.alias("m"))
+
+    def of(g):
+        n, k, m = g["n"], g["k"], g["m"]
+        lo, hi = F.greatest(F.lit(0).cast("long"), m + k - n), F.least(m, k)
+        return (F.when(hi <= lo, lo).when(hi - lo <= SMALL_DRAW, _inverse(n, k, m, _uniform(*key)))
+                .otherwise(_rejection(n, k, m, key)))
+
+    return _let(given, of)
 
 
 def permuted(at: Column, n: Column, key: Column) -> Column:
