@@ -2,8 +2,11 @@
 ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -134,13 +137,66 @@ def test_splitting_tree(spark):
     assert max(shards) - min(shards) <= 2 and min(r.blocks for r in rows) >= 0
 
 
+def _long(*values):
+    return [F.lit(v).cast("long") for v in values]
+
+
 def test_hypergeometric(spark):
     grid = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
-    got = grid.select(mixing.hypergeometric(*[F.lit(v).cast("long") for v in (50, 20, 10)], F.col("u")).alias("x"))
+    got = grid.select(mixing._inverse(*_long(50, 20, 10), F.col("u")).alias("x"))
     mean, var = got.agg(F.avg("x"), F.var_pop("x")).first()
     assert mean == pytest.approx(4.0, abs=0.01) and var == pytest.approx(10 * 0.4 * 0.6 * 40 / 49, abs=0.02)
 
 
+@pytest.mark.parametrize("total,good,drawn", [(1000, 400, 300), (1000, 700, 300), (1000, 300, 800), (1000, 800, 900), (10**9, 3 * 10**8, 10**8),
+                                              (10**12, 999 * 10**9, 10**11)])
+def test_hypergeometric_of_many(spark, total, good, drawn):
+    n = 3000
+    begun = time.time()
+    got = spark.range(n).select(mixing.hypergeometric(*_long(total, good, drawn), [F.lit("k"), F.col("id").cast("string")]).alias("x"))
+    mean, var, lo, hi = got.agg(F.avg("x"), F.var_pop("x"), F.min("x"), F.max("x")).first()
+    assert time.time() - begun < 60                       # a draw takes milliseconds, whatever the counts
+    share = good / total
+    want = drawn * share * (1 - share) * (total - drawn) / (total - 1)
+    assert abs(mean - drawn * share) < 4 * (want / n) ** 0.5 and abs(var / want - 1) < 4 * (2 / n) ** 0.5
+    assert max(0, drawn + good - total) <= lo and hi <= min(drawn, good)
+
+
+def test_hypergeometric_has_its_distribution(spark):
+    n, total, good, drawn = 40_000, 400, 150, 120
+    got = {r.x: r["count"] for r in spark.range(n).select(mixing.hypergeometric(
+        *_long(total, good, drawn), [F.lit("d"), F.col("id").cast("string")]).alias("x")).groupBy("x").count().collect()}
+    p = {x: math.comb(good, x) * math.comb(total - good, drawn - x) / math.comb(total, drawn) for x in range(drawn + 1)}
+    assert sum((got.get(x, 0) - n * q) ** 2 / (n * q) for x, q in p.items() if n * q > 10) < 70     # about 35 outcomes
+    for args in ((10, 0, 5), (10, 10, 5), (10, 4, 0), (10, 4, 10)):
+        assert spark.range(1).select(mixing.hypergeometric(*_long(*args), [F.lit("e")])).first()[0] == args[1] * args[2] // 10
+
+
+def test_blocks_are_permuted(spark):
+    for n in (1, 2, 5, 777):
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("x")).collect()
+        assert sorted(r.x for r in got) == list(range(n))
+
+
+def test_mixed_shards(spark):
+    """Each draw is in one shard, shards hold their blocks' words, and the pipeline writes them in order."""
+    docs = spark.createDataFrame([(i, " ".join(words(20 + i % 50, i)), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    placed = mixing.layout(docs)
+    drawn = mixing.draws(placed, block_words=64, shard_words=1024).collect()
+    per = {}
+    for r in drawn:
+        per[r["shard"]] = per.get(r["shard"], 0) + r["words"]
+    size = sum(per.values())
+    assert len(per) == math.ceil(sum(math.ceil(r["q"] / 64) for r in placed.groupBy("sk").agg(F.max("quota").alias("q")).collect()) * 64 / 1024)
+    assert max(per.values()) < 2 * size / len(per)
+    begins = {}
+    for r in drawn:
+        begins.setdefault((r["sk"], r["block"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in begins.values())
+    rows = mixing.taken_words(docs).collect()
+    assert all((len(r.shards) == 0) == (r.taken == 0) and r.shards == sorted(r.shards) for r in rows)
+
+
 def test_imatch(docs):
     rows = imatch.edited_fingerprints(docs).collect()
     order = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None), key=lambda r: -r[0])
@@ -232,6 +288,52 @@ def test_url_rules_read_deep_parts(spark):
     assert [got[40 + i] for i in range(3)] == [("block", "mined"), ("unknown", "default"), ("allow", "mined")]
 
 
+def brute_rules(rows, least, confidence):
+    """Pruned rules over tokens: every combination that is the least one, by items, of its rows."""
+    tokens = sorted({t for items, _ in rows for t in items})
+    held = {c: [(i, v) for i, (items, v) in enumerate(rows) if set(c) <= set(items)]
+            for k in range(1, 5) for c in itertools.combinations(tokens, k)}
+    out = {}
+    for c, of in held.items():
+        for verdict in ("allow", "block"):
+            n = sum(v == verdict for _, v in of)
+            if n >= least and n >= confidence * len(of):
+                out[c, verdict] = n / len(of)
+    return {(c, v): p for (c, v), p in out.items()
+            if not any(out.get((d, v), 0) >= p for k in range(1, len(c)) for d in itertools.combinations(c, k))}
+
+
+def test_url_rules_equal_enumeration(spark):
+    r = random.Random(5)
+    rows = []
+    for _ in range(120):
+        items = sorted({r.choice("ab"), r.choice("cd"), r.choice("cde"), "x", "y"} | ({"p", "q"} if r.random() < 0.4 else set()))
+        bad = ("a" in items and "c" in items) or ("p" in items and r.random() < 0.9)
+        rows.append((items, "block" if bad else "allow"))
+    df = spark.createDataFrame(rows, "items array<string>, verdict string")
+    items = url_rules.items_of(df)
+    same = {}
+    for t in items.collect():
+        same.setdefault(t["item"], set()).add(t["token"])
+    assert same["p"] == {"p", "q"} and same["x"] == {"x", "y"}
+    found = url_rules.mine(url_rules.transactions(df, items), 3 / 120, 0.8, 3).collect()
+    got = {(tuple(sorted(c)), f.verdict): f.confidence for f in found for c in itertools.product(*[same[i] for i in f["items"]])}
+    want = {k: p for k, p in brute_rules(rows, 3, 0.8).items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 5
+
+
+def test_url_rules_end_on_deep_urls(spark):
+    deep = "http://deep.org/" + "/".join(f"part{k}" for k in range(30))
+    chain = ["http://deep.org/" + "/".join(f"part{k}" for k in range(n)) for n in range(1, 31)]
+    for rows in ([deep] + [f"http://h{k}.net/x" for k in range(9)],
+                 [deep, *chain][:20] + [f"http://h{k}.com/{c}/{k % 7}" for k in range(990) for c in ("fr", "de")]):
+        df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+        begun = time.time()
+        got = {r.page_id: r for r in url_rules.judge(df).collect()}
+        assert time.time() - begun < 60 and len(got) == len(rows)       # hours where every combination is mined
+        assert got[0].verdict == "allow" and got[0].by == "rule"
+
+
 def test_hnsw(spark):
     r = random.Random(8)
     vecs = [[r.gauss(0, 1) for _ in range(16)] for _ in range(300)]
@@ -268,20 +370,66 @@ def _exact(g, q):
     return ((x @ y.T >= 0.95) & (q["gid"][:, None] != g["gid"])).sum(1)
 
 
+def _audited(g, q):
+    """The width that one pair of shards, audited by all of ``q``, would get, and its links with it."""
+    told = hnsw_dedup.audit_shard(g, q, 0.95)
+    kinds = [(len(k), {w: (k[f"w{w}"] / k["links"]).mean() for w in hnsw_dedup.WIDTHS})
+             for k in (told[told["links"] <= hnsw_dedup.FEW], told[told["links"] > hnsw_dedup.FEW]) if len(k)]
+    width = hnsw_dedup.beam_width(kinds, True)
+    return width, hnsw_dedup.link_shards(g, q, 0.95, width)[0]
+
+
 def test_hnsw_audit_needs_evidence(monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1, (3, 32))
-    search = hnsw_dedup._search
-    for group in (0, 400):       # no query of a regular sample has a link; nearly all links are the large group's
+    search = hnsw_dedup._hits
+    for group in (0, 400):       # hardly a node of a sample has a link; nearly all links are the large group's
         g, q = _shard(rng, group, centres, 900, 0), _shard(rng, group, centres, 901, 5000)
         want = _exact(g, q)
 
         def blind(graph, u, queries, width, low, group=group):
-            hits = search(graph, u, queries, width, low)
-            return hits[hits[:, 1] < group]          # beams never reach the small groups
-        monkeypatch.setattr(hnsw_dedup, "_search", blind)
-        links, _, _, recall, _ = hnsw_dedup.link_shards(g, q, 0.95)
-        assert (want[group:group + 3] > 0).all() and (links == want).all() and recall == 1.0
+            for r, c in search(graph, u, queries, width, low):
+                seen = (c < group) | (width == 0)
+                yield r[seen], c[seen]               # beams never reach the small groups
+        monkeypatch.setattr(hnsw_dedup, "_hits", blind)
+        width, links = _audited(g, q)
+        assert (want[group:group + 3] > 0).all() and (links == want).all() and width == 0
+        monkeypatch.undo()
+        width, links = _audited(g, q)
+        assert (links == want).all()
+    assert hnsw_dedup.beam_width([], False) == hnsw_dedup.beam_width([(5, dict.fromkeys(hnsw_dedup.WIDTHS, 1.0))], False) == hnsw_dedup.UNTOLD
+    assert hnsw_dedup.beam_width([], True) == hnsw_dedup.WIDTHS[0]
+
+
+def test_hnsw_forest_spans_its_links():
+    r = random.Random(4)
+    links = [(q, n) for q in range(300) for n in range(260) if r.random() < (0.3 if q % 7 == n % 7 == 0 else 0.0006)]
+    f = hnsw_dedup._Forest(300, 260)
+    for at in range(0, len(links), 97):
+        f.add(*np.array(links[at:at + 97]).T)
+    groups = lambda pairs: brute_groups(560, pairs)
+    assert groups(f.links) == groups([(q, 300 + n) for q, n in links])
+    assert len(f.links) == 560 - len(set(groups(f.links)))
+
+
+def brute_groups(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        old = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if old == root:
+            return root
+    return root
+
+
+def test_hnsw_of_very_large_and_small_vectors(spark):
+    r = random.Random(6)
+    base = [[r.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [x * s for x in base[i % 6]]) for i, s in enumerate([1.0, 1e200, 1e-200, 1e-310, 1e307, 3.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: x for x in hnsw_dedup.near_duplicates(df).collect()}
+    assert all(x.component_id == i % 6 and x.n_links == 5 for i, x in got.items())
 
 
 def test_hnsw_large_groups_keep_links_outside():
@@ -323,6 +471,47 @@ def test_html_keeps_visible_text(page, want):
     assert html_text.render(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<ol start='\u00b2'><li>x</ol><ol start=' +4x'><li>y</ol><ol start='-2'><li>z</ol>", "1. x\n\n4. y\n\n-2. z"),
+    ("<ol start=" + "9" * 6000 + "><li>x</ol>", "1. x"),
+    ("a<![xyz[ b ]]>c<!ENTITY x>d<?php e ?>f<!>g", "acdfg"),
+    ("<!DOCTYPE html [ <!ELEMENT x (y)> ]><p>t", "t"),
+    ("<svg><text><![CDATA[1 < 2]]></text></svg>", "1 < 2"),
+    ("<ul><li><p>a</p><li><div>b</div>c<li><li>d<ul><li><h2>n</h2></ul></ul>", "- a\n\n- b\nc\n-\n- d\n  - n"),
+    ("<ul><li><table><tr><td>1<td>2<tr><td>33<td>4</table></ul>", "-\n1  | 2\n33 | 4"),
+    ("<table><tr><td colspan=2>wide<td>z<tr><td>aaa<td>b<td>c</table>", "wide    | z\naaa | b | c"),
+    ("<table><tr><td colspan=3>a long heading<td>z<tr><td>a<td>b<td>c<td>d</table>", "a long heading | z\na | b | c      | d"),
+    ("<table><tr><td rowspan=2>r<td>b<tr><td>c<tr><td>d<td>e</table>", "r | b\n  | c\nd | e"),
+    ("<table><tr><td rowspan=2 colspan=2>big<td>1<tr><td>2<tr><td>x<td>y<td>3</table>", "big   | 1\n      | 2\nx | y | 3"),
+    ("<table><tr><td>a<td rowspan=0 colspan='-3'>b<tr><td rowspan=99999999>c<td>d<tr><td>e</table>", "a | b\nc | d\n  | e"),
+    ("a&nbsp;&nbsp;b  c&nbsp;", "a\u00a0\u00a0b c\u00a0"),
+    ("<p style='visibility:hidden'>no<b style='visibility: visible !important'>yes</b>no<i style='display:none;'>no</i>", "yes"),
+    ("<p style='x-display:none'>yes<b style='display:inline;DISPLAY : none'>no</b>", "yes"),
+    ("x<a href='", "x"), ("x <!-- never ends <p>y", "x"), ("a < b & c &amp", "a < b & c &"), ("x</", "x</"),
+])
+def test_html_edges(page, want):
+    assert html_text.render(page) == want
+
+
+def test_html_never_fails():
+    r = random.Random(11)
+    bits = ("<div>,<p>,</p>,<li>,<ul>,<ol start='\u00b2'>,</ol>,<table>,<tr>,<td>,<td colspan=3>,<td rowspan=9>,</table>,<![xyz[,]]>,"
+            "<!doctype,<!--,-->,&,&nbsp;,&amp,<,>,<svg>,</svg>,<math>,<mi>,<![CDATA[,x,\n,\u00a0,</br>,<head>,<title>,<body>,<html>,"
+            "</html>,<b,<a href=',\",',=,/>,<textarea>,<script>,</script>,<select>,<option>,<pre>,<? ?>,<!x>,<!>,<!- --!>,</,</ >,<//,"
+            "<th style='visibility:hidden'>,<i style=visibility:visible>,<blockquote>,<dd>,<caption>,<p hidden>,\x00,\ud800").split(",")
+    for _ in range(4000):
+        html_text.render("".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(1, 50))))
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p><table><td><div>", "<li><p>", "<ul><li>", "<a <", "<!--", "<![", "</p>", "<a title=\"",
+                                  "<td rowspan=9999>", "<tr><td colspan=999><td>x", "<svg><g>", "<blockquote>", "<script></a"])
+def test_html_takes_time_in_proportion(unit):
+    begun = time.process_time()
+    html_text.render(unit * 20_000 + "end")
+    assert time.process_time() - begun < 20       # minutes where the work grows with the square
+
+
+
 def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets_in_shingles():
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{v}" for v in rng.integers(0, 30, n)).encode() for n in (0, 3, 40, 40, 400, 5000)]
