@@ -3,7 +3,8 @@
 1. toxicity: documents that the classifier rejects (score >= 0.5) go.
 2. ngram_join: one document of each class of near duplicates stays, the one of least doc_id.
 3. substring: words covered by repeated 35-word windows go; the documents stay.
-4. mixing: documents drawn to the sources' target weights; one drawn twice is two rows.
+4. mixing: documents drawn to the sources' target weights; one drawn twice is two rows. Written shard
+   by shard, in each in its shuffled order.
 5. sentencepiece: the texts as piece ids, with the round trip back.
 
 All but the last return the columns of documents; n_chars follows the text.
@@ -37,7 +38,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(mixing.mix(docs).select(*docs.columns))
+    mixed = mixing.mix(docs).repartition("shard").sortWithinPartitions("shard", "place")
+    return _sized(mixed.select(*docs.columns))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
