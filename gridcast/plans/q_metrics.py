@@ -145,9 +145,10 @@ def _panel_corr_sql() -> str:
 o AS (SELECT * FROM (VALUES {rank}) v(f, rank)),
 r AS (SELECT row_number() OVER () AS row, {", ".join(PANEL_FEATS)} FROM t WHERE target IS NOT NULL),
 l AS (SELECT row, f, v FROM r UNPIVOT (v FOR f IN ({", ".join(PANEL_FEATS)}))),
-x AS (SELECT l.row, o.rank, o.f, l.v FROM l JOIN o USING (f))
-SELECT a.f AS f1, b.f AS f2, covar_samp(a.v, b.v) / nullif(stddev_samp(a.v) * stddev_samp(b.v), 0) AS corr
-FROM x a JOIN x b ON a.row = b.row AND a.rank < b.rank GROUP BY 1, 2
+x AS (SELECT l.row, o.rank, o.f, l.v FROM l JOIN o USING (f)),
+pc AS (SELECT a.f AS f1, b.f AS f2, covar_samp(a.v, b.v) / nullif(stddev_samp(a.v) * stddev_samp(b.v), 0) AS corr
+      FROM x a JOIN x b ON a.row = b.row AND a.rank < b.rank GROUP BY 1, 2)
+SELECT a.f AS f1, b.f AS f2, pc.corr FROM o a JOIN o b ON a.rank < b.rank LEFT JOIN pc ON pc.f1 = a.f AND pc.f2 = b.f
 """
 
 
