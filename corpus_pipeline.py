@@ -38,7 +38,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).repartition("shard").sortWithinPartitions("shard", "place")
+    mixed = mixing.mix(docs).repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
     return _sized(mixed.select(*docs.columns))
 
 
