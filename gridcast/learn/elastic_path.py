@@ -2,7 +2,7 @@
 
 The rows are read once: median imputation, then blocked co-moments (rows, sums, products of the
 features and the target) per key and fold. Everything after is a function of these few numbers: the
-scaling, the penalty grids, the descent on the whole and without each fold, and the squared error on
+scaling, the penalty grids, the minima on the whole and without each fold, and the squared error on
 the fold left out. Keys are fitted in parallel, one small group of moments a task; nothing is
 collected. A key's group is folds x (features + 1)^2 / 2 rows, whatever the number of its rows.
 
@@ -61,7 +61,42 @@ def moments_by_fold(pdf: pd.DataFrame, p: int, fold: str = "fold") -> tuple[list
 
 
 def descend(q: np.ndarray, c: np.ndarray, l1: float, l2: float, b: np.ndarray) -> np.ndarray:
-    """Coordinate descent for b'qb/2 - c'b + l1 |b|_1 + l2 |b|^2 / 2, from ``b``."""
+    """Minimum of b'qb/2 - c'b + l1 |b|_1 + l2 |b|^2 / 2, from ``b``: an active set with signs, solved
+    exactly. A step goes to the minimum for the signs at hand, or as far as the first coefficient that
+    becomes 0 on the way and leaves the set; at the minimum the feature with the greatest gradient
+    above l1 comes in. So the work depends on the features that come and go and not on how much
+    they are correlated, as that of coordinate descent does, which only takes over where equal
+    features without a ridge keep a set from being solved."""
+    usable = np.diag(q) > 0
+    b = np.where(usable, b, 0.0)
+    sign = np.sign(b)
+    limit = l1 + 1e-10 * max(np.abs(c).max(initial=0.0), l1)
+    for _ in range(50 + 10 * len(c)):
+        on = np.flatnonzero(sign)
+        if len(on):
+            try:
+                goal = np.linalg.solve(q[np.ix_(on, on)] + l2 * np.eye(len(on)), c[on] - l1 * sign[on])
+            except np.linalg.LinAlgError:
+                break
+            crossed = goal * sign[on] <= 0
+            if crossed.any():
+                gap = np.abs(b[on] - goal)
+                way = np.where(crossed, np.abs(b[on]) / np.where(gap > 0, gap, 1.0), np.inf)
+                first = int(way.argmin())
+                b[on] += way[first] * (goal - b[on])
+                b[on[first]] = sign[on[first]] = 0.0
+                continue
+            b[on] = goal
+        left = np.where(usable & (sign == 0), c - q @ b, 0.0)
+        j = int(np.abs(left).argmax()) if len(left) else 0
+        if not len(left) or abs(left[j]) <= limit:
+            return b
+        sign[j] = np.sign(left[j])
+    return sweep(q, c, l1, l2, np.where(np.isfinite(b), b, 0.0))
+
+
+def sweep(q: np.ndarray, c: np.ndarray, l1: float, l2: float, b: np.ndarray) -> np.ndarray:
+    """Coordinate descent for the same, from ``b``."""
     b, left, diag = b.copy(), c - q @ b, np.diag(q)
     active = np.flatnonzero(diag > 0)
     limit = TOL * np.sqrt(max(diag.max(initial=0.0), 1e-300))
@@ -180,7 +215,9 @@ def fit_paths(train: DataFrame, features: Sequence[str], label: str = "target",
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **m}])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    models = sums.groupBy(*keys).applyInPandas(
+    # tasks by the number of keys: a key's moments are few bytes, but its fits take time
+    tasks = max(1, min(medians.count(), 16 * train.sparkSession.sparkContext.defaultParallelism))
+    models = sums.repartition(tasks, *keys).groupBy(*keys).applyInPandas(
         fit, f"{kinds}, l1_ratio double, alpha double, cv_mse double, intercept double, coefs array<double>")
     return ElasticNetPaths(cut_lineage(join_keys(models, medians, keys)), features, keys)
 

@@ -243,3 +243,36 @@ def test_refresh_reads_only_its_years(spark, tmp_path):
     assert {y for y in after if after[y] != before.get(y)} == {"year=2018", "year=2023", "year=2024"}
     got = {(r.year, r.temp) for r in spark.read.parquet(cache).select("year", "temp").distinct().collect()}
     assert got == {(y, 2.0 if y in (2018, 2023, 2024) else 1.0) for y in range(2015, 2025)}
+
+
+def test_descent_work_does_not_depend_on_correlation():
+    import time
+
+    r = np.random.default_rng(11)
+    begun = time.time()
+    for t in range(60):
+        x = r.normal(size=(200, 1)) + 1e-3 * r.normal(size=(200, 11))          # nearly the same column
+        x = (x - x.mean(0)) / x.std(0)
+        y = x @ r.normal(size=11) + r.normal(size=200)
+        q, c = x.T @ x, x.T @ (y - y.mean())
+        top = np.abs(c).max()
+        b = np.zeros(11)
+        for a in np.geomspace(top, top * 1e-3, 20):
+            l1, l2 = a * 0.5, a * 0.5
+            b = ep.descend(q, c, l1, l2, b)
+            left = c - q @ b - l2 * b
+            slack = 1e-8 * top
+            assert (np.abs(left) <= l1 + slack).all()                          # the conditions of the minimum
+            assert np.allclose(left[b != 0], l1 * np.sign(b[b != 0]), atol=slack)
+    assert time.time() - begun < 10                                            # minutes by coordinate descent
+
+
+def test_descent_of_equal_and_constant_columns():
+    x = np.random.default_rng(3).normal(size=(50, 3))
+    x = np.column_stack([x, x[:, 0], np.zeros(50)])
+    q, c = x.T @ x, x.T @ (x[:, 0] + 2 * x[:, 1])
+    for l2 in (0.0, 1e-3, 5.0):
+        b = ep.descend(q, c, 3.0, l2, np.zeros(5))
+        left = c - q @ b - l2 * b
+        assert (np.abs(left) <= 3.0 + 1e-5).all() and b[4] == 0
+    assert not ep.descend(np.zeros((2, 2)), np.zeros(2), 0.0, 0.0, np.zeros(2)).any()
