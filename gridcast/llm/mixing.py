@@ -173,7 +173,9 @@ def permuted(at: Column, n: Column, key: Column) -> Column:
 
 def split_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
     """(shard, sk, blocks): block quotas (sk, blocks) of the sources dealt to ``shards`` shards by
-    the splitting tree. Each source's counts add up exactly; shards are equal in size to a block."""
+    the splitting tree. Each source's counts add up exactly; shards are equal in size to a block.
+    Each level is written: the expression of a draw is long, and a plan that nests one per level takes
+    the driver more memory the more shards there are."""
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("sk", F.col("blocks").cast("long").alias("k")))).alias("ks")) \
         .select(F.lit(0).alias("lo"), F.lit(shards).alias("n"), "ks")
     for _ in range(max(0, math.ceil(math.log2(shards)))):
@@ -198,7 +200,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
             F.struct((F.col("lo") + F.col("left")).alias("lo"), (F.col("n") - F.col("left")).alias("n"),
                      pick(lambda x, g: F.struct(x["sk"].alias("sk"), (x["k"] - g).alias("k"))).alias("ks")))
         same = F.array(F.struct("lo", "n", "ks"))
-        node = node.select(F.explode(F.when(F.col("n") > 1, children).otherwise(same)).alias("c")).select("c.*")
+        node = written(node.select(F.explode(F.when(F.col("n") > 1, children).otherwise(same)).alias("c")).select("c.*"), "mix-nodes")
     return node.select(F.col("lo").alias("shard"), F.explode("ks").alias("x")).select(
         "shard", F.col("x.sk").alias("sk"), F.col("x.k").alias("blocks"))
 
