@@ -551,3 +551,28 @@ def test_wide_bitmaps_keep_every_link_of_large_sets(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.shingle_components(docs).collect()}
     assert got == dict(enumerate(least)) and len(set(least)) < len(texts)
+
+
+def test_url_rules_keep_every_item_of_a_url(spark):
+    # twelve surer or more frequent items stand before the pair of items that decides
+    rows = []
+    for k in range(240):
+        both = [k % 2, (k // 2) % 2]
+        items = ["y%d" % i for i, b in enumerate(both) if b] + ["c%02d" % i for i in range(12) if i >= (k // 4) % 12]
+        rows.append((sorted(items), "block" if all(both) else "allow"))
+    df = spark.createDataFrame(rows, "items array<string>, verdict string")
+    deals = url_rules.transactions(df, url_rules.items_of(df))
+    assert max(len(d["items"]) for d in deals.collect()) == 14
+    found = {(tuple(f["items"]), f.verdict) for f in url_rules.mine(deals, 0.2, 0.95, 2).collect()}
+    assert (("y0", "y1"), "block") in found
+
+
+def test_mixing_tree_plans_stay_small(spark):
+    quotas = spark.createDataFrame([("=a", 400), ("=b", 90), ("-", 22)], "sk string, blocks long")
+    got = mixing.split_quotas(quotas, 64)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000                                   # megabytes where a plan holds six levels
+    total = {}
+    for x in got.collect():
+        total[x.sk] = total.get(x.sk, 0) + x.blocks
+    assert total == {"=a": 400, "=b": 90, "-": 22}
