@@ -12,12 +12,14 @@ group the edges by word, fold them with a higher-order aggregate. The fold depen
   neighbours under the best one until none applies, which is the encoder's result exactly.
 
 Words outside the dictionary (rare, or longer than a 63-bit set of bounds) are folded the same way
-in the task that reads them, so that no text is shuffled. Characters without a piece become byte
+in the task that reads them, many short ones at once, so that no text is shuffled. Characters without a piece become byte
 pieces. Decoding joins the pieces' bytes.
 """
 
 import heapq
+import itertools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import local, map_rows, written
+from gridcast.llm.common import CHUNK_BYTES, local, map_rows, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -73,7 +76,12 @@ def load_pieces(model_file: str = MODEL, kind: str = "bpe") -> Pieces:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or BLANK in text:
+        return WORD.findall(BLANK + text.replace(" ", BLANK))
+    # single blanks: every word ends before the next blank or line end
+    return list(filter(None, (BLANK + text.replace(" ", " " + BLANK).replace("\n", " \n ")).split(" ")))
 
 
 # --- the fold in the relational lattice -----------------------------------------------------------
@@ -162,8 +170,8 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 # --- the same fold inside a task -------------------------------------------------------------------
 
-def fold_word(word: str, rank: dict, ids: dict, byte0: int, unknown: int) -> list[int]:
-    """Ids of one word by merges in order of score, leftmost first (a heap over a linked list)."""
+def _merged(word: str, rank: dict) -> list[str]:
+    """Parts of a word after all merges in order of score, leftmost first (a heap over a linked list)."""
     parts, n = list(word), len(word)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(rank[w], i, w) for i in range(n - 1) if (w := parts[i] + parts[i + 1]) in rank]
@@ -179,19 +187,106 @@ def fold_word(word: str, rank: dict, ids: dict, byte0: int, unknown: int) -> lis
         for a, b in ((left[i], i), (i, right[i])):
             if a >= 0 and b < n and (w := parts[a] + parts[b]) in rank:
                 heapq.heappush(heap, (rank[w], a, w))
+    return [p for p in parts if p is not None]
+
+
+def fold_word(word: str, rank: dict, ids: dict, byte0: int, unknown: int) -> list[int]:
+    """Ids of one word by merges in order of score, leftmost first."""
     out = []
-    for p in parts:
-        if p is not None:
-            known = ids.get(p)
-            if known is not None:
-                out.append(known)
-            elif byte0 >= 0:
-                out.extend(byte0 + b for b in p.encode())
-            else:
-                out.append(unknown)
+    for p in _merged(word, rank):
+        known = ids.get(p)
+        if known is not None:
+            out.append(known)
+        elif byte0 >= 0:
+            out.extend(byte0 + b for b in p.encode())
+        else:
+            out.append(unknown)
     return out
 
 
+class Merges:
+    """Merges of many short words at once. A symbol is a piece's rank, or a larger number for a
+    character without a piece; the pairs of symbols that merge are in an open hash table."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, rank: dict, ids: dict):
+        self.symbols = dict(rank)
+        pairs = []
+        for w in rank:
+            for i in range(1, len(w)):
+                for side in (w[:i], w[i:]):
+                    if len(side) == 1:
+                        self.symbols.setdefault(side, len(self.symbols))
+                if w[:i] in self.symbols and w[i:] in self.symbols:
+                    pairs.append((self.symbols[w[:i]], self.symbols[w[i:]], rank[w]))
+        self.pieces, self.width = len(rank), len(self.symbols) + 1               # the last symbol merges with none
+        self.id = np.array([ids[w] for w in rank], np.int32)[np.argsort(np.fromiter(rank.values(), np.int64, len(rank)))]
+        chars = {ord(c): x for c, x in self.symbols.items() if len(c) == 1}
+        self.char = np.full(max(chars, default=0) + 2, self.width - 1, np.int32)
+        self.char[list(chars)] = list(chars.values())
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.bits = max(10, int(len(pairs)).bit_length() + 2)
+        self.key, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE)
+        key, rest = left * self.width + right, np.arange(len(left))
+        at = self._slot(key)
+        while len(rest):
+            free = rest[self.key[at[rest]] < 0]
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.key[at[put]], self.made[at[put]] = key[put], made[put]
+            rest = rest[self.key[at[rest]] != key[rest]]
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the piece that two symbols make, NONE if there is none."""
+        key = left.astype(np.int64) * self.width + right
+        at = self._slot(key)
+        there = self.key[at]
+        out = np.where(there == key, self.made[at], self.NONE)
+        rest = np.flatnonzero((there != key) & (there >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            there = self.key[at[rest]]
+            out[rest] = np.where(there == key[rest], self.made[at[rest]], self.NONE)
+            rest = rest[(there != key[rest]) & (there >= 0)]
+        return out
+
+    def fold(self, words: list[str]) -> Iterator[bytes | None]:
+        """Ids of each word by merges in order of score, leftmost first; None if a character is left
+        that has no piece. Every word has a row of cells between two empty ones."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        wide = int(size.max(initial=0)) + 2
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        inner = (np.arange(wide) >= 1) & (np.arange(wide) <= size[:, None])
+        symbol = np.full(inner.shape, self.width - 1, np.int32)
+        symbol[inner] = self.char[np.minimum(code, len(self.char) - 1)]
+        rank = np.full(inner.shape, self.NONE)
+        both = inner[:, :-1] & inner[:, 1:]
+        rank[:, :-1][both] = self._pair(symbol[:, :-1][both], symbol[:, 1:][both])
+        after = np.arange(inner.size) + 1
+        before = after - 2
+        alive, cells, ranks = inner.ravel().copy(), symbol.reshape(-1), rank.reshape(-1)
+        rows = np.arange(len(words))
+        while len(rows):
+            at = rows * wide + rank[rows].argmin(1)
+            best = ranks[at]
+            some = best < self.NONE
+            rows, at, best = rows[some], at[some], best[some]
+            gone = after[at]
+            last, first = after[gone], before[at]
+            cells[at], alive[gone], ranks[gone] = best, False, self.NONE
+            after[at], before[last] = last, at
+            ranks[at], ranks[first] = self._pair(best, cells[last]), self._pair(cells[first], best)
+        left = alive.reshape(inner.shape)
+        known = (symbol < self.pieces) | ~left
+        out = self.id[np.minimum(cells[alive], self.pieces - 1)].tobytes()
+        ends = np.concatenate([[0], 4 * np.cumsum(left.sum(1))]).tolist()
+        return (out[a:b] if ok else None for (a, b), ok in zip(itertools.pairwise(ends), known.all(1).tolist(), strict=True))
+
+
 def viterbi_word(word: str, score: dict, ids: dict, byte0: int, unknown: int, longest: int, floor: float) -> list[int]:
     """Ids of one word by the path of greatest total score."""
     best = [(0.0, 0)]
@@ -254,6 +349,24 @@ def _join(table: list[bytes], ids) -> str:
     return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _joined(table: pa.Array, ids: pa.ListArray) -> list[str]:
+    """The texts of many lists of valid ids."""
+    parts = pa.ListArray.from_arrays(ids.offsets, table.take(ids.values))
+    return [t.decode("utf-8", "replace").removeprefix(" ") for t in pc.binary_join(parts, b"").to_pylist()]
+
+
+def _slices(batch: pa.RecordBatch, text: str, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and, but for a single row, about CHUNK_BYTES of text."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if i - start == rows or (i > start and total + n > CHUNK_BYTES):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _add(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(batch.columns + list(columns.values()), batch.schema.names + list(columns))
 
@@ -265,39 +378,46 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids"
     columns pass through (those named like the new ones are replaced)."""
     known = local(encode_words(frequent_words(docs, text, head), pieces))     # at most head rows
     entries = {w: np.asarray(i, np.int32).tobytes() for w, i in zip(known["word"], known["ids"], strict=True)}
-    held = docs.sparkSession.sparkContext.broadcast((entries, vars(pieces)))
+    normal = [i for i, ok in enumerate(pieces.normal) if ok]
+    ids = {pieces.text[i]: i for i in normal}
+    value = {pieces.text[i]: pieces.score[i] for i in normal}
+    rank = {w: r for r, w in enumerate(sorted(value, key=lambda w: (-value[w], ids[w])))}
+    merges = Merges(rank, ids) if pieces.kind == "bpe" and rank else None
+    held = docs.sparkSession.sparkContext.broadcast((entries, vars(pieces), ids, value, rank, merges))
     base = docs.drop(out, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, p = held.value
-        normal = [i for i, ok in enumerate(p["normal"]) if ok]
-        ids = {p["text"][i]: i for i in normal}
-        value = {p["text"][i]: p["score"][i] for i in normal}
-        rank = {w: r for r, w in enumerate(sorted(value, key=lambda w: (-value[w], ids[w])))}
+        entries, p, ids, value, rank, merges = held.value
         longest, low = max(map(len, ids), default=1), min(value.values(), default=0.0) - UNKNOWN
-        table = _byte_table(p) if decoded else []
-        memo: dict[str, bytes] = {}
-
-        def rare(w: str) -> bytes:
-            got = memo.get(w)
-            if got is None:
-                got = fold_word(w, rank, ids, p["byte0"], p["unknown"]) if p["kind"] == "bpe" else \
-                    viterbi_word(w, value, ids, p["byte0"], p["unknown"], longest, low)
-                got = np.asarray(got, np.int32).tobytes()
-                if len(memo) > 50_000:
-                    memo.clear()
-                memo[w] = got
-            return got
+        table = pa.array(_byte_table(p) if decoded else [], pa.binary())
+        coded_words = dict(entries)
+
+        def fold(w: str) -> bytes:
+            return array("i", fold_word(w, rank, ids, p["byte0"], p["unknown"]) if p["kind"] == "bpe" else
+                         viterbi_word(w, value, ids, p["byte0"], p["unknown"], longest, low)).tobytes()
+
+        def learn(words: set[str]) -> None:
+            """Codes of new words, short ones in blocks of about equal length."""
+            short = sorted((w for w in words if len(w) <= LONGEST), key=len) if merges else []
+            for a in range(0, len(short), 2048):
+                block = short[a:a + 2048]
+                coded_words.update(zip(block, (fold(w) if c is None else c for w, c in
+                                               zip(block, merges.fold(block), strict=True)), strict=True))
+            for w in words.difference(coded_words):
+                coded_words[w] = fold(w)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                coded = [b"".join([entries.get(w) or rare(w) for w in words_of(t)])
-                         for t in rows.column(text).to_pylist()]
+            for rows in _slices(batch, text):
+                if len(coded_words) > len(entries) + 50_000:
+                    coded_words.clear()
+                    coded_words.update(entries)
+                cut = [words_of(t) for t in rows.column(text).to_pylist()]
+                learn(set().union(*cut).difference(coded_words))
+                coded = [b"".join(map(coded_words.__getitem__, words)) for words in cut]
                 ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
                 new = {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))}
                 if decoded:
-                    new[decoded] = pa.array([_join(table, np.frombuffer(c, np.int32).tolist()) for c in coded], pa.string())
+                    new[decoded] = pa.array(_joined(table, new[out]), pa.string())
                 yield _add(rows, **new)
 
     schema = T.StructType([*base.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),

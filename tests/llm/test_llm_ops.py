@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,35 @@ def test_sentencepiece(docs):
     assert sp.encode(empty(docs), pieces).count() == 0
 
 
+def test_sentencepiece_folds_many_words_at_once():
+    p = sp.load_pieces()
+    r = random.Random(12)
+    ids = {t: i for i, (t, ok) in enumerate(zip(p.text, p.normal, strict=True)) if ok}
+    full = {w: k for k, w in enumerate(sorted(ids, key=lambda w: (-p.score[ids[w]], ids[w])))}
+    odd = {w: k for k, w in enumerate(["ab", "ba", "abb", "a", "aba", "bab", "éa"])}     # b and é have no piece
+    words = ["".join(r.choice("abethin▁é漢,😀") for _ in range(r.randrange(1, 30))) for _ in range(3000)]
+    words += ["".join(r.choice("aab") for _ in range(r.randrange(1, 12))) for _ in range(300)]
+    words += ["", "\n", "a" * 60, "▁oferstshtion"]
+    for rank, of in ((full, ids), (odd, {w: 50 - k for w, k in odd.items()})):
+        got = list(sp.Merges(rank, of).fold(words))
+        for w, g in zip(words, got, strict=True):
+            parts = sp._merged(w, rank)
+            assert (None if g is None else np.frombuffer(g, np.int32).tolist()) == (
+                [of[x] for x in parts] if all(x in of for x in parts) else None)
+        assert sum(g is not None for g in got) > 20
+    assert list(sp.Merges(full, ids).fold([])) == []
+
+
+def test_sentencepiece_cuts_words_and_slices():
+    r = random.Random(13)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "b", " ", "\n", "▁", "\t"]) for _ in range(r.randrange(0, 9)))
+        assert sp.words_of(text) == (sp.WORD.findall("▁" + text.replace(" ", "▁")) if text else [])
+    rows = pa.RecordBatch.from_pydict({"t": ["x" * n if n else None for n in [700_000, 0, 400_000, 2_000_000, *range(1, 300)]]})
+    cut = [x.num_rows for x in sp._slices(rows, "t", 256)]
+    assert cut == [2, 1, 1, 256, 43] and sum(cut) == rows.num_rows
+
+
 def test_unigram_viterbi(spark):
     p = sp.Pieces(["<unk>", "a", "b", "ab", "ba", "aba", "▁", "▁a"], [0, -1.0, -2.0, -2.5, -2.2, -3.9, -1.5, -2.1],
                   [False] + [True] * 7, -1, 0, "unigram")
