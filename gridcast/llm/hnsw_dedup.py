@@ -1,20 +1,24 @@
 """Embedding near-dedup with a hierarchical navigable small-world graph per shard.
 
-Equal vectors are one node with a multiplicity. Nodes are dealt to shards of about ``SHARD`` by
-hash; each shard's graph is built once (each layer: the nearest candidates, thinned to diverse
-neighbours, links in both directions) and kept as one row, its vectors in parts as another column.
-Every part of a shard's nodes is searched in its own graph and in those of the shards before it, a
-task each; a link between two shards counts for both of its nodes, so it is searched once. A search is a
-beam per query, all queries of a block in step. A query whose beam ends above the threshold gets a
+Equal vectors are one node with a multiplicity. Nodes are dealt by nearness: to the nearest of some
+centres, fitted on a bounded sample (``FIT``), and within a centre's cell by hash to shards of about
+``SHARD``. Each shard's graph is built once (each layer: the nearest candidates, thinned to diverse
+neighbours, links in both directions) and kept as one row. A node is searched in its own graph,
+from itself on, and in those before it of its cell and of the cells within reach, from the top; a
+link between two shards counts for both of its nodes, so it is searched once. A linked node is at most
+``chord`` away, so a node whose distance to the plane between two cells is larger has no links
+beyond it: reach is a share of that. Searches are tasks of a bounded number of nodes. A search is
+a beam per query, all queries of a block in step. A query whose beam ends above the threshold gets a
 wider one until it does not.
 
-One audit sets the beams of the whole table: a sample of about ``AUDIT`` nodes is compared with all
-vectors, once, and searched by beams of each width. Recall is a mean over the sampled nodes with
-links to others, apart for those with few and with many links; the least width passes at which
-both reach ``RECALL``. If none does, all pairs of shards are compared exactly. A sample with too
-few links to tell takes beams of ``UNTOLD``. Found pairs are verified in double precision. A task
-reports each query's number of links and a spanning forest of the links it found, block by block,
-so neither its rows nor its memory grow with the square of a group of near copies.
+One audit sets the reach and the beams of the whole table: a sample of about ``AUDIT`` nodes is compared
+with all vectors, once, and searched by beams of each width. Recall is a mean over the sampled nodes
+with links to others, apart for those with few and with many links. The least reach is taken that
+holds ``REACHED`` of both, then the least width at which both reach ``RECALL``. If none does, all pairs of
+shards that can hold links are compared exactly. A sample with too few links to tell takes the whole
+reach and beams of ``UNTOLD``. Found pairs are verified in double precision. A task reports each
+query's number of links and a spanning forest of the links it found, block by block, so neither
+its rows nor its memory grow with the square of a group of near copies.
 """
 
 import pickle
@@ -25,16 +29,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import components, written
+from gridcast.llm.common import components, mix, written
 
 SHARD = 16384
-PARTS = 4             # parts of a shard's nodes that are searched apart
+PARTS = 4             # tasks in which a shard's number of nodes is searched
+FIT, FIT_VALUES = 1 << 16, 1 << 24    # vectors and components on which centres are fitted, at most
+EACH = 16             # vectors a centre is fitted on, at least
+STEPS = 8             # steps of reach, the last of which holds every link
 LINKS = 16            # neighbours kept per node and layer; twice as many on the lowest
 RATIO = 16            # nodes of a layer per node of the layer above
 WIDTHS = (24, 48, 96, 192, 384)
 AUDIT = 4096          # nodes that the audit compares with all others
 FEW = 8               # more links than these are many
 RECALL = 0.995        # mean over the nodes of each kind
+REACHED = 0.999       # the same of the links within reach
 TOLD, UNTOLD = 16, 96 # nodes with links by which a sample of a larger table tells; the width if it doesn't
 OUTSIDE = 4           # neighbours below the threshold that each node and layer keeps besides
 ENTRIES = 8           # nodes of a layer from which the layer below is searched
@@ -203,13 +211,20 @@ def _hits(g: dict, u: np.ndarray, q: np.ndarray, width: int, threshold: float) -
         full[ids] = nb
         nbrs.append(full)
     top = g["layers"][-1][0]
+    top = np.resize(top, max(len(top), ENTRIES))
+    own = g.get("own", np.full(len(q), -1))
     for a in range(0, len(q), BLOCK):
         part = q[a:a + BLOCK]
-        start = top[np.argsort(-(part @ u[top].T), axis=1)[:, :ENTRIES]]
-        for j in range(len(nbrs) - 2, 0, -1):
-            ids, sim = _beam(u, nbrs[j], part, start, 2 * ENTRIES)
-            start = np.take_along_axis(ids, np.argsort(-sim, axis=1), 1)[:, :ENTRIES]
-            start = np.where(start >= 0, start, start[:, :1])
+        start = np.repeat(own[a:a + BLOCK, None], ENTRIES, axis=1)     # a node of the graph is its own way in
+        far = np.flatnonzero(start[:, 0] < 0)
+        if len(far):
+            some = top[np.argsort(-(part[far] @ u[top].T), axis=1)[:, :ENTRIES]]
+            for j in range(len(nbrs) - 2, 0, -1):
+                ids, sim = _beam(u, nbrs[j], part[far], some, 2 * ENTRIES)
+                some = np.take_along_axis(ids, np.argsort(-sim, axis=1), 1)[:, :ENTRIES]
+                some = np.where(some >= 0, some, some[:, :1])
+                some = some[:, np.arange(ENTRIES) % some.shape[1]]
+            start[far] = some
         todo, w = np.arange(len(part)), width
         while len(todo):
             ids, sim = _beam(u, nbrs[0], part[todo], start[todo], w)
@@ -219,6 +234,13 @@ def _hits(g: dict, u: np.ndarray, q: np.ndarray, width: int, threshold: float) -
             todo, w = todo[full], w * 4
 
 
+def _own(g: dict, gid: np.ndarray) -> dict:
+    """The graph, with the nodes that the queries ``gid`` are themselves (-1 for none)."""
+    order = np.argsort(g["gid"], kind="stable")
+    at = order[np.minimum(np.searchsorted(g["gid"], gid, sorter=order), len(order) - 1)]
+    return g | {"own": np.where(g["gid"][at] == gid, at, -1)}
+
+
 class _Forest:
     """Spanning forest of links between queries and nodes, which come in any number of pieces."""
 
@@ -261,27 +283,39 @@ class _Forest:
             self.label = moved[new]
 
 
-def audit_shard(g: dict, sample: dict, threshold: float) -> pd.DataFrame:
+def audit_shard(g: dict, sample: dict, threshold: float, step=None) -> pd.DataFrame:
     """For each sampled node with links to others in the shard: their number and, for each width,
-    how many of them the beams find."""
+    how many of them the beams find; with ``step``, which takes rows of the sample and nodes, for each
+    step of reach apart."""
     u, q = _unit(g["x"]), _unit(sample["x"])
     low = threshold - SLACK
 
     def count(width: int, rows: np.ndarray) -> np.ndarray:
-        n = np.zeros(len(rows), np.int64)
-        for r, c in _hits(g, u, q[rows], width, low):
+        n = np.zeros((len(rows), STEPS + 1), np.int64)
+        for r, c in _hits(_own(g, sample["gid"][rows]), u, q[rows], width, low):
             other = sample["gid"][rows[r]] != g["gid"][c]
-            n += np.bincount(r[other], minlength=len(rows))
+            r, c = r[other], c[other]
+            np.add.at(n, (r, step(rows[r], c) if step else 0), 1)
         return n
 
     true = count(0, np.arange(len(q)))
-    some = np.flatnonzero(true)
-    out = pd.DataFrame({"gid": sample["gid"][some], "links": true[some]})
+    some = np.flatnonzero(true.any(1))
+    true = true[some]
+    row, k = np.nonzero(true)
+    out = pd.DataFrame({"gid": sample["gid"][some[row]], "step": k, "links": true[row, k]})
     for w in WIDTHS:
-        out[f"w{w}"] = np.minimum(count(w, some), true[some])
+        out[f"w{w}"] = np.minimum(count(w, some), true)[row, k]
     return out
 
 
+def reach_step(recalls: list, whole: bool) -> int:
+    """The least step of reach that holds REACHED of the links of both kinds. ``recalls``: for each
+    kind that has nodes (their number, [mean share of the links held by each step])."""
+    if not whole and sum(n for n, _ in recalls) < TOLD:
+        return STEPS
+    return next(k for k in range(STEPS + 1) if k == STEPS or all(r[k] >= REACHED for _, r in recalls))
+
+
 def beam_width(recalls: list, whole: bool) -> int:
     """The least width at which the mean recall of both kinds passes, 0 if none does. ``recalls``:
     for each kind that has nodes (their number, {width: mean recall}); ``whole``: all nodes were
@@ -299,7 +333,7 @@ def link_shards(g: dict, other: dict, threshold: float, width: int):
     xx, yy = (x * x).sum(1), (y * y).sum(1)
     links, back = np.zeros(len(q), np.int64), np.zeros(len(u), np.int64)
     forest = _Forest(len(q), len(u))
-    for qi, ui in _hits(g, u, q, width, threshold - SLACK):
+    for qi, ui in _hits(_own(g, other["gid"]), u, q, width, threshold - SLACK):
         keep = other["gid"][qi] != g["gid"][ui]
         qi, ui = qi[keep], ui[keep]
         ok = np.empty(len(qi), bool)
@@ -315,6 +349,50 @@ def link_shards(g: dict, other: dict, threshold: float, width: int):
     return links, back, a, b
 
 
+def fit_centres(u: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """At most ``n`` unit centres of unit vectors, each near those nearer to it than to the others."""
+    c = u[np.random.default_rng(11).permutation(len(u))[:n]]
+    for _ in range(rounds):
+        near = nearest(u, c)
+        total = np.zeros((len(c), u.shape[1]))
+        np.add.at(total, near, u)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 1e-6, total / np.maximum(size, 1e-6), c).astype(np.float32)
+    return np.unique(c, axis=0)
+
+
+def nearest(u: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[(u[a:a + 1024] @ centres.T).argmax(1) for a in range(0, len(u), 1024)]])
+
+
+def step_to(u: np.ndarray, cell: np.ndarray, into: np.ndarray, centres: np.ndarray, threshold: float) -> np.ndarray:
+    """Step of reach at which each vector of ``cell`` is searched in the cell ``into``, 0 in its own. Its
+    distance to the plane between the two centres is at most that to any vector behind it, and the
+    distance of linked vectors at most the chord of the threshold."""
+    gap = centres[cell] - centres[into]
+    away = (u * gap).sum(1) / np.maximum(np.linalg.norm(gap, axis=1), 1e-6)
+    return _steps(away, threshold) * (cell != into)
+
+
+def _steps(away: np.ndarray, threshold: float) -> np.ndarray:
+    """1 to STEPS, and STEPS + 1 beyond the chord."""
+    chord = np.sqrt(max(2 - 2 * threshold, 0)) + SLACK
+    return np.clip(np.ceil(away / chord * STEPS), 1, STEPS + 1).astype(np.int64)
+
+
+def asked_cells(u: np.ndarray, cell: np.ndarray, centres: np.ndarray, threshold: float, reach: int):
+    """(vectors, cells): the cells before its own that each vector is searched in."""
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a in range(0, len(u), 256):
+        x, own = u[a:a + 256], cell[a:a + 256]
+        s = x @ centres.T
+        gap = np.sqrt(np.maximum(2 - 2 * (centres[own] @ centres.T), 1e-12))
+        away = (s[np.arange(len(x)), own][:, None] - s) / gap
+        r, c = np.nonzero((_steps(away - 1e-5 / gap, threshold) <= reach) & (np.arange(len(centres)) < own[:, None]))
+        got.append((r + a, c))
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
                     threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of ``vectors``: the number of other rows
@@ -338,57 +416,147 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embe
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"),
                            F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     count = {r["d"]: max(1, -(-r["count"] // shard)) for r in sizes}
-    parts = F.element_at(F.create_map(*[F.lit(x) for kv in count.items() for x in kv]), F.col("d"))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("gid", F.lit(7)), parts).cast("int"))
 
     def packed(pdf: pd.DataFrame) -> dict:
         pdf = pdf.sort_values("gid")
         return {"x": np.stack(pdf["v"].to_list()), "gid": pdf["gid"].to_numpy(), "mult": pdf["mult"].to_numpy()}
 
+    def drawn(seed: int, most: dict) -> DataFrame:
+        """About so many nodes of each vector length."""
+        of = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["d"], min(1.0, most[r["d"]] / r["count"]))]), F.col("d"))
+        return nodes.filter(F.pmod(F.xxhash64("gid", F.lit(seed)), F.lit(1 << 20)) < of * (1 << 20))
+
+    # cells: centres of a bounded sample, and each node's nearest
+    centres = {d: np.zeros((1, d), np.float32) for d in count}
+    fit = {d: min(FIT, max(EACH, FIT_VALUES // d)) for d in count}
+    if max(count.values()) > 1:
+        wanted = {d: min(n, fit[d] // EACH) for d, n in count.items()}
+
+        def centre(pdf: pd.DataFrame) -> pd.DataFrame:
+            d, v = pdf["d"].iloc[0], packed(pdf)
+            return pd.DataFrame({"d": [d], "c": [pickle.dumps(fit_centres(_unit(v["x"]), wanted[d]), 5)]})
+
+        for r in drawn(17, fit).groupBy("d").applyInPandas(centre, "d int, c binary").collect():    # centres only
+            centres[r["d"]] = pickle.loads(r["c"]) if count[r["d"]] > 1 else centres[r["d"]]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, rows in pdf.groupby("d"):
+                yield rows.assign(cell=nearest(_unit(np.stack(rows["v"].to_list())), centres[d]))
+
+    element = nodes.schema["v"].dataType.elementType.simpleString()
+    dealt = written(nodes.select("gid", "v", "mult", "d").mapInPandas(
+        deal, f"gid long, v array<{element}>, mult long, d int, cell int"), "cells")
+    split = {d: np.ones(len(c), np.int64) for d, c in centres.items()}
+    for r in dealt.groupBy("d", "cell").count().collect():                 # a row per cell
+        split[r["d"]][r["cell"]] = max(1, round(r["count"] / shard))
+    first = {d: np.concatenate([[0], np.cumsum(n)]) for d, n in split.items()}          # a cell's shards
+    cell_of = {d: np.repeat(np.arange(len(n)), n) for d, n in split.items()}
+
+    def shard_of(d: int, gid: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return first[d][cell] + (mix(gid.astype(np.uint64)) % split[d][cell].astype(np.uint64)).astype(np.int64)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, rows in pdf.groupby("d"):
+                yield rows.assign(shard=shard_of(d, rows["gid"].to_numpy(), rows["cell"].to_numpy())).drop(columns="cell")
+
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = packed(pdf)
-        parts = [pickle.dumps({k: x[i::PARTS] for k, x in v.items()}, 5) for i in range(PARTS) if len(v["x"]) > i]
-        return pd.DataFrame({"d": [pdf["d"].iloc[0]], "shard": [pdf["shard"].iloc[0]],
-                             "g": [pickle.dumps(build(**v), 5)], "q": [parts]})
+        return pd.DataFrame({"d": [pdf["d"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "g": [pickle.dumps(build(**packed(pdf)), 5)]})
 
-    graphs = written(dealt.groupBy("d", "shard").applyInPandas(graph, "d int, shard int, g binary, q array<binary>"), "graphs")
+    shards = sum(int(n.sum()) for n in split.values())
+    placed = dealt.mapInPandas(place, f"gid long, v array<{element}>, mult long, d int, shard int")
+    graphs = written(placed.repartition(shards, "d", "shard").groupBy("d", "shard")
+                     .applyInPandas(graph, "d int, shard int, g binary"), "graphs")
 
     # the audit: a sample of each vector length against all shards, once
-    of = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["d"], min(1.0, AUDIT / r["count"]))]), F.col("d"))
-    drawn = nodes.filter(F.pmod(F.xxhash64("gid", F.lit(13)), F.lit(1 << 20)) < of * (1 << 20))
-    sample = drawn.groupBy("d").applyInPandas(
+    sample = drawn(13, dict.fromkeys(count, AUDIT)).groupBy("d").applyInPandas(
         lambda pdf: pd.DataFrame({"d": [pdf["d"].iloc[0]], "s": [pickle.dumps(packed(pdf), 5)]}), "d int, s binary")
 
     def audit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for d, g, s in zip(pdf["d"], pdf["g"], pdf["s"], strict=True):
-                yield audit_shard(pickle.loads(g), pickle.loads(s), threshold).assign(d=d)[["d", "gid", "links", *wide]]
+            for d, shard, g, s in zip(pdf["d"], pdf["shard"], pdf["g"], pdf["s"], strict=True):
+                g, s, here = pickle.loads(g), pickle.loads(s), cell_of[d][shard]
+                u, q = _unit(g["x"]), _unit(s["x"])
+                cell = nearest(q, centres[d])
+
+                def step(r, c, u=u, q=q, cell=cell, here=here, d=d):
+                    later = cell[r] > here                          # the later one is searched
+                    x = np.where(later[:, None], q[r], u[c])
+                    k = step_to(x, np.maximum(cell[r], here), np.minimum(cell[r], here), centres[d], threshold)
+                    return np.minimum(k, STEPS)
+
+                yield audit_shard(g, s, threshold, step).assign(d=d)[["d", "gid", "step", "links", *wide]]
 
     wide = [f"w{w}" for w in WIDTHS]
-    held = graphs.join(sample, "d").select("d", "g", "s").repartition(sum(count.values()))
-    told = held.mapInPandas(audit, "d int, gid long, links long, " + ", ".join(f"{w} long" for w in wide))
-    told = told.groupBy("d", "gid").agg(*[F.sum(c).alias(c) for c in ("links", *wide)])
-    kinds = told.groupBy("d", (F.col("links") > FEW).alias("many")).agg(
-        F.count("*").alias("n"), *[F.avg(F.col(w) / F.col("links")).alias(w) for w in wide]).collect()   # two rows a length
-    width = {r["d"]: beam_width([(k["n"], {w: k[f"w{w}"] for w in WIDTHS}) for k in kinds if k["d"] == r["d"]],
-                                r["count"] <= AUDIT) for r in sizes}
-
-    sides = graphs.select("d", "shard", "g", F.explode(F.sequence(F.col("shard"), (parts - 1).cast("int"))).alias("other"))
-    asked = graphs.select("d", F.col("shard").alias("other"), F.posexplode("q").alias("part", "q"))
-    pairs = sides.join(asked, ["d", "other"])
-    tasks = PARTS * sum(c * (c + 1) // 2 for c in count.values())
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = graphs.join(sample, "d").select("d", "shard", "g", "s").repartition(shards)
+    told = held.mapInPandas(audit, "d int, gid long, step int, links long, " + ", ".join(f"{w} long" for w in wide))
+    told = told.groupBy("d", "gid").agg(F.sum("links").alias("all"), *[
+        F.sum(F.when(F.col("step") <= k, F.col(c))).alias(f"{c}_{k}") for c in ("links", *wide) for k in range(STEPS + 1)])
+    kinds = told.groupBy("d", (F.col("all") > FEW).alias("many")).agg(F.count("*").alias("n"), *[
+        F.avg(F.coalesce(f"{c}_{k}", F.lit(0)) / F.col("all")).alias(f"{c}_{k}")
+        for c in ("links", *wide) for k in range(STEPS + 1)]).collect()                                  # two rows a length
+    width, reach = {}, {}
+    for r in sizes:
+        d, whole, mine = r["d"], r["count"] <= AUDIT, [k for k in kinds if k["d"] == r["d"]]
+        reach[d] = reach_step([(k["n"], [k[f"links_{i}"] for i in range(STEPS + 1)]) for k in mine], whole)
+        width[d] = beam_width([(k["n"], {w: k[f"w{w}_{reach[d]}"] for w in WIDTHS}) for k in mine], whole)
+        if not width[d]:
+            reach[d] = STEPS
+
+    def asked(rows: pd.DataFrame, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, shards, the row's own): the shards that each node of a frame is searched in."""
+        gid, cell = rows["gid"].to_numpy(), rows["cell"].to_numpy()
+        own = shard_of(d, gid, cell)
+        r, c = asked_cells(_unit(np.stack(rows["v"].to_list())), cell, centres[d], threshold, reach[d])
+        lo = np.concatenate([first[d][cell], first[d][c]])              # its cell up to its shard, other cells whole
+        n = np.concatenate([own + 1 - first[d][cell], split[d][c]])
+        row = np.repeat(np.concatenate([np.arange(len(gid)), r]), n)
+        to = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return row, to, to == own[row]
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, rows in pdf.groupby("d"):
+                n = np.bincount(asked(rows, d)[1])
+                yield pd.DataFrame({"d": d, "shard": np.flatnonzero(n), "n": n[n > 0]})
+
+    tasks_of = {d: np.ones(len(c), np.int64) for d, c in cell_of.items()}
+    for r in dealt.mapInPandas(tally, "d int, shard int, n long").groupBy("d", "shard").agg(F.sum("n").alias("n")).collect():
+        tasks_of[r["d"]][r["shard"]] = -(-r["n"] * PARTS // shard)                             # a row per shard
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, rows in pdf.groupby("d"):
+                row, to, home = asked(rows, d)
+                part = mix(rows["gid"].to_numpy().astype(np.uint64) + np.uint64(1))[row] % tasks_of[d][to].astype(np.uint64)
+                for a in range(0, len(row), 10_000):
+                    yield rows[["gid", "v", "mult", "d"]].iloc[row[a:a + 10_000]].assign(
+                        shard=to[a:a + 10_000], part=part[a:a + 10_000].astype(np.int64), home=home[a:a + 10_000])
+
+    def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for d, shard, other, g, q in zip(*[pdf[c] for c in ("d", "shard", "other", "g", "q")], strict=True):
-                g, q = pickle.loads(g), pickle.loads(q)
-                links, back, a, b = link_shards(g, q, threshold, width[d])
-                some = [(q["gid"], links)] + [(g["gid"], back)] * (shard != other)
-                node = np.concatenate([ids[n > 0] for ids, n in some])
-                yield pd.DataFrame({"a": np.concatenate([node, a]), "b": np.concatenate([node, b]),
-                                    "n": np.concatenate([*[n[n > 0] for _, n in some], np.zeros(len(a), np.int64)])})
-
-    found = written(pairs.repartition(tasks, "d", "shard", "other", "part").mapInPandas(search, "a long, b long, n long"), "links")
+            for d, shard, g in zip(pdf["d"], pdf["shard"], pdf["g"], strict=True):
+                for part in range(tasks_of[d][shard]):
+                    yield pd.DataFrame({"d": [d], "shard": [shard], "part": [part], "g": [g]})
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)]
+        g = pickle.loads(left["g"].iloc[0])
+        for home, rows in right.groupby("home"):
+            q = packed(rows)
+            links, back, a, b = link_shards(g, q, threshold, width[rows["d"].iloc[0]])
+            some = [(q["gid"], links)] + [(g["gid"], back)] * (not home)
+            node = np.concatenate([ids[n > 0] for ids, n in some])
+            out.append(pd.DataFrame({"a": np.concatenate([node, a]), "b": np.concatenate([node, b]),
+                                     "n": np.concatenate([*[n[n > 0] for _, n in some], np.zeros(len(a), np.int64)])}))
+        return pd.concat(out)
+
+    key, tasks = ["d", "shard", "part"], sum(int(n.sum()) for n in tasks_of.values())
+    sides = graphs.mapInPandas(copies, "d int, shard int, part int, g binary").repartition(tasks, *key)
+    queries = dealt.mapInPandas(ask, f"gid long, v array<{element}>, mult long, d int, shard int, part int, home boolean")
+    found = written(sides.groupBy(*key).cogroup(queries.repartition(tasks, *key).groupBy(*key))
+                    .applyInPandas(search, "a long, b long, n long"), "links")
     degree = found.groupBy(F.col("a").alias("gid")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a <> b").select("a", "b"))
     whole = (rows.select("id", "gid").join(nodes.select("gid", "mult"), "gid", "left").join(degree, "gid", "left")

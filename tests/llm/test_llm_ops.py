@@ -469,6 +469,53 @@ def test_hnsw_large_groups_keep_links_outside():
     assert all((nbrs[i] >= 600).any() for i in range(600))
 
 
+def test_hnsw_searches_only_cells_that_can_hold_links():
+    rng = np.random.default_rng(3)
+    for dim, spread, least in ((3, 0.05, 0.1), (16, 0.04, 0.0)):      # cells that touch, cells that hardly do
+        x = rng.normal(0, 1, (30, dim))[rng.integers(0, 30, 1500)] + rng.normal(0, spread, (1500, dim))
+        u = hnsw_dedup._unit(x.astype(np.float32))
+        c = hnsw_dedup.fit_centres(u, 12)
+        cell = hnsw_dedup.nearest(u, c)
+        r, into = hnsw_dedup.asked_cells(u, cell, c, 0.95, hnsw_dedup.STEPS)
+        asked = np.zeros((len(u), len(c)), bool)
+        asked[r, into] = True
+        a, b = np.nonzero((u @ u.T >= 0.95) & (cell[:, None] > cell))          # the later cell's is searched
+        assert asked[a, cell[b]].all() and len(a) >= least * len(u)
+        step = hnsw_dedup.step_to(u[a], cell[a], cell[b], c, 0.95)
+        assert (step <= hnsw_dedup.STEPS).all()
+        assert asked.sum() < 0.5 * (cell[:, None] > np.arange(len(c))).sum()   # all of them before
+        near = hnsw_dedup.asked_cells(u, cell, c, 0.95, 2)
+        assert set(zip(*near, strict=True)) <= set(zip(r, into, strict=True))
+    assert hnsw_dedup.asked_cells(u, cell * 0, c[:1], 0.95, hnsw_dedup.STEPS)[0].size == 0
+    assert hnsw_dedup.reach_step([(50, [0.9, 0.9995, 1, 1, 1, 1, 1, 1, 1]), (50, [1] * 9)], False) == 1
+    assert hnsw_dedup.reach_step([(3, [1] * 9)], False) == hnsw_dedup.STEPS and hnsw_dedup.reach_step([], True) == 0
+
+
+def test_hnsw_nodes_are_their_own_way_in():
+    rng = np.random.default_rng(4)
+    g = _shard(rng, 50, rng.normal(0, 1, (3, 32)), 200, 10)
+    own = hnsw_dedup._own(g, np.array([12, 5, 262, 263]))["own"]
+    assert own.tolist() == [2, -1, 252, -1]
+    want = _exact(g, g)
+    cut = {k: v for k, v in g.items() if k != "layers"} | {"layers": [g["layers"][0], (np.arange(1), np.full((1, 1), -1))]}
+    assert (hnsw_dedup.link_shards(cut, g, 0.95, 24)[0] == want).all() and want.sum() > 2000
+
+
+def test_hnsw_of_many_shards(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 1, (500, 24))
+    x = np.concatenate([base, base[:200] + rng.normal(0, 0.1, (200, 24)), base[0] + rng.normal(0, 0.05, (300, 24))])
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame([*rows, (None, rows[3][1]), (7, rows[7][1]), (2000, [0.5] * 3)], "vec_id long, embedding array<double>")
+    got = hnsw_dedup.near_duplicates(df, shard=100).collect()             # cells, and one that is cut by hash
+    x = np.concatenate([x, x[[3, 7]]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    links = {i: int(n) for i, n in enumerate(want[:1000])} | {2000: 0}
+    assert len(got) == 1003 and all(r.n_links <= links[r.vec_id] for r in got if r.vec_id is not None)
+    assert sum(r.n_links for r in got) >= 0.995 * want.sum() and sum(r.n_links == want[1000] for r in got if r.vec_id is None) == 1
+
+
 def test_html(spark):
     page = ("<!doctype html><title>T</title><style>x</style><p>One<p>Two <b>bold</b>&amp;<br>line<ul><li>a<li>b<ul><li>c</ul></ul>"
             "<ol start=3><li>x</ol><div style='display: none'>no</div><span hidden>no</span><script>no</script>"
